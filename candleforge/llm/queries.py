@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candleforge.llm import bpe, secrets, token_counts
+from candleforge.llm import bpe, html_text, quality, secrets, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_html_text": html_text.op2_html_text,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_warc": warc.op5_warc,
     "op6_bpe": bpe.op6_bpe,
     "op7_secrets": secrets.op7_secrets,
+    "op8_quality": quality.op8_quality,
 }
 
 ORACLES: dict[str, str] = {}
