@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candleforge.llm import bpe, html_text, quality, secrets, token_counts, warc
+from candleforge.llm import bpe, html_text, near_dedup, quality, secrets, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_html_text": html_text.op2_html_text,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_warc": warc.op5_warc,
     "op6_bpe": bpe.op6_bpe,
