@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,42 @@ def components(edges: DataFrame) -> DataFrame:
             break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def linked_components(slots: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+    """Components (``node``, ``component``) of the links that ``confirm`` finds among nodes that share a ``key``.
+
+    ``slots`` (node, key), stored, has the buckets of two nodes or more. A bucket proposes its nodes' pairs with one
+    pivot, not all pairs. Buckets whose nodes are all in one component are settled, as more links inside it change
+    nothing. The others try a new pivot in each round, and at last all pairs of nodes from different components, so
+    that no link between nodes that share a bucket is lost. ``confirm`` gets distinct pairs (a > b) and returns the
+    true ones; no pair is given to it twice.
+    """
+    state = slots.withColumn("part", F.col("node"))
+    links = tried = parts = None
+    for turn in range(rounds + 1):
+        if turn < rounds:
+            order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+            pivots = stored(state.groupBy("key").agg(F.min_by("node", order).alias("pivot"), F.min_by("part", order).alias("pivot_part")))
+            pairs = state.join(pivots, "key").filter("part != pivot_part").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        else:
+            other = state.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"))
+            pairs = state.withColumnRenamed("node", "a").join(other, "key").filter("part < part_b").select("a", "b")
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if links is not None and pairs.isEmpty():
+            continue
+        found = stored(confirm(pairs))
+        tried = pairs if tried is None else tried.union(pairs)
+        if links is not None and found.isEmpty():
+            continue
+        links = found if links is None else links.union(found)
+        parts = stored(components(links))
+        if turn == rounds:
+            break
+        state = slots.join(parts, "node", "left").select("node", "key", F.coalesce("component", "node").alias("part"))
+        unsettled = stored(state.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key"))
+        state = stored(state.join(unsettled, "key"))
+        if state.isEmpty():
+            break
+    return parts

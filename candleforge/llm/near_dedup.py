@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candleforge.llm.common import map_arrow, stored, table, text_or_empty
-from candleforge.llm.graph import components
+from candleforge.llm.graph import linked_components
 from candleforge.llm.shingles import BASE, mixed, shingle_sets
 
 #: Bands of BAND_ROWS bins each: a pair at similarity 0.8 shares no band with probability 3e-7, at 0.5 it does with 0.47.
 BANDS, BAND_ROWS = 38, 5
-PIVOT_ROUNDS = 3
 
 
 def sketches(hashes: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
@@ -134,31 +133,7 @@ def near_duplicates(
         return of_class.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     texts = stored(docs.join(stored(slots.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    links, tried = None, None
-    state = slots.withColumn("part", F.col("doc_id"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
-            pivot = F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))) if turn else F.min("doc_id")
-            pivots = stored(state.groupBy("key").agg(pivot.alias("pivot"), F.min_by("part", F.xxhash64("doc_id", F.lit(turn))).alias("pivot_part") if turn else F.min_by("part", "doc_id").alias("pivot_part")))
-            pairs = state.join(pivots, "key").filter("part != pivot_part").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-        else:
-            other = state.select("key", F.col("doc_id").alias("b"), F.col("part").alias("part_b"))
-            pairs = state.withColumnRenamed("doc_id", "a").join(other, "key").filter("part < part_b").select("a", "b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if links is not None and pairs.isEmpty():
-            continue
-        found = stored(confirmed(pairs, texts, size, percent))
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        parts = stored(components(links))
-        if turn == PIVOT_ROUNDS:
-            break
-        state = slots.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("part"))
-        open_keys = stored(state.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key"))
-        state = stored(state.join(open_keys, "key"))
-        if state.isEmpty():
-            break
+    parts = linked_components(slots.withColumnRenamed("doc_id", "node"), lambda pairs: confirmed(pairs, texts, size, percent))
     found = parts.withColumnsRenamed({"node": "class", "component": "found"})
     return (
         of_class.join(found, "class", "left")

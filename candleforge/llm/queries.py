@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candleforge.llm import bpe, html_text, near_dedup, quality, secrets, token_counts, warc
+from candleforge.llm import bpe, html_text, line_dedup, near_dedup, quality, secrets, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {
     "op6_bpe": bpe.op6_bpe,
     "op7_secrets": secrets.op7_secrets,
     "op8_quality": quality.op8_quality,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
