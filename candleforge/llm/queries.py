@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candleforge.llm import bpe, html_text, line_dedup, near_dedup, quality, secrets, token_counts, warc
+from candleforge.llm import bpe, decontaminate, html_text, line_dedup, near_dedup, quality, secrets, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_html_text": html_text.op2_html_text,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
