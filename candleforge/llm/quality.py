@@ -109,13 +109,13 @@ def thresholds(rows: DataFrame, least_rows: int = LEAST_ROWS, k: int = SKETCH_K)
             F.sum("n").alias(f"{prefix}n"), *[F.kll_merge_agg_double(m, F.lit(k)).alias(f"{prefix}{m}") for m in FLOORS]
         )
 
-    # Three levels of a table with one row for each group; the last has one row.
-    every = merged([], "all_").withColumn("_one", F.lit(1))
+    # The overall sketches are one row of fixed size.
+    every = merged([], "all_").first()
     langs = merged(["_lang"], "lang_").withColumnRenamed("_lang", "_of")
-    levels = own.join(langs, F.col("_lang").eqNullSafe(F.col("_of"))).withColumn("_one", F.lit(1)).join(every, "_one")
+    levels = own.join(langs, F.col("_lang").eqNullSafe(F.col("_of")))
 
     def fence(m: str) -> Column:
-        sketch = F.when(F.col("n") >= least_rows, F.col(m)).when(F.col("lang_n") >= least_rows, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
+        sketch = F.when(F.col("n") >= least_rows, F.col(m)).when(F.col("lang_n") >= least_rows, F.col(f"lang_{m}")).otherwise(F.lit(every[f"all_{m}"]))
         low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
         return F.greatest(F.lit(FLOORS[m]), high + 3 * (high - low)).alias(f"_cut_{m}")
 

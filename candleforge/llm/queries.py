@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candleforge.llm import bpe, decontaminate, html_text, line_dedup, near_dedup, quality, secrets, token_counts, warc
+from candleforge.llm import bpe, decontaminate, html_text, line_dedup, near_dedup, quality, secrets, substring_dedup, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op7_secrets": secrets.op7_secrets,
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
