@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRICES = ("open", "high", "low", "close")
-SERIES = Window.partitionBy("symbol").orderBy("t")
+
+
+def series():
+    """A symbol's bars by time."""
+    return Window.partitionBy("symbol").orderBy("t")
 
 
 def to_number(column: str) -> Column:
@@ -25,8 +29,8 @@ def drop_bad_prices(bars: DataFrame) -> DataFrame:
 def fill_volume(bars: DataFrame) -> DataFrame:
     """Zero volumes count as missing; the last one known is carried on, the first one back to the start, else 0."""
     known = F.when(F.col("volume") != 0, F.col("volume"))
-    before = SERIES.rowsBetween(Window.unboundedPreceding, 0)
-    after = SERIES.rowsBetween(0, Window.unboundedFollowing)
+    before = series().rowsBetween(Window.unboundedPreceding, 0)
+    after = series().rowsBetween(0, Window.unboundedFollowing)
     return bars.withColumn("volume", F.coalesce(F.last(known, ignorenulls=True).over(before), F.first(known, ignorenulls=True).over(after), F.lit(0.0)))
 
 
@@ -55,7 +59,7 @@ def intrabar_extremes(high_bars: DataFrame, low_bars: DataFrame, seconds: int) -
 
 def gaps(bars: DataFrame, seconds: int, forex: bool = False) -> DataFrame:
     """Pairs of neighbouring bars more than 1.5 steps apart; for ``forex`` not those over a weekend."""
-    before = F.lag("t").over(SERIES)
+    before = F.lag("t").over(series())
     out = bars.select("symbol", before.alias("gap_from"), F.col("t").alias("gap_to")).withColumn("missing", F.floor((F.col("gap_to") - F.col("gap_from")) / seconds).cast("long") - 1)
     out = out.filter(F.col("gap_to") - F.col("gap_from") > 1.5 * seconds)
     if forex:

@@ -482,3 +482,22 @@ def stream_monitor(spark, sf_dir):
     import uuid
 
     return live.drain(live.monitor(live.tick_stream(spark, sf_dir, "events.parquet"), 30.0, 30.0, 20), "positions", f"{path}/{uuid.uuid4().hex}")
+
+
+def without_negative_zeros(sql: str) -> str:
+    """``sql`` with 0.0 added to each rounded output column: DuckDB rounds small negative values to -0.0, Spark to 0.0."""
+    out, at = [], 0
+    while (begin := sql.find("round(", at)) >= 0:
+        depth, end = 0, begin + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        out.append(sql[at:end] + (" + 0.0" if sql.startswith(" AS ", end) else ""))
+        at = end
+    return "".join(out) + sql[at:]
+
+
+for _name, _text in ORACLES.items():
+    ORACLES[_name] = without_negative_zeros(_text)
