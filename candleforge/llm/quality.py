@@ -141,9 +141,12 @@ def grouped(df: DataFrame, lang_col: str = "lang", source_col: str = "source") -
 
 def quality_filter(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` that pass, with ``df``'s columns. The text is read twice and never shuffled."""
+    # A column that isn't deterministic keeps the filter above the measures; pushed below, it would work each of them
+    # out anew wherever the condition names it.
     rows = grouped(df, lang_col, source_col)
     cuts = stored(thresholds(measured(rows.select(F.col(text_col).alias("_text"), "_lang", "_source"), "_text", windows=False)))
-    return judged(measured(rows, text_col), cuts).filter("_kept").select(*[df[c] for c in df.columns])
+    rows = measured(rows, text_col).withColumn("_row", F.monotonically_increasing_id())
+    return judged(rows, cuts).filter("_kept AND _row >= 0").select(*[df[c] for c in df.columns])
 
 
 def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
