@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from candleforge.llm.common import stored
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first())
-
-
 def _with_least(edges: DataFrame, own: bool) -> DataFrame:
     """Each edge with the least neighbour ``m`` of its ``a`` (``a`` itself included if ``own``)."""
     least = F.least(F.col("a"), F.min("b")) if own else F.min("b")
@@ -21,63 +17,94 @@ def _with_least(edges: DataFrame, own: bool) -> DataFrame:
     return edges.join(stored(edges.groupBy("a").agg(least.alias("m"))), "a")
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node that isn't a root has one edge, to a root."""
+    n, nodes = edges.agg(F.count("*"), F.countDistinct("a")).first()
+    return n == nodes and edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the least node reachable) of every node of ``edges`` (a, b); self-loops are allowed.
 
-    Large and small stars alternate until nothing changes, in a number of rounds that grows with the logarithm of the
-    edges; each round is two aggregations and two joins, written to the shared folder. No edges give no rows.
+    Large and small stars alternate until all edges are stars, in a number of rounds that grows with the logarithm of
+    the edges; each round is a few aggregations and joins, written to the shared folder. No edges give no rows.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(now)
-    while mark[0]:
-        both = stored(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-        large = _with_least(both, True).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large.filter("a != b"))
+    while not _is_stars(now):
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _with_least(both, True).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(large.filter("a != b").distinct())
         small = _with_least(large, False)
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = stored(small.filter("a != b").distinct())
-        last, mark = mark, _mark(now)
-        if mark == last:
-            break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def linked_components(slots: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+#: Pairs left in unsettled buckets up to which they are compared in full: so many, or this share of all rows.
+FULL_PAIRS, FULL_SHARE = 200_000, 0.05
+
+
+def linked_components(
+    slots: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 6, bounds: Callable[[DataFrame], DataFrame] | None = None, percent: int = 80
+) -> DataFrame:
     """Components (``node``, ``component``) of the links that ``confirm`` finds among nodes that share a ``key``.
 
     ``slots`` (node, key), stored, has the buckets of two nodes or more. A bucket proposes its nodes' pairs with one
     pivot, not all pairs. Buckets whose nodes are all in one component are settled, as more links inside it change
-    nothing. The others try a new pivot in each round, and at last all pairs of nodes from different components, so
-    that no link between nodes that share a bucket is lost. ``confirm`` gets distinct pairs (a > b) and returns the
-    true ones; no pair is given to it twice.
+    nothing. While much is left the others try a new pivot in each round: of the nodes that weren't one yet, that with
+    the most company in its buckets, which the text that others were made from has. At last all pairs of nodes from
+    different components are compared, so that no link between nodes that share a bucket is lost. ``confirm`` gets
+    distinct pairs (a > b) and returns the true ones; no pair is given to it twice.
+
+    ``bounds`` gives the ``size`` of each node's set and the ``most`` elements of it that any other given node can have.
+    A pair shares no more than the lesser ``most``, so pairs whose similarity can't reach ``percent`` aren't made.
     """
-    state = slots.withColumn("part", F.col("node"))
-    links = tried = parts = None
+    sizes = slots.groupBy("key").agg(F.count("*").alias("n"))
+    company = stored(slots.join(stored(sizes), "key").groupBy("node").agg(F.sum("n").alias("company")))
+    slots = stored(slots.join(company, "node"))
+    state = slots.withColumns({"part": F.col("node"), "used": F.lit(0)})
+    links = tried = parts = pivots_used = None
+    rows, last = slots.count(), False
     for turn in range(rounds + 1):
-        if turn < rounds:
-            order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+        if not last:
+            order = F.struct("used", -F.col("company"), "node")
             pivots = stored(state.groupBy("key").agg(F.min_by("node", order).alias("pivot"), F.min_by("part", order).alias("pivot_part")))
             pairs = state.join(pivots, "key").filter("part != pivot_part").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+            used = pivots.select(F.col("pivot").alias("node")).distinct()
+            pivots_used = stored(used if pivots_used is None else pivots_used.union(used).distinct())
         else:
-            other = state.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"))
-            pairs = state.withColumnRenamed("node", "a").join(other, "key").filter("part < part_b").select("a", "b")
+            able = F.col("part") < F.col("part_b")
+            if bounds is not None:
+                state = state.join(stored(bounds(state.select("node").distinct())), "node").filter(100 * F.col("most") >= percent * F.col("size"))
+                shared = F.least("most", "most_b")
+                able &= 100 * shared >= percent * (F.col("size") + F.col("size_b") - shared)
+            state = stored(state)
+            other = state.withColumnsRenamed({"node": "b", "part": "part_b", "size": "size_b", "most": "most_b"}).drop("company", "used")
+            pairs = state.withColumnRenamed("node", "a").join(other, "key").filter(able).select("a", "b")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if links is not None and pairs.isEmpty():
+            # The pivots have met all of their buckets before: what is left is compared in full.
+            if last:
+                break
+            last = True
             continue
         found = stored(confirm(pairs))
         tried = pairs if tried is None else tried.union(pairs)
-        if links is not None and found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        parts = stored(components(links))
-        if turn == rounds:
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            parts = stored(components(links))
+        if last:
             break
-        state = slots.join(parts, "node", "left").select("node", "key", F.coalesce("component", "node").alias("part"))
-        unsettled = stored(state.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key"))
-        state = stored(state.join(unsettled, "key"))
-        if state.isEmpty():
+        state = slots.join(parts, "node", "left").select("node", "key", "company", F.coalesce("component", "node").alias("part"))
+        by_part = state.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
+        unsettled = stored(by_part.select("key", ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("left")).filter("left > 0"))
+        left = unsettled.agg(F.sum("left")).first()[0]
+        if not left:
             break
+        last = left <= max(FULL_PAIRS, FULL_SHARE * rows) or turn == rounds - 1
+        state = state.join(unsettled.select("key"), "key").join(pivots_used.withColumn("used", F.lit(1)), "node", "left")
+        state = stored(state.withColumn("used", F.coalesce("used", F.lit(0))))
     return parts

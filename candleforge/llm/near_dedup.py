@@ -115,6 +115,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b"), verify, f"a {kind}, b {kind}")
 
 
+def shareable(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Of each node the ``size`` of its set and the ``most`` of it that other nodes have: its shingles less its own ones."""
+
+    def batch_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, offsets = shingle_sets(batch.column("text"), size)
+        ids = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offsets))))
+        return pa.RecordBatch.from_arrays([ids, pa.array(hashes.view(np.int64))], ["node", "shingle"])
+
+    own = texts.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", "text")
+    shingles = map_arrow(own, batch_shingles, f"node {own.schema['node'].dataType.simpleString()}, shingle long")
+    # The least node of each shingle stands for its one node where it has one, so no list of nodes is made.
+    of_shingle = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    alone = of_shingle.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = shingles.groupBy("node").agg(F.count("*").alias("size"))
+    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
 def near_duplicates(
     df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = BAND_ROWS
 ) -> DataFrame:
@@ -133,7 +150,9 @@ def near_duplicates(
         return of_class.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     texts = stored(docs.join(stored(slots.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    parts = linked_components(slots.withColumnRenamed("doc_id", "node"), lambda pairs: confirmed(pairs, texts, size, percent))
+    parts = linked_components(
+        slots.withColumnRenamed("doc_id", "node"), lambda pairs: confirmed(pairs, texts, size, percent), 2, lambda nodes: shareable(nodes, texts, size), percent
+    )
     found = parts.withColumnsRenamed({"node": "class", "component": "found"})
     return (
         of_class.join(found, "class", "left")
