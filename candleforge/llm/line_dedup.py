@@ -26,8 +26,8 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Characters of the shingles that are compared exactly, and of those at word starts that are hashed for candidates.
 SHINGLE, ANCHORED = 5, 12
 PERCENT = 80
-#: The circle of hashes is cut in 64 parts, and a point stands at every sixth: 11 points.
-POINT_PARTS = 6
+#: The points cut the circle of hashes in 11 arcs.
+ARC = (1 << 64) // 11
 #: Lines of fewer anchored shingles use keys of two hashes, those of more than half as many use keys of three.
 SHORT = 32
 #: Ids that are broadcast to pick texts; with more the texts are shuffled.
@@ -37,7 +37,7 @@ SMALL = 400_000
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, pos, line and its hashes, of each line that has a word."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")).filter(F.col("doc_id").isNotNull())
-    rows = rows.filter(F.length(F.translate("line", SPACES, "")) > 0)
+    rows = rows.filter(F.btrim("line", F.lit(SPACES)) != "")
     return rows.withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
 
 
@@ -48,7 +48,7 @@ def band_keys(line: Column) -> Column:
 
     def keys(s: Column, many: int) -> Column:
         def part(v: Column) -> Column:
-            return F.floor((F.shiftright(v, 58) + 32) / POINT_PARTS)
+            return F.call_function("div", v, F.lit(ARC))
 
         def key(v: Column, i: Column) -> Column:
             rest = [F.get(s, (i + k) % F.size(s)) for k in range(1, many)]
@@ -72,10 +72,11 @@ def shingle_set(line: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    a = texts.select(F.col("h").alias("a"), F.col("shingles").alias("x"))
-    b = texts.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
+    a = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
+    b = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
     n, m, common = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
-    near = pairs.join(a, "a").join(b, "b").filter(100 * F.least(n, m) >= percent * F.greatest(n, m))
+    near = pairs.join(a, "a").join(b, "b").select("a", "b", shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
+    near = near.filter(100 * F.least(n, m) >= percent * F.greatest(n, m))
     return near.filter(100 * common >= percent * (n + m - common)).select("a", "b")
 
 
@@ -84,15 +85,14 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines_of(df, id_col, text_col)
     places = stored(lines.select("doc_id", "pos", "h", "h2"))
     first = stored(places.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
-    slots = lines.select(F.col("h").alias("node"), F.explode(band_keys(F.col("line"))).alias("key"))
+    slots = stored(lines.select(F.col("h").alias("node"), F.explode(band_keys(F.col("line"))).alias("key")))
     shared = stored(slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key"))
     slots = stored(slots.join(shared, "key").distinct())
     if not slots.isEmpty():
         nodes = stored(slots.select(F.col("node").alias("h")).distinct())
         few = F.broadcast(nodes) if nodes.count() <= SMALL else nodes
         # Not deduplicated by picking a row of each hash, as that would gather the copies of a hot line.
-        texts = lines.join(few, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-        texts = stored(texts.select("h", shingle_set(F.col("line")).alias("shingles")))
+        texts = stored(lines.join(few, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
         parts = linked_components(slots, lambda pairs: confirmed(pairs, texts, percent))
         grouped = first.join(parts.withColumnRenamed("node", "h"), "h", "left")
         least = stored(grouped.filter("component is not null").groupBy("component").agg(F.min("first").alias("least")))
