@@ -5,13 +5,13 @@ same one. Suffixes of the whole corpus don't fit in one place, so equal strings
 of ``least`` bytes is filed under the least hash of the k-grams inside it, which depends on the string alone.
 Neighbouring strings mostly have the same one, so a text is a series of runs, about 35 strings each.
 
-1. Runs are counted by key in compact rows; runs whose key occurs once in the corpus have no twin and go no further.
-   A key that occurs often in a batch is sent once for the batch, so a hot key costs a row for each batch at most.
-2. The texts meet the list of their repeated runs, and the runs' bytes are filed by key. Equal runs of a batch are sent
-   once. Runs of keys above a share of the corpus are cut to single strings filed by their own hash as well, so a
-   boundary that many documents share doesn't gather in one place.
-3. In each file, equal runs are collapsed to the first. Of what still differs a suffix array is sorted and its
-   Burrows-Wheeler transform expanded breadth first: intervals of suffixes with a common string are extended backward,
+1. Runs are filed by key in compact rows, with a hash of their bytes. Equal runs are collapsed to the first, in each
+   batch and then in each file, and the others' strings are marked; so a hot key costs each batch its distinct runs.
+   What is left alone under its key has no twin and goes no further.
+2. The texts meet the list of their runs that share a key with a different one, and those runs' bytes are filed by
+   key. Runs of keys with very many are cut to single strings filed by their own hash as well, so a boundary that many
+   documents share doesn't gather in one place.
+3. In each file a suffix array is sorted and its Burrows-Wheeler transform expanded breadth first: intervals of suffixes with a common string are extended backward,
    eight bytes a step, and split by the symbols before them; intervals of one suffix are dropped, and at ``least``
    bytes the expansion stops. What shares an interval then is equal, and all but the first start is marked.
 4. The texts meet their marked strings, and the covered bytes are removed.
@@ -41,7 +41,7 @@ RUN = 255
 HOT, HOT_SHARE = 2_000, 1 / 500_000
 HOT_PARTS = 64
 #: Files of runs, and groups of texts, for each shuffle partition.
-FILES, GROUPS = 8, 12
+FILES, GROUPS = 2, 12
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -83,7 +83,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> tup
     # Long runs, of periodic text, are cut.
     at = np.flatnonzero(new)
     size = np.diff(np.r_[at, n])
-    inside = np.logical_or.reduceat(twice, at) | (size > least - gram)
+    inside = np.logical_or.reduceat(twice, at) | (size > least - gram + 1)
     pieces = -(-size // RUN)
     start = np.repeat(at, pieces) + RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     end = np.minimum(start + RUN, np.repeat(at + size, pieces)) - 1
@@ -118,122 +118,108 @@ def _undeltas(parts) -> np.ndarray:
     return np.concatenate([np.cumsum(np.frombuffer(p, np.int64)) for p in parts] or [np.zeros(0, np.int64)])
 
 
+def _twins(key: np.ndarray, whole: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the runs that equal one that starts earlier, and of the others, by key."""
+    order = np.lexsort((start, doc, whole, key))
+    twin = np.zeros(len(key), bool)
+    twin[1:] = (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+    return order[twin], order[~twin]
+
+
 def filed_keys(docs: DataFrame, files: int, least: int, gram: int) -> DataFrame:
-    """Runs by file: keys, the times that each occurs in the batch, documents and starts; ``sure`` rows are repeated."""
+    """Distinct runs of each batch by file; ``sure`` rows hold runs that equal one of the same batch."""
 
     def batch_runs(batch: pa.RecordBatch) -> pa.Table | None:
         ids = batch.column("doc_id").to_numpy()
         found, begin = [], 0
         for run in slices(batch.column("text")):
-            key, text, start, _, inside = runs_of(*bytes_of(run), least, gram)
-            found.append((key, ids[begin : begin + len(run)][text], start.astype(np.int32), inside))
+            data, offsets = bytes_of(run)
+            key, text, start, end, inside = runs_of(data, offsets, least, gram)
+            whole = range_hashes(data, offsets[text] + start, offsets[text] + end + least)
+            found.append((key, whole, ids[begin : begin + len(run)][text], start.astype(np.int32), (end - start).astype(np.uint8), inside))
             begin += len(run)
-        key, doc, start, inside = (np.concatenate(x) for x in zip(*found, strict=True))
+        key, whole, doc, start, more, inside = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(key):
             return None
-        order = np.argsort(key, kind="stable")
-        new = np.ones(len(key), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        times = np.diff(np.r_[np.flatnonzero(new), len(key)])
-        first, more = order[new], order[~new]
-        back = np.argsort(first)
-        first, times = first[back], times[back]
-        times = times + inside[first]
-        rows = []
-        for part in _split(key[first] % np.uint64(files)):
-            at = first[part]
-            rows.append((int(key[at[0]] % np.uint64(files)), False, (key[at] >> np.uint64(25)).astype(np.uint32).tobytes(), times[part].astype(np.uint32).tobytes(), _deltas(doc[at]), start[at].tobytes()))
-        if len(more):
-            # Twins within the batch are repeated for sure; any file may pass them on.
-            more = np.sort(more)
-            rows.append((int(mixed(key[more[:1]])[0] % np.uint64(files)), True, b"", b"", _deltas(doc[more]), start[more].tobytes()))
-        kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "sure", "keys", "times", "docs", "starts"])
+        twins, first = _twins(key, whole, doc, start)
+        first = np.sort(first)
+
+        def row(at: np.ndarray, sure: bool) -> tuple:
+            return (int(key[at[0]] % np.uint64(files)), sure, b"" if sure else (key[at] >> np.uint64(25)).astype(np.uint32).tobytes(), b"" if sure else whole[at].tobytes(),
+                    _deltas(doc[at]), start[at].tobytes(), more[at].tobytes(), b"" if sure else inside[at].tobytes())
 
-    return map_arrow(docs, batch_runs, "file int, sure boolean, keys binary, times binary, docs binary, starts binary")
+        rows = [row(first[p], False) for p in _split(key[first] % np.uint64(files))]
+        if len(twins):
+            # Marked for sure; any file may pass them on.
+            rows.append(row(np.sort(twins), True))
+        kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 6)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "sure", "keys", "wholes", "docs", "starts", "sizes", "inside"])
 
+    return map_arrow(docs, batch_runs, "file int, sure boolean, keys binary, wholes binary, docs binary, starts binary, sizes binary, inside binary")
 
-def repeated_runs(filed: DataFrame, groups: int, hot: int) -> DataFrame:
-    """By group of documents: documents and starts of runs whose key is repeated; in group -1: hot keys by file."""
+
+def sorted_runs(filed: DataFrame, hot: int) -> DataFrame:
+    """Runs of which the first (doc_id, first, last) strings are marked, or wanted with their bytes; hot keys have no doc_id."""
 
     def in_file(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sure, rows = rows[rows["sure"]], rows[~rows["sure"]]
-        keys = np.frombuffer(b"".join(rows["keys"]), np.uint32)
-        times = np.frombuffer(b"".join(rows["times"]), np.uint32).astype(np.int64)
-        docs, starts = _undeltas(rows["docs"]), _int(rows["starts"])
-        _, own, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, times, len(own)).astype(np.int64)
-        keep = total[inverse] > 1
-        docs = np.concatenate([docs[keep], _undeltas(sure["docs"])])
-        starts = np.concatenate([starts[keep], _int(sure["starts"])])
-        out = [(int(docs[p[0]] % groups), 0, docs[p].tobytes(), starts[p].tobytes()) for p in _split(docs % groups)]
-        if (heavy := np.flatnonzero(total > hot)).size:
-            out.append((-1, int(key[0]), keys[own[heavy]].tobytes(), b""))
-        return pd.DataFrame(out, columns=["group", "file", "docs", "starts"])
+        keys, whole = np.frombuffer(b"".join(rows["keys"]), np.uint32), np.frombuffer(b"".join(rows["wholes"]), np.uint64)
+        doc, start, inside = _undeltas(rows["docs"]), _int(rows["starts"]), np.frombuffer(b"".join(rows["inside"]), bool)
+        end = start + np.frombuffer(b"".join(rows["sizes"]), np.uint8)
+        twins, first = _twins(keys, whole, doc, start)
+        own, inverse, count = np.unique(keys[first], return_inverse=True, return_counts=True)
+        wanted = first[(count[inverse] > 1) | inside[first]]
+        heavy = own[count > hot].astype(np.int64) | (int(key[0]) << 32)
+        sure_start = _int(sure["starts"])
+        parts = (
+            (_undeltas(sure["docs"]), sure_start, sure_start + np.frombuffer(b"".join(sure["sizes"]), np.uint8), False, 0),
+            (doc[twins], start[twins], end[twins], False, 0),
+            (doc[wanted], start[wanted], end[wanted], True, 0),
+        )
+        out = [pd.DataFrame({"doc_id": pd.array(d, "Int64"), "first": a, "last": b, "wanted": w, "hot_key": k}) for d, a, b, w, k in parts]
+        out.append(pd.DataFrame({"doc_id": pd.array([None] * len(heavy), "Int64"), "first": 0, "last": 0, "wanted": False, "hot_key": heavy}))
+        return pd.concat([x for x in out if len(x)] or out[:1])
 
-    return filed.groupBy("file").applyInPandas(in_file, "group int, file int, docs binary, starts binary")
+    return filed.groupBy("file").applyInPandas(in_file, "doc_id long, first int, last int, wanted boolean, hot_key long")
 
 
-def filed_runs(docs: DataFrame, repeated: DataFrame, hot_keys, files: int, least: int, gram: int) -> DataFrame:
-    """Repeated runs by file, with their bytes; ``sure`` rows hold strings that are marked already."""
+def filed_runs(docs: DataFrame, wanted: DataFrame, hot_keys: np.ndarray, files: int, least: int, gram: int) -> DataFrame:
+    """The wanted runs by file, with their bytes."""
+    kinds = {"file": pa.int32(), "keys": pa.binary(), "docs": pa.binary(), "starts": pa.binary(), "ends": pa.binary(), "bytes": pa.binary()}
 
     def in_group(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        kinds = {"file": pa.int32(), "sure": pa.bool_(), "keys": pa.binary(), "docs": pa.binary(), "starts": pa.binary(), "ends": pa.binary(), "inside": pa.binary(), "bytes": pa.binary()}
-        schema = pa.schema(kinds)
-        wanted_docs, wanted_starts = _long(lists["docs"].to_pylist()), _int(lists["starts"].to_pylist())
-        if not len(wanted_docs) or not texts.num_rows:
-            return schema.empty_table()
-        # Run starts as (document, start), to tell the repeated ones.
-        ids = texts["doc_id"].combine_chunks().to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        place = np.searchsorted(ids, wanted_docs)
-        wanted = np.unique((place.astype(np.int64) << 32) | wanted_starts)
-        column = texts["text"].combine_chunks().take(pa.array(order))
-        parts, begin = [], 0
-        for run in slices(column):
-            data, offsets = bytes_of(run)
-            key, text, start, end, inside = runs_of(data, offsets, least, gram)
-            at = ((text + begin).astype(np.int64) << 32) | start
-            keep = np.isin(at, wanted)
-            parts.append((key[keep], ids[begin + text[keep]], start[keep], end[keep], offsets[text[keep]], inside[keep], data))
-            begin += len(run)
         rows = []
-        for key, doc, start, end, base, inside, data in parts:
-            if not len(key):
-                continue
-            low, high = base + start, base + end
-            shift = start - low
-            if len(hot_keys):
-                marks = (key % np.uint64(files)).astype(np.uint64) << np.uint64(32) | key >> np.uint64(25)
-                if (is_hot := np.isin(marks, hot_keys)).any():
-                    size = (high - low + 1)[is_hot]
-                    one = np.repeat(low[is_hot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    part = range_hashes(data, one, one + least) % np.uint64(HOT_PARTS)
-                    own_key = mixed(np.repeat(key[is_hot], size) + part + np.uint64(1))
-                    own_doc, own_shift = np.repeat(doc[is_hot], size), np.repeat(shift[is_hot], size)
-                    cold = ~is_hot
-                    key, doc, shift = np.concatenate([key[cold], own_key]), np.concatenate([doc[cold], own_doc]), np.concatenate([shift[cold], own_shift])
-                    low, high = np.concatenate([low[cold], one]), np.concatenate([high[cold], one])
-                    inside = np.concatenate([inside[cold], np.zeros(len(one), bool)])
-            # Equal runs of one key: the first by document and start is filed, the others are marked.
-            whole = range_hashes(data, low, high + least)
-            order = np.lexsort((low + shift, doc, whole, key))
-            twin = np.zeros(len(key), bool)
-            twin[1:] = (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-            marked, filed = order[twin], order[~twin]
-            if len(marked):
-                rows.append((int(doc[marked[0]] % files), True, b"", doc[marked].tobytes(), (low + shift)[marked].astype(np.int32).tobytes(), (high + shift)[marked].astype(np.int32).tobytes(), b"", b""))
-            for p in _split(key[filed] % np.uint64(files)):
-                at = filed[p]
-                blob = b"".join([data[a : b + least].tobytes() for a, b in zip(low[at].tolist(), high[at].tolist(), strict=True)])
-                rows.append((int(key[at[0]] % np.uint64(files)), False, key[at].tobytes(), doc[at].tobytes(), (low + shift)[at].astype(np.int32).tobytes(), (high + shift)[at].astype(np.int32).tobytes(), inside[at].tobytes(), blob))
+        if lists.num_rows and texts.num_rows:
+            ids = texts["doc_id"].combine_chunks().to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            # Only texts with wanted runs are cut to runs again; a run is told by (document, start).
+            place = np.searchsorted(ids, lists["doc_id"].combine_chunks().to_numpy())
+            have, place = np.unique(place, return_inverse=True)
+            marks = np.unique((place.astype(np.int64) << 32) | lists["first"].combine_chunks().to_numpy())
+            ids, begin = ids[have], 0
+            for run in slices(texts["text"].combine_chunks().take(pa.array(order[have]))):
+                data, offsets = bytes_of(run)
+                key, text, start, end, _ = runs_of(data, offsets, least, gram)
+                keep = np.isin(((text + begin) << 32) | start, marks)
+                key, doc, shift = key[keep], ids[begin + text[keep]], -offsets[text[keep]]
+                low, high = start[keep] - shift, end[keep] - shift
+                begin += len(run)
+                if len(hot_keys) and (hot := np.isin((key % np.uint64(files)) << np.uint64(32) | (key >> np.uint64(25)) & np.uint64(0xFFFFFFFF), hot_keys)).any():
+                    size = (high - low + 1)[hot]
+                    one = np.repeat(low[hot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    own_key = mixed(np.repeat(key[hot], size) + range_hashes(data, one, one + least) % np.uint64(HOT_PARTS) + np.uint64(1))
+                    doc, shift = np.concatenate([doc[~hot], np.repeat(doc[hot], size)]), np.concatenate([shift[~hot], np.repeat(shift[hot], size)])
+                    key, low, high = np.concatenate([key[~hot], own_key]), np.concatenate([low[~hot], one]), np.concatenate([high[~hot], one])
+                for at in _split(key % np.uint64(files)):
+                    blob = b"".join([data[a : b + least].tobytes() for a, b in zip(low[at].tolist(), high[at].tolist(), strict=True)])
+                    rows.append((int(key[at[0]] % np.uint64(files)), key[at].tobytes(), doc[at].tobytes(), (low + shift)[at].astype(np.int32).tobytes(), (high + shift)[at].astype(np.int32).tobytes(), blob))
         if not rows:
-            return schema.empty_table()
+            return pa.schema(kinds).empty_table()
         return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
 
-    out = "file int, sure boolean, keys binary, docs binary, starts binary, ends binary, inside binary, bytes binary"
-    return docs.groupBy("group").cogroup(repeated.groupBy("group")).applyInArrow(in_group, out)
+    out = "file int, keys binary, docs binary, starts binary, ends binary, bytes binary"
+    return docs.groupBy("group").cogroup(wanted.groupBy("group")).applyInArrow(in_group, out)
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +229,7 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     symbol = np.zeros(n, np.uint64)
     for i in range(8):
         symbol = (symbol << np.uint64(8)) | padded[i : n + i].astype(np.uint64)
-    order = np.argsort(symbol, kind="stable")
+    order = np.argsort(symbol)
     new = np.r_[False, symbol[order][1:] != symbol[order][:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(new)
@@ -252,7 +238,7 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         ahead = np.zeros(n, np.int64)
         ahead[: max(n - reach, 0)] = rank[reach:] + 1
         both = rank * (n + 1) + ahead
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         new = np.r_[False, both[order][1:] != both[order][:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
@@ -267,7 +253,7 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.
     place, symbol = suffix_order(data, least)
     head = (least - 1) % 8 + 1
     at = starts + least - head
-    who = np.argsort(place[at], kind="stable")
+    who = np.argsort(place[at])
     at = at[who]
     mark = symbol[at] >> np.uint64(64 - 8 * head)
     interval = np.cumsum(np.r_[False, mark[1:] != mark[:-1]]) if len(at) else np.zeros(0, np.int64)
@@ -282,60 +268,42 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.
         # One step backward: the symbol before each suffix, and the suffix that begins with it.
         at = at - 8
         before = symbol[at]
-        order = np.argsort(place[at], kind="stable")
+        order = np.argsort(place[at])
         at, who, interval, before = at[order], who[order], interval[order], before[order]
         interval = np.cumsum(np.r_[False, (interval[1:] != interval[:-1]) | (before[1:] != before[:-1])])
         done += 8
 
 
-def marked_strings(filed: DataFrame, groups: int, least: int) -> DataFrame:
-    """By group of documents: documents, first and last start of strings that start earlier elsewhere."""
+def marked_strings(filed: DataFrame, least: int) -> DataFrame:
+    """First and last start of the strings that start earlier elsewhere, by document."""
 
     def in_file(rows: pd.DataFrame) -> pd.DataFrame:
-        sure, rows = rows[rows["sure"]], rows[~rows["sure"]]
-        out = [(_long(sure["docs"]), _int(sure["starts"]).astype(np.int64), _int(sure["ends"]).astype(np.int64))]
         key = np.frombuffer(b"".join(rows["keys"]), np.uint64)
-        if len(key):
-            doc, start, end = _long(rows["docs"]), _int(rows["starts"]).astype(np.int64), _int(rows["ends"]).astype(np.int64)
-            data = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
-            size = end - start + least
-            low = np.cumsum(size) - size
-            whole = range_hashes(data, low, low + size)
-            order = np.lexsort((start, doc, whole, key))
-            twin = np.zeros(len(key), bool)
-            twin[1:] = (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-            marked, single = order[twin], order[~twin]
-            out.append((doc[marked], start[marked], end[marked]))
-            # What is alone under its key has no equal strings, unless it holds its key twice.
-            inside = np.frombuffer(b"".join(rows["inside"]), bool)
-            _, inverse, count = np.unique(key[single], return_inverse=True, return_counts=True)
-            single = single[(count[inverse] > 1) | inside[single]]
-            if len(single):
-                n = size[single]
-                at = np.cumsum(n) - n
-                text = data[np.repeat(low[single] - at, n) + np.arange(n.sum())]
-                n = end[single] - start[single] + 1
-                of = np.repeat(np.arange(len(single)), n)
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                who, interval = equal_strings(text, at[of] + inner, least)
-                own_doc, own_start = doc[single][of[who]], start[single][of[who]] + inner[who]
-                order = np.lexsort((own_start, own_doc, interval))
-                again = np.zeros(len(order), bool)
-                again[1:] = interval[order][1:] == interval[order][:-1]
-                own_doc, own_start = own_doc[order[again]], own_start[order[again]]
-                order = np.lexsort((own_start, own_doc))
-                own_doc, own_start = own_doc[order], own_start[order]
-                if len(order):
-                    new = np.r_[True, (own_doc[1:] != own_doc[:-1]) | (own_start[1:] > own_start[:-1] + 1)]
-                    last = np.r_[np.flatnonzero(new)[1:] - 1, len(order) - 1]
-                    out.append((own_doc[new], own_start[new], own_start[last]))
+        doc, start, end = _long(rows["docs"]), _int(rows["starts"]).astype(np.int64), _int(rows["ends"]).astype(np.int64)
+        text = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
+        size = end - start + least
+        low = np.cumsum(size) - size
+        out = [(doc[:0], start[:0], end[:0])]
+        # Cut runs of hot keys may be equal again.
+        twins, single = _twins(key, range_hashes(text, low, low + size), doc, start)
+        out.append((doc[twins], start[twins], end[twins]))
+        n = (end - start + 1)[single]
+        of = np.repeat(single, n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        who, interval = equal_strings(text, low[of] + inner, least)
+        own_doc, own_start = doc[of[who]], start[of[who]] + inner[who]
+        order = np.lexsort((own_start, own_doc, interval))
+        again = order[np.r_[False, interval[order][1:] == interval[order][:-1]]] if len(order) else order
+        again = again[np.lexsort((own_start[again], own_doc[again]))]
+        own_doc, own_start = own_doc[again], own_start[again]
+        if len(again):
+            new = np.r_[True, (own_doc[1:] != own_doc[:-1]) | (own_start[1:] > own_start[:-1] + 1)]
+            last = np.r_[np.flatnonzero(new)[1:] - 1, len(again) - 1]
+            out.append((own_doc[new], own_start[new], own_start[last]))
         doc, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame(
-            [(int(doc[p[0]] % groups), doc[p].tobytes(), start[p].astype(np.int32).tobytes(), end[p].astype(np.int32).tobytes()) for p in _split(doc % groups)],
-            columns=["group", "docs", "starts", "ends"],
-        )
+        return pd.DataFrame({"doc_id": doc, "first": start.astype(np.int32), "last": end.astype(np.int32)})
 
-    return filed.groupBy("file").applyInPandas(in_file, "group int, docs binary, starts binary, ends binary")
+    return filed.groupBy("file").applyInPandas(in_file, "doc_id long, first int, last int")
 
 
 def without(data: bytes, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[bytes, int, int]:
@@ -357,16 +325,20 @@ def substring_dedup(df: DataFrame, least: int = LEAST, gram: int = GRAM, id_col:
     known = docs.filter("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     hot = max(HOT, int(total * 2 / (least - gram) * HOT_SHARE))
-    repeated = stored(repeated_runs(filed_keys(known, files, least, gram), groups, hot))
-    heavy = repeated.filter("group = -1").select("file", "docs").collect()
-    hot_keys = np.concatenate([np.zeros(0, np.uint64), *[(np.uint64(r.file) << np.uint64(32)) | np.frombuffer(r.docs, np.uint32).astype(np.uint64) for r in heavy]])
-    grouped = docs.withColumn("group", F.coalesce(F.pmod("doc_id", F.lit(groups)), F.lit(-2)).cast("int"))
-    lists = repeated.filter("group >= 0").select("group", "docs", "starts")
-    filed = filed_runs(grouped.filter("doc_id is not null"), lists, hot_keys, files, least, gram)
-    marked = stored(marked_strings(filed, groups, least))
+    runs = stored(sorted_runs(filed_keys(known, files, least, gram), hot))
+    hot_keys = np.array([r[0] for r in runs.filter("doc_id IS NULL").select("hot_key").collect()], np.int64).astype(np.uint64)
+
+    def in_groups(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("group", F.coalesce(F.pmod("doc_id", F.lit(groups)), F.lit(-2)).cast("int"))
+
+    grouped = in_groups(docs)
+    wanted = in_groups(runs.filter("wanted").select("doc_id", "first"))
+    filed = filed_runs(in_groups(known), wanted, hot_keys, files, least, gram)
+    more = stored(marked_strings(filed, least))
+    marked = in_groups(runs.filter("doc_id IS NOT NULL AND NOT wanted").select("doc_id", "first", "last").unionByName(more))
 
     def in_group(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        doc, start, end = _long(lists["docs"].to_pylist()), _int(lists["starts"].to_pylist()).astype(np.int64), _int(lists["ends"].to_pylist()).astype(np.int64)
+        doc, start, end = (lists[c].combine_chunks().to_numpy().astype(np.int64) for c in ("doc_id", "first", "last"))
         order = np.argsort(doc, kind="stable")
         doc, start, end = doc[order], start[order], end[order]
         out = []
