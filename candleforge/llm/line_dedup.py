@@ -1,12 +1,15 @@
 """Fuzzy line deduplication in DataFrame functions only.
 
 Lines of the whole corpus are compared, and of each group of equal or similar lines the first, by document and line
-number, stays. Equal lines meet in an aggregation of their 128-bit hashes. For similar ones, each line gets a MinHash
-signature over character shingles taken at its words' starts (at every letter of scripts that don't space words, and
-inside long runs): the shingles' hashes are sorted on a circle, and the first hashes from each of a number of fixed
-points on make that point's band key, which two lines share with probability J**2 for short lines and J**3 for others.
-Lines that share a key are proposed, and confirmed if their full sets of character shingles have a Jaccard similarity
-of 0.8 or more. Components of confirmed links are found by a distributed union-find.
+number, stays. Equal lines meet in an aggregation of their 128-bit hashes. For similar ones, each line's character
+shingles, the same that are compared in the end, are hashed and sorted on a circle, and runs of neighbouring hashes are
+keys. Sets of Jaccard similarity 0.8 or more differ in at most a fifth of their union, and one element breaks at most
+four of the runs of four, so at least a fifth of these is whole in both: lines of up to KEYS shingles use all of their
+runs and miss no such pair. Longer lines take the runs whose first hash is under a bound that falls with the line's
+size, about KEYS of them, which two lines choose alike; above SHORT shingles they use runs of five. A pair at similarity
+0.8 then shares about 10 keys, and none with a probability near 1e-4. Lines that share a key are proposed, and confirmed
+if their sets have a Jaccard similarity of 0.8 or more; with a lower ``percent`` fewer of the pairs are proposed.
+Components of confirmed links are found by a distributed union-find.
 
 Defined results: null and empty texts have no lines; lines without a word stay and are compared with nothing; a text
 of which no line stays becomes empty, and its row stays; rows that share an id count as one document, so a line in
@@ -23,13 +26,15 @@ from candleforge.llm.common import stored, table
 from candleforge.llm.graph import linked_components
 
 SPACES = " \t\n\x0b\x0c\r"
-#: Characters of the shingles that are compared exactly, and of those at word starts that are hashed for candidates.
-SHINGLE, ANCHORED = 5, 12
+#: Characters of the shingles.
+SHINGLE = 5
 PERCENT = 80
-#: The points cut the circle of hashes in 11 arcs.
-ARC = (1 << 64) // 11
-#: Lines of fewer anchored shingles use keys of two hashes, those of more than half as many use keys of three.
-SHORT = 32
+#: Keys of a longer line, on average; a line of up to so many shingles uses all of its runs.
+KEYS = 28
+#: Sets above this size have runs of five, those up to 5 / 4 of it runs of four, so that similar ones have a kind in common.
+SHORT = 40
+#: Steps of the bound on first hashes.
+STEPS = 1 << 20
 #: Ids that are broadcast to pick texts; with more the texts are shuffled.
 SMALL = 400_000
 
@@ -41,43 +46,42 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
 
 
+def shingle_set(line: Column) -> Column:
+    """Hashes of a line's distinct character shingles; a shorter line is its own shingle."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(line)), lambda x: F.xxhash64(x)))
+
+
 def band_keys(line: Column) -> Column:
     """The band keys of a line."""
-    anchored = F.regexp_extract_all(line, F.lit(rf"(?=(.{{1,{ANCHORED}}}))(?:[^ \p{{Lo}}]{{1,8}} *|\p{{Lo}} *| +)"), F.lit(1))
-    circle = F.sort_array(F.array_distinct(F.transform(anchored, lambda x: F.xxhash64(x))))
 
     def keys(s: Column, many: int) -> Column:
-        def part(v: Column) -> Column:
-            return F.call_function("div", v, F.lit(ARC))
-
         def key(v: Column, i: Column) -> Column:
             rest = [F.get(s, (i + k) % F.size(s)) for k in range(1, many)]
-            first = (i == 0) | (part(v) != part(F.get(s, i - 1)))
-            return F.when(first, F.xxhash64(v, *rest, F.lit(many)))
+            # Low bits choose; the order on the circle is by the high ones.
+            return F.when(F.pmod(v, F.lit(STEPS)) * F.size(s) < KEYS * STEPS, F.xxhash64(v, *rest, F.lit(many)))
 
         return F.array_compact(F.transform(s, key))
 
     none = F.array().cast("array<bigint>")
     both = F.transform(
-        F.array(circle),
-        lambda s: F.concat(F.when(F.size(s) < SHORT, keys(s, 2)).otherwise(none), F.when(F.size(s) > SHORT // 2, keys(s, 3)).otherwise(none)),
+        F.array(F.sort_array(shingle_set(line))),
+        lambda s: F.concat(F.when(4 * F.size(s) <= 5 * SHORT, keys(s, 4)).otherwise(none), F.when(F.size(s) > SHORT, keys(s, 5)).otherwise(none)),
     )
     return F.array_distinct(F.flatten(both))
 
 
-def shingle_set(line: Column) -> Column:
-    """Hashes of a line's distinct character shingles; a shorter line is its own shingle."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(line)), lambda x: F.xxhash64(x)))
-
-
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     a = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
     b = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
-    n, m, common = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
-    near = pairs.join(a, "a").join(b, "b").select("a", "b", shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
-    near = near.filter(100 * F.least(n, m) >= percent * F.greatest(n, m))
-    return near.filter(100 * common >= percent * (n + m - common)).select("a", "b")
+
+    def near(s: Column) -> Column:
+        n, m = F.size(s["x"]), F.size(s["y"])
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.size(F.array_intersect(s["x"], s["y"])) >= percent * (n + m))
+
+    # Inside a transform the sets are made once for each pair, and not for each place that names them.
+    sets = F.array(F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y")))
+    return pairs.join(a, "a").join(b, "b").filter(F.transform(sets, near)[0]).select("a", "b")
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -102,6 +102,32 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.removed_lines(empty).count() == 0 and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_similar_lines_of_every_length(spark):
+    """Lines that differ by a mark, a digit or a word, against brute force over the pairs, by length."""
+    rng = random.Random(7)
+    pairs = [("Subscribe now", "Subscribe now!")]
+    for length in (9, 12, 16, 24, 36, 50, 90, 300, 1200):
+        for _ in range(40):
+            line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(length - 2)).strip() + "xy"
+            words = line.split()
+            words[rng.randrange(len(words))] = "changed"
+            at = rng.randrange(len(line))
+            pairs += [(line, line + rng.choice("!?.")), (line, line[:at] + str(rng.randrange(10)) + line[at + 1 :]), (line, " ".join(words)), (line, line[1:])]
+            pairs.append((line, "".join(c if rng.random() < 0.97 else "#" for c in line)))
+
+    def of(x):
+        return {x[k : k + 5] for k in range(len(x) - 4)} or {x}
+
+    wanted = [(a, b) for a, b in pairs if a != b and 100 * len(of(a) & of(b)) >= 80 * len(of(a) | of(b))]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(dict.fromkeys(x for pair in wanted for x in pair))], "h long, line string")
+    keys = {r.line: set(r.keys) for r in df.select("line", line_dedup.band_keys(df["line"]).alias("keys")).collect()}
+    missed = [(a, b) for a, b in wanted if not keys[a] & keys[b]]
+    assert len(wanted) > 700 and not missed
+    rows = [(0, "Subscribe now"), (1, "Subscribe now!"), (2, "Something else"), (3, "Log in 1"), (4, "Log in")]
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [0], 2: [], 3: [], 4: []}
+
+
 def brute_substrings(rows, least: int) -> dict:
     seen, out = set(), {}
     for i, text in sorted(rows):
