@@ -5,6 +5,8 @@ count every document of the corpus. Benchmark items are cut into overlapping pas
 distributed randomised SVD: a random block of vectors is multiplied by A'A, partial sums coming from the tasks and
 orthonormalised blocks of fixed size going back, and a small eigenproblem gives the latent basis. Each document is cut
 into overlapping windows of words; a window is projected to the latent space and searched for passages by cosine.
+Of a large benchmark the basis keeps only a part of each passage. Passages of which it keeps less than ``KEPT`` are
+searched by their full TF-IDF cosine as well, through postings of their heavy terms, whatever the number of items.
 Windows of which too little weight lies on benchmark terms are skipped first, as no passage can be that near to them.
 A candidate item is confirmed around its window: the longest common subsequence must hold most of the item's words
 within a stretch not much longer than the item, and most of the words of its answer (its last sentence).
@@ -33,6 +35,11 @@ RANK, SPARE, ITERATIONS, SEED = 256, 16, 2, 20240501
 WINDOW, STRIDE = 32, 16
 #: Least cosine of a candidate, least share of an item's words in the common subsequence and of its answer's words.
 LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.4, 0.7, 0.5
+#: Passages that keep less than this of their length in the latent space are searched in full, and the length of their
+#: lightest terms that get no postings.
+KEPT, TAIL = 0.9, 0.2
+#: Window and passage scores held at once.
+SCORES = 4_000_000
 #: A stretch that is compared has this many times an item's words.
 STRETCH = 1.5
 BLOCK = 20_000
@@ -194,6 +201,43 @@ class Matcher:
             projected = self._projected(row, term, value, len(terms))
             norm = np.linalg.norm(projected, axis=1, keepdims=True)
             self.passages = projected / np.maximum(norm, 1e-9)
+            self._index(np.flatnonzero(norm[:, 0] < KEPT), row, term, value)
+
+    def _index(self, left: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
+        """Postings of the heavy terms, and all terms, of the passages ``left`` that the basis keeps too little of."""
+        self.left = left
+        own = np.isin(row, left)
+        row, term, value = np.searchsorted(left, row[own]), term[own], value[own]
+        self.left_keys, self.left_values = (row << TERM_BITS) | term, value
+        self.left_first = np.searchsorted(row, np.arange(len(left) + 1))
+        order = np.lexsort((value, row))
+        square = np.cumsum(value[order] ** 2)
+        before = np.r_[0.0, square][self.left_first[:-1]]
+        light = np.zeros(len(row), bool)
+        light[order] = square - before[row[order]] <= TAIL**2
+        self.tail = np.sqrt(np.bincount(row[light], value[light] ** 2, len(left)))
+        by_term = np.flatnonzero(~light)[np.argsort(term[~light], kind="stable")]
+        self.post_row, self.post_value = row[by_term], value[by_term]
+        self.post_first = np.searchsorted(term[by_term], np.arange((1 << TERM_BITS) + 1))
+
+    def _full_search(self, terms: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window, passage and cosine of the passages left that are as near as ``least`` by all their terms."""
+        row, term, value = rows_of(terms, self.idf)
+        lengths = self.post_first[term + 1] - self.post_first[term]
+        at = np.repeat(self.post_first[term] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        score = np.bincount(np.repeat(row, lengths) * len(self.left) + self.post_row[at], np.repeat(value, lengths) * self.post_value[at], len(terms) * len(self.left))
+        # The light terms add no more than their length.
+        score = score.reshape(len(terms), -1)
+        windows, near = np.nonzero((score > 0) & (score >= least - self.tail - 1e-9))
+        many = self.left_first[near + 1] - self.left_first[near]
+        pair = np.repeat(np.arange(len(near)), many)
+        at = np.repeat(self.left_first[near] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        wanted = (windows[pair] << TERM_BITS) | (self.left_keys[at] & ((1 << TERM_BITS) - 1))
+        keys = (row << TERM_BITS) | term
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        cosine = np.bincount(pair, np.where(keys[place] == wanted, value[place], 0.0) * self.left_values[at], len(near))
+        good = cosine >= least
+        return windows[good], self.left[near[good]], cosine[good]
 
     def _projected(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, self.basis.shape[1]), np.float32)
@@ -231,6 +275,18 @@ class Matcher:
         # A repeated term weighs as its square in the vectors and once for each time here, so the bound leaves room.
         keep = np.flatnonzero(on[end] - on[start] >= 0.5 * least**2 * length**2)
         found: dict[tuple[int, int, int], tuple[int, float]] = {}
+
+        def add(windows: np.ndarray, passages: np.ndarray, cosine: np.ndarray) -> None:
+            for w, p, c in zip(windows.tolist(), passages.tolist(), cosine.tolist(), strict=True):
+                key = (int(text[w]), int(self.of[p]), int(start[w]))
+                if c >= least and (key not in found or found[key][1] < c):
+                    found[key] = (int(end[w]), c)
+
+        step = max(1, min(4096, SCORES // max(1, len(self.left))))
+        for a in range(0, len(keep) if len(self.left) else 0, step):
+            part = keep[a : a + step]
+            windows, passages, cosine = self._full_search([terms[start[w] : end[w]] for w in part], least)
+            add(part[windows], passages, cosine)
         for a in range(0, len(keep), 4096):
             part = keep[a : a + 4096]
             middle = np.minimum(start[part] + STRIDE, end[part])
@@ -249,10 +305,7 @@ class Matcher:
             row, term, value = rows_of([terms[start[w] : end[w]] for w in part[hit]], self.idf)
             exact = self._projected(row, term, value, len(hit))
             cosine = np.einsum("ij,ij->i", exact[rows], self.passages[passages])
-            for w, p, c in zip(part[hit][rows].tolist(), passages.tolist(), cosine.tolist(), strict=True):
-                key = (int(text[w]), int(self.of[p]), int(start[w]))
-                if c >= least and (key not in found or found[key][1] < c):
-                    found[key] = (int(end[w]), c)
+            add(part[hit][rows], passages, cosine)
         return [(t, i, s, e, c) for (t, i, s), (e, c) in found.items()]
 
     def _block_sums(self, bounds: np.ndarray, slot: np.ndarray, terms: np.ndarray) -> np.ndarray:

@@ -67,6 +67,30 @@ def test_latent_search_recall(spark, leaky):
     assert wanted and len(found & wanted) >= 0.9 * len(wanted)
 
 
+def test_recall_of_a_large_benchmark(spark):
+    """Verbatim copies of some of thousands of items of a shared vocabulary, far more than the basis has directions."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(6000)]
+    share = 1.0 / np.arange(20, 6020)
+    share /= share.sum()
+
+    def text(n):
+        return " ".join(vocabulary[k] for k in rng.choice(6000, n, p=share))
+
+    own = [(i, text(60)) for i in range(2000)]
+    docs = [text(50) + " " + own[i][1] + " " + text(50) for i in range(0, 2000, 20)]
+    frame = spark.createDataFrame([(t,) for t in docs] + [(text(200),) for _ in range(300)], "text string")
+    frequencies, n = decontaminate.document_frequencies(frame)
+    idf = decontaminate.weights(frequencies, n)
+    used, basis = decontaminate.latent_basis(decontaminate.passages(spark.createDataFrame(own, "item_id long, text string")).cache(), idf)
+    matcher = decontaminate.Matcher(own, idf, used, basis)
+    hashes, first = decontaminate.word_hashes(pa.array(docs))
+    found = {(t, i) for t, i, *_ in matcher.candidates(hashes, first, decontaminate.LEAST_COSINE)}
+    assert {(k, 20 * k) for k in range(100)} <= found
+
+
 def test_longest_common():
     rng = random.Random(1)
     for _ in range(60):
