@@ -9,7 +9,8 @@ Of a large benchmark the basis keeps only a part of each passage. Passages of wh
 searched by their full TF-IDF cosine as well, through postings of their heavy terms, whatever the number of items.
 Windows of which too little weight lies on benchmark terms are skipped first, as no passage can be that near to them.
 A candidate item is confirmed around its window: the longest common subsequence must hold most of the item's words
-within a stretch not much longer than the item, and most of the words of its answer (its last sentence).
+within a stretch not much longer than the item. If an item marks its answer ("Answer: ..."), a stretch with less than
+``VERBATIM`` of the item's words must have most of the answer's words too; other items have no answer to look for.
 
 Benchmarks go in blocks of at most ``BLOCK`` items, so what a task holds is bounded; every document meets every block.
 
@@ -42,8 +43,11 @@ KEPT, TAIL = 0.9, 0.2
 SCORES = 4_000_000
 #: A stretch that is compared has this many times an item's words.
 STRETCH = 1.5
+#: From this share of an item's words on, its answer isn't asked for.
+VERBATIM = 0.85
 BLOCK = 20_000
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: What marks an answer, at the start of a line or sentence.
+ANSWER = re.compile(r"(?:^|\n|(?<=[.!?])\s)\s*(?:answer|a)\s*:", re.IGNORECASE)
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -189,7 +193,8 @@ class Matcher:
         self.items, of, terms = [], [], []
         for item_id, text in items:
             words, _ = word_hashes(pa.array([text]))
-            answer, _ = word_hashes(pa.array([[s for s in SENTENCE.split(text) if s.strip()][-1]]))
+            marked = ANSWER.split(text)
+            answer, _ = word_hashes(pa.array([marked[-1] if len(marked) > 1 else ""]))
             if len(words):
                 of += [len(self.items)] * len(passage_starts(len(words)))
                 terms += [terms_of(words)[s : s + WINDOW] for s in passage_starts(len(words))]
@@ -323,16 +328,21 @@ class Matcher:
         return out
 
     def confirm(self, hashes: np.ndarray, low: int, high: int, item: int, start: int, end: int) -> tuple[float, float]:
-        """Largest shares of the item's and of its answer's words that one stretch near the window has in order."""
+        """Largest shares of the item's and of its answer's words that one stretch near the window has in order; those of a stretch that confirms the item go first."""
         _, words, answer = self.items[item]
         n, m = len(words), max(int(STRETCH * len(words)), len(words) + 4)
         a, b = max(low, start - n), min(high, end + n)
-        best = (0.0, 0.0)
+        best = (False, 0.0, 0.0)
         for s in range(a, max(a, b - m) + 1, max(1, n // 4)):
             stretch = hashes[s : min(s + m, b)]
-            if np.isin(words, stretch).mean() > max(best[0], LEAST_COMMON - 1e-9):
-                best = max(best, (longest_common(words, stretch) / n, longest_common(answer, stretch) / len(answer)))
-        return best
+            if np.isin(words, stretch).mean() > max(best[1] if best[0] else 0.0, LEAST_COMMON - 1e-9):
+                common, part = longest_common(words, stretch) / n, longest_common(answer, stretch) / len(answer)
+                best = max(best, (is_leak(common, part), common, part))
+        return best[1:]
+
+
+def is_leak(common: float, answer: float) -> bool:
+    return common >= VERBATIM or (common >= LEAST_COMMON and answer >= LEAST_ANSWER)
 
 
 def leaks(
@@ -384,7 +394,7 @@ def _search(docs: DataFrame, shared, schema: str, least_cosine: float) -> DataFr
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for text, item, start, end, cosine in matcher.candidates(hashes, first, least_cosine):
                 common, answer = matcher.confirm(hashes, first[text], first[text + 1], item, start, end)
-                if common >= LEAST_COMMON and answer >= LEAST_ANSWER:
+                if is_leak(common, answer):
                     best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (common, answer, cosine))
             for (text, item), (common, answer, cosine) in sorted(best.items()):
                 at.append(begin + text)

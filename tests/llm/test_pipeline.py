@@ -91,6 +91,24 @@ def test_recall_of_a_large_benchmark(spark):
     assert {(k, 20 * k) for k in range(100)} <= found
 
 
+def test_truncated_items_leak_and_marked_answers_count(spark):
+    head = " ".join(f"p{k} the" for k in range(20)) + ". "
+    ask = " ".join(f"s{k} of" for k in range(20)) + "? Answer: "
+    reply = "red green blue black white grey pink gold"
+    bench = spark.createDataFrame([(1, head + "Last words of this one."), (2, ask + reply)], "item_id long, text string")
+    tail = prose(7, 60)
+    inner = ask.split("?")[0].split()
+    del inner[3:8]
+    # Without its last sentence; the question without the answer; that reworded; reworded with the answer.
+    docs = [(1, head + tail), (2, ask.split("?")[0] + ". " + tail), (3, " ".join(inner) + ". " + tail), (4, " ".join(inner) + "? Answer: " + reply + " " + tail)]
+    # A first stretch with much of the question and no answer, then one that has less of it but the answer.
+    other = ask.split("?")[0].split()
+    docs.append((5, " ".join(other[1:]) + ". " + prose(8, 70) + " " + " ".join(inner) + "? Answer: " + reply))
+    df = spark.createDataFrame(docs + [(10 + i, prose(50 + i, 120)) for i in range(30)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
+    assert got == {(1, 1), (4, 2), (5, 2)}
+
+
 def test_longest_common():
     rng = random.Random(1)
     for _ in range(60):
