@@ -166,6 +166,6 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_each(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that are the first of their group of near duplicates."""
-    kept = stored(near_duplicates(df, size, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct())
+    """The rows of ``df`` that are the first of their group of near duplicates; rows with a null id stay."""
+    kept = stored(near_duplicates(df, size, percent).filter("kept OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct())
     return df.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")

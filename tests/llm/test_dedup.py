@@ -64,6 +64,12 @@ def test_near_duplicates(docs, rows, empty, size):
     assert near_dedup.first_of_each(docs, size).columns == docs.columns
 
 
+def test_rows_with_a_null_id_stay(spark):
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (None, None), (None, "one two three four five six")]
+    got = near_dedup.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and {tuple(r) for r in got} == {rows[0], *rows[2:]}
+
+
 def test_near_duplicates_of_a_crowd(spark):
     """Many changed copies of a text, of which some are near and some aren't quite."""
     rng = random.Random(4)
