@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only in local mode where the session names none."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
@@ -33,8 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: it cuts lineage and survives lost executors."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
@@ -43,7 +45,39 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: it cuts lineage and survives lost executors."""
+    return _written(df)[0]
+
+
+class Scratch:
+    """Tables in the shared folder that are deleted when they have served, at the latest when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.forget(*[t for t, _ in self.tables])
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read back, until it is forgotten."""
+        self.tables.append(_written(df))
+        return self.tables[-1][0]
+
+    def forget(self, *tables: DataFrame | None) -> None:
+        """Delete the files of tables that this object stored; others, and None, are passed over."""
+        gone = [path for t, path in self.tables if any(t is x for x in tables)]
+        self.tables = [(t, path) for t, path in self.tables if path not in gone]
+        for path in gone:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import stored
+from candleforge.llm.common import Scratch
 
 
-def _with_least(edges: DataFrame, own: bool) -> DataFrame:
+def _with_least(edges: DataFrame, own: bool, scratch: Scratch) -> DataFrame:
     """Each edge with the least neighbour ``m`` of its ``a`` (``a`` itself included if ``own``)."""
     least = F.least(F.col("a"), F.min("b")) if own else F.min("b")
     # Written first, so that both sides of the join are plain exchanges and a hub's edges can be split.
-    return edges.join(stored(edges.groupBy("a").agg(least.alias("m"))), "a")
+    return edges.join(scratch.stored(edges.groupBy("a").agg(least.alias("m"))), "a")
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -23,88 +23,111 @@ def _is_stars(edges: DataFrame) -> bool:
     return n == nodes and edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node`` and ``component`` (the least node reachable) of every node of ``edges`` (a, b); self-loops are allowed.
 
     Large and small stars alternate until all edges are stars, in a number of rounds that grows with the logarithm of
     the edges; each round is a few aggregations and joins, written to the shared folder. No edges give no rows.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = scratch.stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _is_stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both, True).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.filter("a != b").distinct())
-        small = _with_least(large, False)
-        small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = stored(small.filter("a != b").distinct())
+        with Scratch(scratch.spark) as own:
+            large = _with_least(both, True, own).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            large = own.stored(large.filter("a != b").distinct())
+            small = _with_least(large, False, own)
+            small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
+            after = scratch.stored(small.filter("a != b").distinct())
+        scratch.forget(now)
+        now = after
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-#: Pairs left in unsettled buckets up to which they are compared in full: so many, or this share of all rows.
-FULL_PAIRS, FULL_SHARE = 200_000, 0.05
+def close_pairs(elements: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts that may have Jaccard similarity ``percent`` or more.
+
+    A prefix filter: ``elements`` (node, part, n, element), the nodes' sets of size n, are put in one order, first those that only one part
+    has, then by rising frequency. At the first element i of n that a similar pair has in common, each has 1 + n - i
+    elements left that may be shared, which bounds the sizes that its partner can have. So only a node's first elements
+    are joined, and of these only those under which another node fits the bound. No similar pair is lost.
+    """
+    rows = scratch.stored(elements)
+    spread = rows.groupBy("element").agg(F.count("*").alias("often"), F.min("part").alias("low"), F.max("part").alias("high"))
+    spread = scratch.stored(spread.filter("low != high").select("element", "often"))
+    # The last elements of a node are those of its window that more than one part has, so places count from its end.
+    order = Window.partitionBy("node").orderBy(F.desc("often"), F.desc("element"))
+    placed = rows.join(spread, "element").withColumn("at", F.col("n") + 1 - F.row_number().over(order))
+    # The largest partner of which the elements from here on can be enough.
+    most = (100 + percent) * (1 + F.col("n") - F.col("at")) / percent - F.col("n")
+    placed = scratch.stored(placed.withColumn("most", most).filter(100 * F.col("most") >= percent * F.col("n")).select("node", "part", "element", "n", "most"))
+    for _ in range(2):
+        fits = placed.groupBy("element").agg(F.min("n").alias("least_n"), F.max("most").alias("largest"), F.min("part").alias("low"), F.max("part").alias("high"))
+        fits = scratch.stored(fits.filter("low != high"))
+        left = scratch.stored(placed.join(fits, "element").filter("most >= least_n AND largest >= n").select(*placed.columns))
+        scratch.forget(placed)
+        placed = left
+    other = placed.withColumnsRenamed({"node": "b", "part": "part_b", "n": "n_b", "most": "most_b"})
+    pairs = placed.join(other, "element").filter("part < part_b AND n <= most_b AND n_b <= most")
+    return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
 def linked_components(
-    slots: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 6, bounds: Callable[[DataFrame], DataFrame] | None = None, percent: int = 80
-) -> DataFrame:
+    slots: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int = 80, rounds: int = 2
+) -> DataFrame | None:
     """Components (``node``, ``component``) of the links that ``confirm`` finds among nodes that share a ``key``.
 
     ``slots`` (node, key), stored, has the buckets of two nodes or more. A bucket proposes its nodes' pairs with one
-    pivot, not all pairs. Buckets whose nodes are all in one component are settled, as more links inside it change
-    nothing. While much is left the others try a new pivot in each round: of the nodes that weren't one yet, that with
-    the most company in its buckets, which the text that others were made from has. At last all pairs of nodes from
-    different components are compared, so that no link between nodes that share a bucket is lost. ``confirm`` gets
-    distinct pairs (a > b) and returns the true ones; no pair is given to it twice.
-
-    ``bounds`` gives the ``size`` of each node's set and the ``most`` elements of it that any other given node can have.
-    A pair shares no more than the lesser ``most``, so pairs whose similarity can't reach ``percent`` aren't made.
+    pivot, not all pairs: the node with the most company in its buckets, which the text that others were made from has.
+    A pivot has met its whole bucket and leaves it. A bucket whose other nodes are all in one component is settled, as
+    more links inside it change nothing. After ``rounds`` of this, the nodes of the buckets that aren't settled are
+    compared across components by ``close_pairs`` over their sets (``elements`` makes node, part, n, element of a table
+    of node, part), so no link between nodes that share a bucket is lost. ``confirm`` gets distinct pairs (a > b) and returns the true ones.
+    Without a link the result is None.
     """
-    sizes = slots.groupBy("key").agg(F.count("*").alias("n"))
-    company = stored(slots.join(stored(sizes), "key").groupBy("node").agg(F.sum("n").alias("company")))
-    slots = stored(slots.join(company, "node"))
-    state = slots.withColumns({"part": F.col("node"), "used": F.lit(0)})
-    links = tried = parts = pivots_used = None
-    rows, last = slots.count(), False
-    for turn in range(rounds + 1):
-        if not last:
-            order = F.struct("used", -F.col("company"), "node")
-            pivots = stored(state.groupBy("key").agg(F.min_by("node", order).alias("pivot"), F.min_by("part", order).alias("pivot_part")))
-            pairs = state.join(pivots, "key").filter("part != pivot_part").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-            used = pivots.select(F.col("pivot").alias("node")).distinct()
-            pivots_used = stored(used if pivots_used is None else pivots_used.union(used).distinct())
-        else:
-            able = F.col("part") < F.col("part_b")
-            if bounds is not None:
-                state = state.join(stored(bounds(state.select("node").distinct())), "node").filter(100 * F.col("most") >= percent * F.col("size"))
-                shared = F.least("most", "most_b")
-                able &= 100 * shared >= percent * (F.col("size") + F.col("size_b") - shared)
-            state = stored(state)
-            other = state.withColumnsRenamed({"node": "b", "part": "part_b", "size": "size_b", "most": "most_b"}).drop("company", "used")
-            pairs = state.withColumnRenamed("node", "a").join(other, "key").filter(able).select("a", "b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if links is not None and pairs.isEmpty():
-            # The pivots have met all of their buckets before: what is left is compared in full.
-            if last:
-                break
-            last = True
-            continue
-        found = stored(confirm(pairs))
+    sizes = scratch.stored(slots.groupBy("key").agg(F.count("*").alias("n")))
+    company = scratch.stored(slots.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company")))
+    state = scratch.stored(slots.join(company, "node").withColumn("part", F.col("node")))
+    scratch.forget(sizes, company)
+    links = tried = parts = None
+
+    def follow(pairs: DataFrame) -> bool:
+        """Confirms pairs that weren't met before; whether that has changed the components."""
+        nonlocal links, tried, parts
+        pairs = scratch.stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = scratch.stored(confirm(pairs))
         tried = pairs if tried is None else tried.union(pairs)
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            parts = stored(components(links))
-        if last:
+        if found.isEmpty():
+            return False
+        links = found if links is None else links.union(found)
+        with Scratch(scratch.spark) as own:
+            before, parts = parts, scratch.stored(components(links, own))
+        scratch.forget(before)
+        return True
+
+    for turn in range(rounds + 1):
+        if turn == rounds:
+            members = scratch.stored(state.select("node", "part").distinct())
+            with Scratch(scratch.spark) as own:
+                pairs = scratch.stored(close_pairs(elements(members), percent, own))
+            follow(pairs)
             break
-        state = slots.join(parts, "node", "left").select("node", "key", "company", F.coalesce("component", "node").alias("part"))
-        by_part = state.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        unsettled = stored(by_part.select("key", ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("left")).filter("left > 0"))
-        left = unsettled.agg(F.sum("left")).first()[0]
-        if not left:
+        order = F.struct(-F.col("company"), F.col("node"))
+        pivots = scratch.stored(state.groupBy("key").agg(F.min_by("node", order).alias("pivot"), F.min_by("part", order).alias("pivot_part")))
+        met = state.join(pivots, "key")
+        pairs = met.filter("part != pivot_part").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        follow(pairs)
+        left = met.filter("node != pivot").select("node", "key", "company")
+        if parts is not None:
+            left = left.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        else:
+            left = left.withColumn("part", F.col("node"))
+        left = scratch.stored(left)
+        open_keys = scratch.stored(left.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key"))
+        after = scratch.stored(left.join(open_keys, "key"))
+        scratch.forget(state, pivots, left, open_keys)
+        state = after
+        if state.isEmpty():
             break
-        last = left <= max(FULL_PAIRS, FULL_SHARE * rows) or turn == rounds - 1
-        state = state.join(unsettled.select("key"), "key").join(pivots_used.withColumn("used", F.lit(1)), "node", "left")
-        state = stored(state.withColumn("used", F.coalesce("used", F.lit(0))))
     return parts

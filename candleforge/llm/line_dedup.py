@@ -1,19 +1,22 @@
 """Fuzzy line deduplication in DataFrame functions only.
 
 Lines of the whole corpus are compared, and of each group of equal or similar lines the first, by document and line
-number, stays. Equal lines meet in an aggregation of their 128-bit hashes. For similar ones, each line's character
-shingles, the same that are compared in the end, are hashed and sorted on a circle, and runs of neighbouring hashes are
-keys. Sets of Jaccard similarity 0.8 or more differ in at most a fifth of their union, and one element breaks at most
-four of the runs of four, so at least a fifth of these is whole in both: lines of up to KEYS shingles use all of their
-runs and miss no such pair. Longer lines take the runs whose first hash is under a bound that falls with the line's
-size, about KEYS of them, which two lines choose alike; above SHORT shingles they use runs of five. A pair at similarity
-0.8 then shares about 10 keys, and none with a probability near 1e-4. Lines that share a key are proposed, and confirmed
-if their sets have a Jaccard similarity of 0.8 or more; with a lower ``percent`` fewer of the pairs are proposed.
-Components of confirmed links are found by a distributed union-find.
-
-Defined results: null and empty texts have no lines; lines without a word stay and are compared with nothing; a text
-of which no line stays becomes empty, and its row stays; rows that share an id count as one document, so a line in
-both isn't removed from either for the other's sake; rows with a null id keep their text; an empty table gives an
+number, stays. Equal lines meet in one aggregation of their 128-bit hashes, which also carries one copy of the line, so
+all that follows works on distinct lines. Each line's character shingles, the same that are compared in the end, are
+hashed and sorted: the least of them are a MinHash signature, and runs of neighbouring values in it are the bands. A run
+is in both lines if all of its values are in both sets. Lines of up to SHORT shingles use all runs of four on the circle
+of their values; as sets of Jaccard similarity 0.8 or more differ in at most a fifth of their union, and one element
+breaks at most four of the runs of four, a fifth of these is whole in both, and no such pair is missed. Longer lines use
+runs of RUN among their SIGNATURE least values, one of PICK of them by the run's first value, or all where the line has
+no more values than that: about 18, of which a pair at similarity 0.8 shares four or five, and none with a probability
+of about 0.015. Lines that share a band are proposed, and confirmed if their sets have a Jaccard similarity of 0.8 or
+more; with a lower ``percent`` fewer of the pairs are proposed. Components of confirmed links are found by a
+distributed union-find.
+
+Defined results: null and empty texts have no lines; lines without a word stay and are compared with nothing; lines of
+any length are compared whole; a text of which no line stays becomes empty, and its row stays; rows that share an id
+count as one document, so a line in both isn't removed from either for the other's sake; rows with a null id keep their
+text; of different lines with one 64-bit hash, one takes part in the search for similar ones; an empty table gives an
 empty result; columns of any name pass through.
 """
 
@@ -22,21 +25,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import stored, table
+from candleforge.llm.common import Scratch, stored, table
 from candleforge.llm.graph import linked_components
 
 SPACES = " \t\n\x0b\x0c\r"
-#: Characters of the shingles.
+#: Characters (UTF-16 units) of the shingles.
 SHINGLE = 5
 PERCENT = 80
-#: Keys of a longer line, on average; a line of up to so many shingles uses all of its runs.
-KEYS = 28
-#: Sets above this size have runs of five, those up to 5 / 4 of it runs of four, so that similar ones have a kind in common.
-SHORT = 40
-#: Steps of the bound on first hashes.
-STEPS = 1 << 20
-#: Ids that are broadcast to pick texts; with more the texts are shuffled.
-SMALL = 400_000
+#: Lines of up to this many shingles use all of their runs of four; those of up to a quarter more use both kinds.
+SHORT = 28
+#: Of longer lines: values of a run, runs looked at, and one of how many of these is used.
+RUN, SIGNATURE, PICK = 6, 72, 4
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,72 +45,86 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
 
 
-def shingle_set(line: Column) -> Column:
-    """Hashes of a line's distinct character shingles; a shorter line is its own shingle."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(line)), lambda x: F.xxhash64(x)))
-
+def shingle_hashes(line: Column) -> Column:
+    """A hash of each of a line's character shingles, repeated ones included; a shorter line is its own shingle."""
+    # Of two bytes a unit, so that a shingle is cut out without a walk through the line. The lambda binds the bytes.
+    places = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - 2 * SHINGLE + 1, F.lit(1)), F.lit(2))
+    return F.transform(F.array(F.encode(line, "UTF-16BE")), lambda b: F.transform(places(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * SHINGLE)))))[0]
 
-def band_keys(line: Column) -> Column:
-    """The band keys of a line."""
 
-    def keys(s: Column, many: int) -> Column:
-        def key(v: Column, i: Column) -> Column:
-            rest = [F.get(s, (i + k) % F.size(s)) for k in range(1, many)]
-            # Low bits choose; the order on the circle is by the high ones.
-            return F.when(F.pmod(v, F.lit(STEPS)) * F.size(s) < KEYS * STEPS, F.xxhash64(v, *rest, F.lit(many)))
+def with_bands(lines: DataFrame) -> DataFrame:
+    """``lines`` with the ``bands`` of each line."""
+    # Column by column, so that Spark compiles what needs no lambda and works each out once.
+    rows = lines.withColumn("_least", F.array_distinct(F.slice(F.sort_array(shingle_hashes(F.col("line"))), 1, 2 * (SIGNATURE + RUN))))
+    rows = rows.withColumn("_least", F.slice("_least", 1, SIGNATURE + RUN - 1)).withColumn("_n", F.size("_least"))
+    s, n, none = F.col("_least"), F.col("_n"), F.array().cast("array<bigint>")
+    circle = F.transform(s, lambda v, i: F.xxhash64(v, *[F.get(s, (i + k) % n) for k in range(1, 4)]))
+    run = lambda v, i: F.xxhash64(v, *[F.get(s, i + k) for k in range(1, RUN)], F.lit(RUN))
+    whole = F.filter(F.transform(s, lambda v, i: F.when(i + RUN <= n, run(v, i))), lambda x: x.isNotNull())
+    some = F.filter(F.transform(s, lambda v, i: F.when((F.pmod(v, F.lit(PICK)) == 0) & (i + RUN <= n), run(v, i))), lambda x: x.isNotNull())
+    short = F.when(4 * n <= 5 * SHORT, circle).otherwise(none)
+    long = F.when(n <= SHORT, none).when(n < SIGNATURE, whole).otherwise(some)
+    return rows.withColumn("bands", F.array_distinct(F.concat(short, long))).drop("_least", "_n")
 
-        return F.array_compact(F.transform(s, key))
 
-    none = F.array().cast("array<bigint>")
-    both = F.transform(
-        F.array(F.sort_array(shingle_set(line))),
-        lambda s: F.concat(F.when(4 * F.size(s) <= 5 * SHORT, keys(s, 4)).otherwise(none), F.when(F.size(s) > SHORT, keys(s, 5)).otherwise(none)),
-    )
-    return F.array_distinct(F.flatten(both))
+def shingle_set(line: Column) -> Column:
+    return F.array_distinct(shingle_hashes(line))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of lines whose full sets have 100 * intersection >= percent * union."""
     a = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
     b = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
+    rows = pairs.join(a, "a").join(b, "b")
+    # A column that isn't deterministic keeps the filter above the sets, so that each is made once a pair.
+    rows = rows.select("a", "b", shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"), F.monotonically_increasing_id().alias("row"))
+    n, m = F.size("x"), F.size("y")
+    near = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (n + m))
+    return rows.filter((F.col("row") >= 0) & near).select("a", "b")
 
-    def near(s: Column) -> Column:
-        n, m = F.size(s["x"]), F.size(s["y"])
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.size(F.array_intersect(s["x"], s["y"])) >= percent * (n + m))
 
-    # Inside a transform the sets are made once for each pair, and not for each place that names them.
-    sets = F.array(F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y")))
-    return pairs.join(a, "a").join(b, "b").filter(F.transform(sets, near)[0]).select("a", "b")
+def firsts(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
+    """h, h2 and the first (doc_id, pos) of the group of equal and similar lines, of each distinct line."""
+    lines = lines_of(df, id_col, text_col)
+    distinct = lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.any_value("line").alias("line"))
+    distinct = scratch.stored(with_bands(distinct))
+    first = distinct.select("h", "h2", "first")
+    slots = distinct.select(F.col("h").alias("node"), F.explode("bands").alias("key"))
+    shared = scratch.stored(slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key"))
+    slots = scratch.stored(slots.join(shared, "key").distinct())
+    scratch.forget(shared)
+    if slots.isEmpty():
+        return first
+    nodes = scratch.stored(slots.select(F.col("node").alias("h")).distinct())
+    texts = distinct.join(nodes, "h", "left_semi").groupBy("h").agg(F.min_by(F.struct("h2", "line"), "h2").alias("x"))
+    texts = scratch.stored(texts.select("h", "x.h2", "x.line"))
+    scratch.forget(nodes)
+
+    def elements(of: DataFrame) -> DataFrame:
+        own = texts.withColumnRenamed("h", "node").join(of, "node").select("node", "part", shingle_set(F.col("line")).alias("x"))
+        return own.select("node", "part", F.size("x").alias("n"), F.explode("x").alias("element"))
+
+    parts = linked_components(slots, lambda pairs: confirmed(pairs, texts, percent), elements, scratch, percent)
+    if parts is None:
+        return first
+    parts = parts.withColumnRenamed("node", "h").join(texts.select("h", "h2"), "h")
+    grouped = scratch.stored(first.join(parts, ["h", "h2"], "left"))
+    least = scratch.stored(grouped.filter("component is not null").groupBy("component").agg(F.min("first").alias("least")))
+    return grouped.join(least, "component", "left").select("h", "h2", F.coalesce("least", "first").alias("first"))
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_lines (with a word) and removed (their numbers from 0, sorted) of each document that has such lines."""
-    lines = lines_of(df, id_col, text_col)
-    places = stored(lines.select("doc_id", "pos", "h", "h2"))
-    first = stored(places.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
-    slots = stored(lines.select(F.col("h").alias("node"), F.explode(band_keys(F.col("line"))).alias("key")))
-    shared = stored(slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key"))
-    slots = stored(slots.join(shared, "key").distinct())
-    if not slots.isEmpty():
-        nodes = stored(slots.select(F.col("node").alias("h")).distinct())
-        few = F.broadcast(nodes) if nodes.count() <= SMALL else nodes
-        # Not deduplicated by picking a row of each hash, as that would gather the copies of a hot line.
-        texts = stored(lines.join(few, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
-        parts = linked_components(slots, lambda pairs: confirmed(pairs, texts, percent))
-        grouped = first.join(parts.withColumnRenamed("node", "h"), "h", "left")
-        least = stored(grouped.filter("component is not null").groupBy("component").agg(F.min("first").alias("least")))
-        first = stored(grouped.join(least, "component", "left").select("h", "h2", F.coalesce("least", "first").alias("first")))
-    judged = places.join(first, ["h", "h2"]).withColumn("gone", F.struct("doc_id", "pos") != F.col("first"))
-    # A line that a document has twice in rows of one id is listed once.
-    return judged.groupBy("doc_id").agg(
-        F.countDistinct("pos").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("pos")))).alias("removed")
-    )
+    """doc_id and removed (line numbers from 0, sorted) of each document that loses lines."""
+    with Scratch(df.sparkSession) as scratch:
+        first = firsts(df, id_col, text_col, percent, scratch)
+        places = lines_of(df, id_col, text_col).select("doc_id", "pos", "h", "h2")
+        gone = places.join(first, ["h", "h2"]).filter(F.struct("doc_id", "pos") != F.col("first"))
+        return stored(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``df`` with the removed lines cut from its texts."""
-    gone = removed_lines(df, id_col, text_col, percent).filter(F.size("removed") > 0)
-    gone = stored(gone.select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_gone")))
+    gone = removed_lines(df, id_col, text_col, percent).select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_gone"))
     lines = F.split(F.col(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.array_join(F.transform(F.array(lines), lambda a: F.transform(left, lambda i: F.get(a, i)))[0], "\n")
@@ -120,10 +133,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: doc_id, lines with a word, how many of these go, and their numbers from 0, comma-joined."""
     docs = table(spark, sf_dir, "documents")
-    found = removed_lines(docs)
+    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
+    counted = docs.select("doc_id", F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+    return counted.join(removed_lines(docs), "doc_id", "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.array_join(F.coalesce("removed", none).cast("array<string>"), ",").alias("removed_lines"),
     )

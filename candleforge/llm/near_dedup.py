@@ -8,12 +8,14 @@ estimates the Jaccard similarity with concentration bounds like those of t indep
 Documents with the same set form one class, represented by its least id, so copies meet only in that aggregation.
 Classes are banded. A bucket proposes links to one pivot, not all its pairs; a proposal is confirmed on the full sets.
 Confirmed links make components; a bucket whose members are all in one component is settled, as more links in it change
-nothing. The others try new pivots, and at last every pair of members from different components, so no link between
-different sets that share a bucket is lost.
+nothing. The others try a new pivot, and what is left then is compared across components by a prefix filter over the
+full sets, so no link between different sets that share a bucket is lost and no bucket's pairs are all made.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; texts with
-fewer words than a shingle have their whole sequence as one; repeated rows of an id are one class; an empty table gives
-an empty result; columns besides id and text are left out.
+fewer words than a shingle have their whole sequence as one; texts of any length are taken whole. Rows that share an id
+are one document: its set is that of its largest digest, every row takes that document's component, and n_shingles is
+the row's own. Rows with a null id have a null component and are kept. An empty table gives an empty result; columns
+besides id and text are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import map_arrow, stored, table, text_or_empty
+from candleforge.llm.common import Scratch, map_arrow, stored, table, text_or_empty
 from candleforge.llm.graph import linked_components
 from candleforge.llm.shingles import BASE, mixed, shingle_sets
 
@@ -115,21 +117,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b"), verify, f"a {kind}, b {kind}")
 
 
-def shareable(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Of each node the ``size`` of its set and the ``most`` of it that other nodes have: its shingles less its own ones."""
+def texts_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """One text of each of ``nodes`` (doc_id, digest), of the digest's set."""
+    own = docs.join(nodes, "doc_id")
+
+    def same(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digests = set_digests(*shingle_sets(batch.column("text"), size))
+        keep = [i for i, (x, y) in enumerate(zip(digests, batch.column("digest").to_pylist(), strict=True)) if x == y]
+        return batch.select(["doc_id", "text"]).take(pa.array(keep, pa.int64()))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(own.select("doc_id", "text", "digest"), same, f"doc_id {kind}, text string").dropDuplicates(["doc_id"])
+
+
+def elements_of(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """node, part, size n of the node's set, and element, a row for each of its shingle hashes."""
 
     def batch_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, offsets = shingle_sets(batch.column("text"), size)
-        ids = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offsets))))
-        return pa.RecordBatch.from_arrays([ids, pa.array(hashes.view(np.int64))], ["node", "shingle"])
+        n = np.diff(offsets)
+        own = batch.select(["node", "part"]).take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
+        return pa.RecordBatch.from_arrays([*own.columns, pa.array(np.repeat(n, n).astype(np.int32)), pa.array(hashes.view(np.int64))], ["node", "part", "n", "element"])
 
-    own = texts.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", "text")
-    shingles = map_arrow(own, batch_shingles, f"node {own.schema['node'].dataType.simpleString()}, shingle long")
-    # The least node of each shingle stands for its one node where it has one, so no list of nodes is made.
-    of_shingle = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    alone = of_shingle.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = shingles.groupBy("node").agg(F.count("*").alias("size"))
-    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    own = texts.withColumnRenamed("doc_id", "node").join(members, "node").select("node", "part", "text")
+    kind = own.schema["node"].dataType.simpleString()
+    return map_arrow(own, batch_shingles, f"node {kind}, part {kind}, n int, element long")
 
 
 def near_duplicates(
@@ -137,28 +149,29 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept."""
     docs = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    marks = stored(sketched(docs, size, bands, rows))
-    # Classes of equal sets, by their least document.
-    classes = stored(marks.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class")))
-    of_class = stored(marks.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").drop("digest"))
-    heads = marks.filter("digest is not null").join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
-    slots = heads.dropDuplicates(["doc_id"]).select("doc_id", F.explode("keys").alias("key"))
-    # Buckets of one propose nothing.
-    shared = stored(slots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-    slots = stored(slots.join(shared, "key"))
-    if slots.isEmpty():
-        return of_class.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    texts = stored(docs.join(stored(slots.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
-    parts = linked_components(
-        slots.withColumnRenamed("doc_id", "node"), lambda pairs: confirmed(pairs, texts, size, percent), 2, lambda nodes: shareable(nodes, texts, size), percent
-    )
-    found = parts.withColumnsRenamed({"node": "class", "component": "found"})
-    return (
-        of_class.join(found, "class", "left")
-        .select("doc_id", "n_shingles", F.coalesce("found", "class", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
+    with Scratch(df.sparkSession) as scratch:
+        marks = scratch.stored(sketched(docs, size, bands, rows))
+        # One set for each document, and classes of equal sets by their least document.
+        digests = marks.filter("digest is not null AND doc_id is not null").groupBy("doc_id").agg(F.max("digest").alias("digest"))
+        digests = scratch.stored(digests)
+        classes = scratch.stored(digests.groupBy("digest").agg(F.min("doc_id").alias("class")))
+        class_of = digests.join(classes, "digest").select("doc_id", "class")
+        heads = marks.join(classes.withColumnRenamed("class", "doc_id"), ["doc_id", "digest"], "left_semi")
+        slots = scratch.stored(heads.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")))
+        # Buckets of one propose nothing.
+        shared = scratch.stored(slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key"))
+        met = scratch.stored(slots.join(shared, "key").distinct())
+        scratch.forget(slots, shared)
+        if not met.isEmpty():
+            nodes = scratch.stored(met.select(F.col("node").alias("doc_id")).distinct().join(digests, "doc_id"))
+            texts = scratch.stored(texts_of(docs, nodes, size))
+            parts = linked_components(met, lambda pairs: confirmed(pairs, texts, size, percent), lambda n: elements_of(n, texts, size), scratch, percent)
+            if parts is not None:
+                found = parts.withColumnsRenamed({"node": "class", "component": "found"})
+                class_of = class_of.join(found, "class", "left").select("doc_id", F.coalesce("found", "class").alias("class"))
+        of_doc = class_of.withColumnRenamed("class", "component_id")
+        out = marks.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+        return stored(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +179,6 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_each(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that are the first of their group of near duplicates; rows with a null id stay."""
-    kept = stored(near_duplicates(df, size, percent).filter("kept OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct())
-    return df.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of ``df`` whose document is the first of its group of near duplicates; rows with a null id stay."""
+    gone = near_duplicates(df, size, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
