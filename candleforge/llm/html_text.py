@@ -7,8 +7,9 @@ region, and whether the page has such a region at all. A decision tree, grown he
 keeps or drops each block; kept blocks are joined by one newline.
 
 Defined results: null and empty pages, and pages without kept blocks, give the empty string; broken markup is read
-leniently (unknown end tags are ignored, open elements end with the page); nothing is cut from long pages; an empty
-table gives an empty result; columns besides id, url and html are left out.
+leniently (unknown end tags are ignored, open elements end with the page); nothing is cut from long pages, and deep or
+unclosed markup takes linear time; repeated rows are read row by row; an empty table gives an empty result; columns
+besides id, url and html are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,8 +42,14 @@ FURNITURE_WORDS = frozenset(
     " promo promotion promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe"
     " subscription tagcloud toolbar widget widgets".split()
 )
+#: Elements of which only whole class names and ids are looked up.
+WHOLE_NAMES = frozenset("html body main article".split())
 CONTENT_WORDS = frozenset("article articlebody content entry main post story".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Comment, declaration, tag (with quoted values, or else up to the next bracket), text. No alternative is tried again
+#: over text that another one has passed, so that broken markup takes linear time too.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?:(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<rest>[^<>]*+)>)|[^<]+|<", re.S
+)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -57,19 +64,50 @@ def marks(tag: str, raw: str) -> tuple[bool, int, bool]:
     """Of an element: furniture, rank as a content region (2 article, 1 main or named so), unseen."""
     attrs = attributes(raw)
     role = attrs.get("role", "").lower()
-    words = {w.lower() for w in NAME_WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
+    names = attrs.get("class", "") + " " + attrs.get("id", "")
+    # A page's or article's own element names its state too, so there only whole names count.
+    words = set(names.lower().split()) if tag in WHOLE_NAMES else {w.lower() for w in NAME_WORD.findall(names)}
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or bool(words & FURNITURE_WORDS and tag not in ("body", "html"))
     rank = 2 if tag == "article" or role == "article" or attrs.get("itemprop", "").lower() == "articlebody" else 1 if tag == "main" or role == "main" or words & CONTENT_WORDS else 0
     return furniture, 0 if furniture else rank, tag in UNSEEN or hidden
 
 
+class _Open:
+    """The open elements. Each keeps the state before it, and each tag its places, so no step walks the stack."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, tuple[bool, int, bool, int]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.state = (False, 0, False, 0)
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, furniture: bool, rank: int, unseen: bool) -> None:
+        at = len(self.tags)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK and tag != "p":
+            self.blocks.append(at)
+        self.tags.append((tag, self.state))
+        f, r, u, links = self.state
+        self.state = (f or furniture, max(r, rank), u or unseen, links + (tag == "a"))
+
+    def cut(self, at: int) -> None:
+        """Close the elements from place ``at`` on."""
+        while len(self.tags) > at:
+            tag, self.state = self.tags.pop()
+            self.places[tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.tags):
+                self.blocks.pop()
+
+
 def blocks_of(page: str) -> list[tuple[str, int, int, bool, int]]:
-    """Text, words, words inside links, furniture and content rank of each text block in page order."""
+    """Text, words, words inside links, furniture and content rank of each text block in page order, in linear time."""
     out: list[tuple[str, int, int, bool, int]] = []
-    stack: list[tuple[str, bool, int, bool]] = []
     parts: list[tuple[str, bool]] = []
-    furniture, rank, unseen, links = False, 0, False, 0
+    stack = _Open()
     skip_to = 0
 
     def flush() -> None:
@@ -77,34 +115,24 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, int]]:
             text = " ".join(entities.unescape("".join([p for p, _ in parts])).split())
             if text:
                 linked = sum(len(entities.unescape(p).split()) for p, inside in parts if inside)
-                out.append((text, text.count(" ") + 1, linked, furniture, rank))
+                out.append((text, text.count(" ") + 1, linked, stack.state[0], stack.state[1]))
             parts.clear()
 
-    def settle() -> None:
-        nonlocal furniture, rank, unseen, links
-        furniture = any(s[1] for s in stack)
-        rank = max((s[2] for s in stack), default=0)
-        unseen = any(s[3] for s in stack)
-        links = sum(s[0] == "a" for s in stack)
-
     for m in TOKEN.finditer(page):
         if m.start() < skip_to:
             continue
-        tag = m[2]
+        tag = m["tag"]
         if tag is None:
-            if not m[0].startswith(("<!", "<?")) and not unseen:
-                parts.append((m[0], links > 0))
+            if not m[0].startswith(("<!", "<?")) and not stack.state[2]:
+                parts.append((m[0], stack.state[3] > 0))
             continue
         tag = tag.lower()
-        if m[1]:
-            if any(s[0] == tag for s in stack):
-                if tag in BLOCK or unseen:
-                    flush()
-                while stack.pop()[0] != tag:
-                    pass
-                settle()
-            elif tag in BLOCK:
+        if m["end"]:
+            at = stack.last((tag,))
+            if tag in BLOCK or at >= 0 and stack.state[2]:
                 flush()
+            if at >= 0:
+                stack.cut(at)
             continue
         if tag in VOID:
             if tag in BLOCK:
@@ -115,15 +143,15 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, int]]:
         if tag in BLOCK:
             flush()
             ends = ENDS_OPEN.get(tag)
-            names = [s[0] for s in stack]
-            if "p" in names and not (set(names[len(names) - names[::-1].index("p") :]) & BLOCK):
-                del stack[len(names) - 1 - names[::-1].index("p") :]
-            elif ends and (at := next((i for i in range(len(names) - 1, -1, -1) if names[i] in ends), -1)) >= 0 and not (set(names[at + 1 :]) & {"ul", "ol", "dl", "table"}):
-                del stack[at:]
+            p = stack.last(("p",))
+            if p >= 0 and (not stack.blocks or stack.blocks[-1] < p):
+                stack.cut(p)
+            if ends and (at := stack.last(ends)) > stack.last(("ul", "ol", "dl", "table")):
+                stack.cut(at)
         if m[0].endswith("/>") and tag not in BLOCK:
             continue
-        own = marks(tag, m[3] or "")
-        if own[2] and not unseen and tag in BLOCK | {"button"}:
+        own = marks(tag, m["attrs"] or m["rest"] or "")
+        if own[2] and not stack.state[2] and (tag in BLOCK or tag == "button"):
             flush()
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, m.end())
@@ -131,8 +159,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, int]]:
             continue
         if (own[0] or own[1] != 0) and tag not in BLOCK:
             flush()
-        stack.append((tag, *own))
-        settle()
+        stack.push(tag, *own)
     flush()
     return out
 
@@ -146,34 +173,51 @@ def features_of(blocks: list[tuple[str, int, int, bool, int]]) -> list[tuple[flo
     ]
 
 
-#: The labelled table: FEATURES, then 1 for text to keep. Fixed values, by hand from common page layouts.
-LABELLED = (
-    # Pages with a content region: what lies in it is kept, be it long or short, linked or not.
-    (120, 0.0, 8, 0.0, 95, 0.0, 0, 1, 1, 1), (8, 0.0, 12, 0.0, 60, 0.0, 0, 1, 1, 1), (1, 0.0, 70, 0.0, 45, 0.0, 0, 1, 1, 1),
-    (35, 0.1, 40, 0.0, 4, 1.0, 0, 1, 1, 1), (60, 0.5, 30, 0.0, 30, 0.0, 0, 1, 1, 1), (3, 1.0, 50, 0.0, 20, 0.2, 0, 1, 1, 1),
-    (22, 0.0, 6, 1.0, 18, 0.0, 0, 1, 1, 1), (2, 0.0, 2, 0.0, 2, 0.0, 0, 1, 1, 1), (15, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1),
-    # What lies outside of it goes, and so does furniture inside it.
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0), (10, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0), (14, 0.1, 80, 0.0, 0, 0.0, 1, 0, 1, 0),
-    (40, 0.0, 60, 0.0, 35, 0.0, 1, 1, 1, 0), (90, 0.0, 30, 0.0, 70, 0.0, 1, 0, 1, 0), (5, 0.0, 100, 0.0, 12, 0.0, 1, 1, 1, 0),
-    (25, 0.0, 3, 1.0, 40, 0.0, 0, 0, 1, 0), (70, 0.0, 12, 0.0, 9, 0.0, 0, 0, 1, 0), (6, 0.9, 5, 1.0, 5, 1.0, 0, 0, 1, 0),
-    (12, 0.0, 55, 0.0, 0, 0.0, 0, 0, 1, 0), (30, 0.2, 0, 0.0, 20, 0.0, 0, 0, 1, 0),
-    # Pages without a content region: length and links decide, and the blocks beside it.
+#: Blocks as (words, link density): titles, list items, paragraphs, link lists. Neighbours are of the same kinds.
+KINDS = ((1, 0.0), (1, 1.0), (3, 0.0), (4, 1.0), (8, 0.0), (12, 0.6), (15, 1.0), (25, 0.3), (40, 0.0), (120, 0.0))
+AROUND = ((0, 0.0), (2, 0.0), (2, 1.0), (15, 0.0), (60, 0.0))
+
+#: FEATURES of blocks of pages without a content region and of no marked furniture, then 1 for text to keep: length and
+#: links decide, and the blocks beside them. Fixed values, by hand from common page layouts.
+UNMARKED = (
     (80, 0.0, 6, 0.0, 60, 0.0, 0, 0, 0, 1), (45, 0.05, 70, 0.0, 50, 0.1, 0, 0, 0, 1), (20, 0.1, 50, 0.0, 40, 0.0, 0, 0, 0, 1),
     (6, 0.0, 2, 1.0, 80, 0.0, 0, 0, 0, 1), (4, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (13, 0.0, 40, 0.0, 3, 0.9, 0, 0, 0, 1),
     (25, 0.3, 30, 0.0, 45, 0.0, 0, 0, 0, 1), (100, 0.2, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (16, 0.0, 0, 0.0, 20, 0.0, 0, 0, 0, 1),
     (2, 0.0, 25, 0.0, 40, 0.0, 0, 0, 0, 1), (1, 0.0, 20, 0.0, 18, 0.0, 0, 0, 0, 1), (5, 0.0, 15, 0.0, 15, 0.0, 0, 0, 0, 1),
     (9, 0.0, 18, 0.0, 22, 0.0, 0, 0, 0, 1), (30, 0.0, 1, 1.0, 25, 0.0, 0, 0, 0, 1),
+    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (17, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (30, 0.1, 0, 0.0, 1, 1.0, 0, 0, 0, 1),
+    (20, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 1), (45, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 1), (18, 0.0, 30, 0.0, 1, 1.0, 0, 0, 0, 1),
+    (60, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1), (14, 0.2, 25, 0.0, 2, 0.0, 0, 0, 0, 1),
+    (4, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0), (6, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0),
     (2, 1.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (1, 1.0, 4, 1.0, 30, 0.0, 0, 0, 0, 0), (8, 0.9, 6, 0.8, 7, 1.0, 0, 0, 0, 0),
     (40, 0.8, 12, 0.9, 30, 0.7, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (5, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0),
     (7, 0.4, 4, 1.0, 5, 0.9, 0, 0, 0, 0), (12, 0.6, 50, 0.0, 8, 1.0, 0, 0, 0, 0), (2, 0.0, 3, 0.0, 2, 0.5, 0, 0, 0, 0),
-    (10, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0), (60, 0.0, 70, 0.0, 20, 0.0, 1, 0, 0, 0), (15, 1.0, 60, 0.0, 60, 0.0, 0, 0, 0, 0),
+    (15, 1.0, 60, 0.0, 60, 0.0, 0, 0, 0, 0),
 )
 
+
+def labelled_table() -> tuple[tuple[float, ...], ...]:
+    """FEATURES and label of the blocks the tree is grown from.
+
+    With a content region, every kind of block at every place is kept inside of it and dropped outside, and with or
+    without one, furniture is dropped; the other blocks of pages without a region are those of UNMARKED.
+    """
+    rows = []
+    for words, density in KINDS:
+        for before in AROUND:
+            for after in AROUND:
+                block = (words, density, *before, *after)
+                rows += [(*block, 0, 1, 1, 1), (*block, 0, 0, 1, 0), (*block, 1, 0, 1, 0), (*block, 1, 1, 1, 0), (*block, 1, 0, 0, 0)]
+    return (*rows, *UNMARKED)
+
+
+LABELLED = labelled_table()
+
 #: A leaf is a label; a node is (feature, threshold, tree at or below it, tree above it).
 Tree = int | tuple
 
 
-def grow_tree(rows: tuple[tuple[float, ...], ...], depth: int = 6) -> Tree:
+def grow_tree(rows: tuple[tuple[float, ...], ...], depth: int = 12) -> Tree:
     """A binary decision tree by Gini impurity; of equal splits the first feature and lowest threshold win."""
     ones = sum(r[-1] for r in rows)
     major = int(2 * ones >= len(rows))

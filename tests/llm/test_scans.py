@@ -1,5 +1,8 @@
 import base64
 import hashlib
+import html
+import random
+import time
 
 from candleforge.llm import html_text, secrets, warc
 from candleforge.llm.common import shared_dir
@@ -50,6 +53,41 @@ def test_html_text_without_content_region():
     assert all(html_text.label_of(tree, row) == row[-1] for row in html_text.LABELLED)
 
 
+def held_out_page(rng: random.Random) -> tuple[str, str]:
+    """A page of one of several templates, and the text of its article."""
+    words = lambda n: " ".join(rng.choice(["stone", "river", "&amp;", "light", "of", "caf&eacute;", "a", "the", "7%", "moon."]) for _ in range(n))
+    kept, body = [], []
+    for _ in range(rng.randrange(1, 8)):
+        kind = rng.choice(["p", "p", "p", "h2", "h3", "li", "blockquote", "open"])
+        text = words(rng.choice([1, 2, 3, 4, 5, 9, 14, 40, 120]))
+        kept.append(text)
+        body.append({"li": f"<ul><li>{text}</ul>", "open": f"<p>{text}"}.get(kind, f"<{kind}>{text}</{kind}>"))
+        if rng.random() < 0.3:
+            body.append(rng.choice([f"<div class='ad'>{words(12)}</div>", f"<form><p>{words(30)}</p><button>go</button></form>", f"<aside>{words(60)}</aside>", f"<section id=comments><p>{words(50)}</p></section>", "<!-- <p>no</p> -->", "<script>if (a<b) x='<p>no</p>'</script>"]))
+    outside = [f"<div>{words(rng.choice([3, 20, 80]))}</div>", f"<nav><ul><li><a href=/>{words(2)}</a></ul></nav>", f"<footer>{words(25)}</footer>", f"<div class='cookie-notice'>{words(30)}</div>", f"<header><h1>{words(4)}</h1></header>"]
+    around = [rng.sample(outside, rng.randrange(len(outside))) for _ in range(2)]
+    region = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class=post-content>{}</div>", "<article class='post has-comments with-sidebar'>{}</article>", "<div id=main><article><div>{}</div></article></div>"])
+    page = f"<!DOCTYPE html><html><head><title>{words(3)}</title><style>p{{}}</style></head><body class='page-header'>{''.join(around[0])}{region.format(''.join(body))}{''.join(around[1])}</body></html>"
+    return page, "\n".join(html.unescape(t) for t in kept)
+
+
+def test_html_text_of_held_out_pages():
+    tree = html_text.grow_tree(html_text.LABELLED)
+    rng = random.Random(11)
+    for _ in range(600):
+        page, text = held_out_page(rng)
+        assert html_text.main_text(page, tree) == text, page
+    assert html_text.main_text("<article><h2>Two words</h2><p>" + "long " * 60 + "</p><p>" + "more " * 50 + "</p></article><div>" + "junk " * 80 + "</div>", tree).split("\n")[0] == "Two words"
+
+
+def test_html_text_takes_linear_time():
+    tree = html_text.grow_tree(html_text.LABELLED)
+    for piece in ("<div>", "<a ", "<a href='", "<!", "<p><b>", "<ul><li>", "</p>", "<a href=\"x"):
+        started = time.perf_counter()
+        html_text.main_text(piece * 40_000 + "end", tree)
+        assert time.perf_counter() - started < 8, piece
+
+
 def test_warc_round_trip(spark):
     inner = warc.MAGIC + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:9999>\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
     pages = [(1, "http://a b\n", ""), (2, None, None), (3, "u", inner), (4, "u", f"x{warc.MAGIC}y{warc.MAGIC}"), (5, "u", inner * 3 + "tail"), (6, "u", inner), (7, "u", "é\r\n\r\nWARC/1.0\nxx"), (8, "u", "z" * 9000 + inner + "q" * 9000), (9, "u", "plain")]
