@@ -4,12 +4,14 @@ Base measures of each whole text come from array and string functions. For the a
 sketches of each measure are built per language and source in one aggregation (map-side sketches are merged, so a hot
 source costs no more than its share), and merged again into one sketch per language and one overall. A group of at
 least ``least_rows`` documents takes its own sketch's fences, a smaller one those of its language, then the overall
-ones. A measure fails above its upper quartile plus three interquartile ranges, but never below the rule's floor.
+ones. A measure fails above the group's upper quartile plus three spreads, and one with a lower fence also below the
+lower quartile less three spreads, where the spread is the interquartile range, or the measure's least spread if that is
+more, so that a group of nearly equal documents doesn't lose those that differ a little. No cutoff is fixed.
 The thresholds are joined to the documents; up to ``SMALL`` groups they are broadcast, beyond that both sides are
 shuffled.
 
 Defined results: null and empty texts have no words and fail the base rule; null languages and sources are groups of
-their own; repeated rows are judged row by row; an empty table gives an empty result; clashing columns are kept, as
+their own; texts of any length are measured whole; repeated rows are judged row by row; an empty table gives an empty result; clashing columns are kept, as
 the operator's own are named with a leading underscore until the result.
 """
 
@@ -29,8 +31,8 @@ LEAST_ROWS = 200
 #: Groups whose thresholds are broadcast.
 SMALL = 50_000
 
-#: Adaptive measures, each with the floor below which it never fails a document. Fixed values.
-FLOORS = {"symbol_rate": 0.1, "capital_rate": 0.25, "shout_rate": 0.2, "dup_line_rate": 0.5}
+#: Adaptive measures, each with its least spread and whether it has a lower fence. Fixed values.
+MEASURES = {"symbol_rate": (0.03, False), "capital_rate": (0.06, False), "shout_rate": (0.06, False), "dup_line_rate": (0.15, False), "word_length": (1.0, True)}
 
 
 def base_columns(text: Column) -> dict[str, Column]:
@@ -93,20 +95,21 @@ def measured(df: DataFrame, text_col: str = "text", windows: bool = True) -> Dat
             "_capital_rate": F.col("_capitals") / chars,
             "_shout_rate": F.col("_shouts") / words,
             "_dup_line_rate": F.col("_n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
+            "_word_length": F.col("_word_chars") / words,
         }
     ).drop("_lines", "_hashes", "_chars", "_capitals", "_shouts", "_n_lines")
 
 
 def thresholds(rows: DataFrame, least_rows: int = LEAST_ROWS, k: int = SKETCH_K) -> DataFrame:
-    """Per (_lang, _source): the fence of each measure, from merged sketches."""
+    """Per (_lang, _source): the lowest and highest value of each measure that passes, from merged sketches."""
     own = rows.groupBy("_lang", "_source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(f"_{m}", F.lit(k)).alias(m) for m in FLOORS]
+        F.count("*").alias("n"), *[F.kll_sketch_agg_double(f"_{m}", F.lit(k)).alias(m) for m in MEASURES]
     )
     own = stored(own)
 
     def merged(keys: list[str], prefix: str) -> DataFrame:
         return own.groupBy(*keys).agg(
-            F.sum("n").alias(f"{prefix}n"), *[F.kll_merge_agg_double(m, F.lit(k)).alias(f"{prefix}{m}") for m in FLOORS]
+            F.sum("n").alias(f"{prefix}n"), *[F.kll_merge_agg_double(m, F.lit(k)).alias(f"{prefix}{m}") for m in MEASURES]
         )
 
     # The overall sketches are one row of fixed size.
@@ -114,12 +117,14 @@ def thresholds(rows: DataFrame, least_rows: int = LEAST_ROWS, k: int = SKETCH_K)
     langs = merged(["_lang"], "lang_").withColumnRenamed("_lang", "_of")
     levels = own.join(langs, F.col("_lang").eqNullSafe(F.col("_of")))
 
-    def fence(m: str) -> Column:
+    def fences(m: str) -> list[Column]:
         sketch = F.when(F.col("n") >= least_rows, F.col(m)).when(F.col("lang_n") >= least_rows, F.col(f"lang_{m}")).otherwise(F.lit(every[f"all_{m}"]))
         low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        return F.greatest(F.lit(FLOORS[m]), high + 3 * (high - low)).alias(f"_cut_{m}")
+        least, lower = MEASURES[m]
+        spread = F.greatest(high - low, F.lit(least))
+        return [(low - 3 * spread if lower else F.lit(float("-inf"))).alias(f"_low_{m}"), (high + 3 * spread).alias(f"_high_{m}")]
 
-    return levels.select("_lang", "_source", *[fence(m) for m in FLOORS])
+    return levels.select("_lang", "_source", *[c for m in MEASURES for c in fences(m)])
 
 
 def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -130,8 +135,8 @@ def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     same = F.col("_lang").eqNullSafe(F.col("_cut_lang")) & F.col("_source").eqNullSafe(F.col("_cut_source"))
     failed = (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words"))
     within = F.lit(True)
-    for m in FLOORS:
-        within &= F.col(f"_{m}") <= F.col(f"_cut_{m}")
+    for m in MEASURES:
+        within &= F.col(f"_{m}").between(F.col(f"_low_{m}"), F.col(f"_high_{m}"))
     return rows.join(cuts, same).withColumn("_base_failed", failed).withColumn("_kept", ~failed & within)
 
 

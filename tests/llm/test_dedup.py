@@ -229,6 +229,44 @@ def test_quality_rejects_junk(spark):
     assert all(got[i] for i in range(300)) and not any(kept for i, kept in got.items() if i >= 1000)
 
 
+def test_quality_adapts_to_the_source(spark):
+    """The same texts pass in a source of their like and fail in another; verdicts equal those of exact quartiles."""
+    rng = random.Random(9)
+    words = [f"word{k}" for k in range(3000)]
+
+    def text(share, long=0):
+        return " ".join(rng.choice(words) + ("+" * long) + (" |" if rng.random() < share else "") for _ in range(60))
+
+    rows = [(text(0.0), "en", "prose") for _ in range(250)] + [(text(0.6), "en", "code") for _ in range(250)] + [(text(rng.random()), "en", "mixed") for _ in range(250)]
+    rows += [(text(0.0, rng.randrange(9)), "de", "prose") for _ in range(250)] + [(text(0.3), "fr", "small") for _ in range(20)]
+    rows += [(t, "en", s) for t in (text(0.6), text(0.5), text(0.0, 8)) for s in ("prose", "code")] + [("x" * 90 + " " + text(0), None, None)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    got = {r.doc_id: r.kept for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+    def measures(t):
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        n, chars = max(1, len(w)), sum(map(len, w))
+        return {"symbol_rate": sum(c in "#*$%&|<>" for c in t) / n, "capital_rate": sum("A" <= c <= "Z" for c in t) / max(1, chars), "shout_rate": t.count("!") / n,
+                "dup_line_rate": (len(lines) - len(set(lines))) / max(1, len(lines)), "word_length": chars / n}
+
+    by = defaultdict(list)
+    for _, t, lang, source in rows:
+        for key in ((lang, source), (lang,), ()):
+            by[key].append(measures(t))
+    for i, t, lang, source in rows:
+        group = next((by[k] for k in ((lang, source), (lang,)) if len(by[k]) >= quality.LEAST_ROWS), by[()])
+        kept = True
+        for m, (least, lower) in quality.MEASURES.items():
+            values = sorted(g[m] for g in group)
+            low, high = (values[max(0, -(-len(values) * q // 4) - 1)] for q in (1, 3))
+            spread = max(high - low, least)
+            kept &= (not lower or measures(t)[m] >= low - 3 * spread) and measures(t)[m] <= high + 3 * spread
+        assert got[i] == kept, (i, lang, source)
+    n = len(rows)
+    assert not got[n - 7] and got[n - 6] and not got[n - 5] and got[n - 4]
+
+
 def test_covered_words_counts_each_word_once(spark):
     from pyspark.sql import functions as F
 
