@@ -7,10 +7,12 @@ pair with the token before is compatible (the merges leave the two apart), and s
 prefix of a word has one valid encoding, a place that failed once fails for good and is never visited twice, so a
 word takes linear time. Decoding looks ids up in one byte string through a table of offsets.
 
-Stretches repeat, so each worker remembers a bounded number of them.
+Stretches and words repeat, so each worker remembers a bounded number of short ones.
 
 Defined results: null and empty texts have no tokens and decode to the empty string; ids that the vocabulary lacks
-can't arise as every byte is a token; an empty table gives an empty result; repeated rows are encoded row by row.
+can't arise as every byte is a token; texts of any length are encoded whole, in memory that grows with the longest
+word and text; an empty table gives an empty result; repeated rows are encoded row by row; columns besides id and text
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from candleforge.llm.common import map_arrow, table, text_or_empty
 
-#: Stretches that a worker remembers in each of two generations.
-MEMORY = 250_000
+#: Stretches, and words, that a worker remembers in each of two generations, and the longest of them.
+MEMORY, REMEMBERED = 250_000, 64
 #: Pairs whose compatibility a worker remembers.
 PAIRS = 2_000_000
 #: Unicode White_Space.
@@ -72,20 +74,21 @@ class WordEncoder:
         self.halves: dict[str, tuple[str, str]] = {}
         for t, i in own.items():
             if self._merge(t) == [t]:
-                self.automaton.add_word(t, (i, len(t) - 1))
+                self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
         formed = {t: self.rank[p] for t, p in self.halves.items()}
         #: Whether each merge comes after those that made its two halves, as in every trained vocabulary.
         self.ordered = all(r > max(formed.get(a, -1), formed.get(b, -1)) for (a, b), r in self.rank.items())
         self.rights: dict[int, list[tuple[str, int]]] = {}
         self.lefts: dict[int, list[tuple[str, int]]] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.compatible: dict[int, bool] = {}
+        self.new_words: dict[str, tuple[str, int, str]] = {}
+        self.old_words: dict[str, tuple[str, int, str]] = {}
         self.young: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
         self.pieces = [self.text_of.get(i, "") for i in range(max(self.text_of) + 1)]
         data = [p.encode("utf-8") for p in self.pieces]
-        self.blob, self.offsets = b"".join(data), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+        self.blob, self.offsets = b"".join(data), np.concatenate([[0], np.cumsum([len(d) for d in data])]).tolist()
 
     @staticmethod
     def _pair(merge) -> tuple[str, str]:
@@ -115,11 +118,11 @@ class WordEncoder:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges keep the two tokens apart; looked up in the pair table, which fills as pairs occur."""
-        known = self.compatible.get((left, right))
+        known = self.compatible.get((left << 32) | right)
         if known is None:
             if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
-            known = self.compatible[left, right] = not self._crosses(left, right)
+            known = self.compatible[(left << 32) | right] = not self._crosses(left, right)
         return known
 
     def _edge(self, token: int, side: int) -> list[tuple[str, int]]:
@@ -154,47 +157,52 @@ class WordEncoder:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word of the pre-tokenizer."""
-        symbols = "".join([self.bytes[b] for b in word.encode("utf-8")])
+        # Printable ASCII stands for itself in the byte alphabet.
+        symbols = word if word.isascii() and word.isprintable() and " " not in word else "".join([self.bytes[b] for b in word.encode("utf-8")])
         if self.suffix:
             symbols = symbols[:-1] + chr(ord(symbols[-1]) + FINAL)
         n = len(symbols)
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (token, length) in self.automaton.iter(symbols):
-            at[end - length].append((token, end + 1))
-        # Matches come by rising end, so each list is from the shortest to the longest token.
+            at[end + 1 - length].append((token, end + 1))
+        # Matches come by rising end, so each list is from the shortest to the longest token; what is left of it is untried.
+        known, fits = self.compatible.get, self.fits
         out: list[int] = []
         places: list[int] = []
-        left: list[int] = [len(at[0])]
         dead: set[int] = set()
-        place = 0
+        place, last = 0, -1
         while place < n:
-            k = left[-1] - 1
-            while k >= 0:
-                token, end = at[place][k]
-                if end not in dead and (not out or self.fits(out[-1], token)):
+            untried = at[place]
+            while untried:
+                token, end = untried.pop()
+                if end in dead:
+                    continue
+                fit = True if last < 0 else known((last << 32) | token)
+                if fit or fit is None and fits(last, token):
+                    out.append(token)
+                    places.append(place)
+                    last, place = token, end
                     break
-                k -= 1
-            if k >= 0:
-                left[-1] = k
-                out.append(token)
-                places.append(place)
-                place = end
-                left.append(len(at[place]) if place < n else 0)
             else:
+                # A place with no valid way on fails for good: each prefix has one valid encoding.
                 dead.add(place)
-                left.pop()
                 out.pop()
                 place = places.pop()
+                last = out[-1] if out else -1
         return out
 
     def word(self, word: str) -> tuple[str, int, str]:
         """Decimal ids, their count and the decoded text of a word; a bounded number of words is remembered."""
-        found = self.known.get(word)
+        found = self.new_words.get(word)
         if found is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            ids = self.encode_word(word)
-            found = self.known[word] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+            found = self.old_words.get(word)
+            if found is None:
+                ids = self.encode_word(word)
+                found = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+            if len(word) <= REMEMBERED:
+                if len(self.new_words) >= MEMORY:
+                    self.old_words, self.new_words = self.new_words, {}
+                self.new_words[word] = found
         return found
 
     def _stretch(self, raw: str) -> tuple[str, int, str]:
@@ -220,9 +228,10 @@ class WordEncoder:
             found = self.old.get(raw)
             if found is None:
                 found = self._stretch(raw)
-            if len(self.young) >= MEMORY:
-                self.old, self.young = self.young, {}
-            self.young[raw] = found
+            if len(raw) <= REMEMBERED:
+                if len(self.young) >= MEMORY:
+                    self.old, self.young = self.young, {}
+                self.young[raw] = found
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -230,8 +239,8 @@ class WordEncoder:
 
     def decode(self, ids: list[int]) -> str:
         """Token texts joined by single spaces, as the library does for a vocabulary without a decoder."""
-        o = self.offsets
-        return b" ".join([self.blob[o[i] : o[i + 1]] for i in ids]).decode("utf-8")
+        o, blob = self.offsets, self.blob
+        return b" ".join([blob[o[i] : o[i + 1]] for i in ids]).decode("utf-8")
 
     def digest(self, text: str) -> tuple[int, str, str]:
         memory, get = self.young.get, self.stretch
