@@ -80,10 +80,6 @@ class Scratch:
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """``mapInArrow`` of a function of one batch; a batch without rows, or a ``None`` result, is passed over."""
 

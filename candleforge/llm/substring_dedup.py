@@ -11,14 +11,15 @@ Neighbouring strings mostly have the same one, so a text is a series of runs, ab
 2. The texts meet the list of their runs that share a key with a different one, and those runs' bytes are filed by
    key. Runs of keys with very many are cut to single strings filed by their own hash as well, so a boundary that many
    documents share doesn't gather in one place.
-3. In each file a suffix array is sorted and its Burrows-Wheeler transform expanded breadth first: intervals of suffixes with a common string are extended backward,
-   eight bytes a step, and split by the symbols before them; intervals of one suffix are dropped, and at ``least``
+3. In each file a suffix array is sorted and its Burrows-Wheeler transform expanded breadth first: intervals of
+   suffixes with a common string are extended backward, eight bytes a step, and split by the symbols before them; intervals of one suffix are dropped, and at ``least``
    bytes the expansion stops. What shares an interval then is equal, and all but the first start is marked.
 4. The texts meet their marked strings, and the covered bytes are removed.
 
 Defined results: null and empty texts have no bytes; texts shorter than ``least`` lose nothing; rows with a null id
-lose nothing; rows that share an id are one document, of which one text is compared; an empty table gives an empty
-result; other columns are left out.
+lose nothing; rows that share an id are one document, of which one text is compared; texts may be as long as Spark's
+strings, 2 GB; runs are taken as equal by hashes of about 100 bits; an empty table gives an empty result; other columns
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import map_arrow, shuffle_partitions, stored, table
+from candleforge.llm.common import map_arrow, stored, table
 from candleforge.llm.shingles import bytes_of, mixed, powers, range_hashes, slices
 
 LEAST, GRAM = 100, 32
@@ -40,8 +41,8 @@ RUN = 255
 #: A key is hot above this many runs and above this share of all runs, so there are at most 1 / HOT_SHARE hot keys.
 HOT, HOT_SHARE = 2_000, 1 / 500_000
 HOT_PARTS = 64
-#: Files of runs, and groups of texts, for each shuffle partition.
-FILES, GROUPS = 2, 12
+#: Bytes of text for each file of runs and for each group of texts, whatever the number of shuffle partitions.
+FILE_BYTES, GROUP_BYTES = 8 << 20, 2 << 20
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -318,20 +319,20 @@ def without(data: bytes, starts: np.ndarray, ends: np.ndarray, least: int) -> tu
 
 def substring_dedup(df: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256, and what is kept if ``with_text``."""
-    spark = df.sparkSession
-    parts = shuffle_partitions(spark)
-    files, groups = parts * FILES + 1, parts * GROUPS + 1
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     known = docs.filter("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files, groups = total // FILE_BYTES + 1, total // GROUP_BYTES + 1
     hot = max(HOT, int(total * 2 / (least - gram) * HOT_SHARE))
     runs = stored(sorted_runs(filed_keys(known, files, least, gram), hot))
     hot_keys = np.array([r[0] for r in runs.filter("doc_id IS NULL").select("hot_key").collect()], np.int64).astype(np.uint64)
 
     def in_groups(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("group", F.coalesce(F.pmod("doc_id", F.lit(groups)), F.lit(-2)).cast("int"))
+        return rows.withColumn("group", F.pmod("doc_id", F.lit(groups)).cast("int"))
 
-    grouped = in_groups(docs)
+    # Rows with a null id meet no list, so any group will do.
+    own_group = F.coalesce(F.pmod("doc_id", F.lit(groups)), F.pmod(F.xxhash64("text"), F.lit(groups))).cast("int")
+    grouped = docs.withColumn("group", own_group)
     wanted = in_groups(runs.filter("wanted").select("doc_id", "first"))
     filed = filed_runs(in_groups(known), wanted, hot_keys, files, least, gram)
     more = stored(marked_strings(filed, least))

@@ -8,7 +8,7 @@ from tests.llm.conftest import prose
 
 
 def items(spark):
-    rows = [(i, " ".join(f"q{i}w{k} the" for k in range(12)) + f". Answer{i} is blue{i}.") for i in range(20)] + [(90, None), (91, "  ")]
+    rows = [(i, " ".join(f"q{i}w{k} the" for k in range(12)) + f". Answer{i} is blue{i}.") for i in range(20)] + [(90, None), (91, "  "), (92, "\n\t"), (93, "?!")]
     return rows, spark.createDataFrame(rows, "item_id long, text string")
 
 
