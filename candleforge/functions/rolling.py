@@ -10,16 +10,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candleforge.functions.stretches import in_order
+
 #: Denominators up to this size give no quotient.
 TINY = 1e-15
 
 
 class SparkOps:
+    """``df`` is a table of stretches (``functions.stretches``); of its rows only the stretch's own ones count."""
+
     def __init__(self, df: DataFrame, key: str = "symbol", order: str = "t"):
-        self.df, self.order = df, Window.partitionBy(key).orderBy(order)
+        self.df, self.order = df, in_order(key, order)
         self._names = (f"_s{i}" for i in count())
 
     def frame(self, n: int, before: int = 0):
@@ -64,7 +68,7 @@ class SparkOps:
 
     def avg_present(self, x: Column, n: int) -> Column:
         """Mean of the values present in the last n rows, from the n-th row on."""
-        return self.keep(F.when(F.row_number().over(self.order) >= n, F.avg(x).over(self.frame(n))))
+        return self.keep(F.when(F.col("_bar") + 1 >= n, F.avg(x).over(self.frame(n))))
 
     def fir(self, x: Column, weights: Sequence[float]) -> Column:
         """Weighted sum of the last values, newest first."""
@@ -129,7 +133,7 @@ class SparkOps:
 
     def index(self) -> Column:
         """Rows before this one."""
-        return self.keep(F.row_number().over(self.order) - 1)
+        return F.col("_bar")
 
 
 class Sql:

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRICES = ("open", "high", "low", "close")
-
+from candleforge.functions.stretches import BUCKET, in_order, stretched
 
-def series():
-    """A symbol's bars by time."""
-    return Window.partitionBy("symbol").orderBy("t")
+PRICES = ("open", "high", "low", "close")
 
 
 def to_number(column: str) -> Column:
@@ -27,11 +24,19 @@ def drop_bad_prices(bars: DataFrame) -> DataFrame:
 
 
 def fill_volume(bars: DataFrame) -> DataFrame:
-    """Zero volumes count as missing; the last one known is carried on, the first one back to the start, else 0."""
+    """Zero volumes count as missing; the last one known is carried on, the first one back to the start, else 0.
+
+    In two steps: inside buckets of time, and from bucket to bucket over a table with one row each.
+    """
     known = F.when(F.col("volume") != 0, F.col("volume"))
-    before = series().rowsBetween(Window.unboundedPreceding, 0)
-    after = series().rowsBetween(0, Window.unboundedFollowing)
-    return bars.withColumn("volume", F.coalesce(F.last(known, ignorenulls=True).over(before), F.first(known, ignorenulls=True).over(after), F.lit(0.0)))
+    bucket = F.floor(F.col("t") / BUCKET)
+    ends = bars.groupBy("symbol", bucket.alias("_bucket")).agg(F.max_by(known, F.when(known.isNotNull(), F.col("t"))).alias("_last"), F.min_by(known, F.when(known.isNotNull(), F.col("t"))).alias("_first"))
+    by = Window.partitionBy("symbol").orderBy("_bucket")
+    carried = ends.select("symbol", "_bucket", F.last("_last", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(by.rowsBetween(0, Window.unboundedFollowing)).alias("_after"))
+    rows = bars.withColumn("_bucket", bucket).join(carried, ["symbol", "_bucket"])
+    inside = Window.partitionBy("symbol", "_bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last(known, ignorenulls=True).over(inside), "_before", "_after", F.lit(0.0))
+    return rows.withColumn("volume", filled).select(*bars.columns)
 
 
 def first_of_each_time(bars: DataFrame, arrival: str) -> DataFrame:
@@ -59,8 +64,8 @@ def intrabar_extremes(high_bars: DataFrame, low_bars: DataFrame, seconds: int) -
 
 def gaps(bars: DataFrame, seconds: int, forex: bool = False) -> DataFrame:
     """Pairs of neighbouring bars more than 1.5 steps apart; for ``forex`` not those over a weekend."""
-    before = F.lag("t").over(series())
-    out = bars.select("symbol", before.alias("gap_from"), F.col("t").alias("gap_to")).withColumn("missing", F.floor((F.col("gap_to") - F.col("gap_from")) / seconds).cast("long") - 1)
+    rows = stretched(bars.select("symbol", "t"), back=1).withColumn("gap_from", F.lag("t").over(in_order())).filter("_own")
+    out = rows.select("symbol", "gap_from", F.col("t").alias("gap_to")).withColumn("missing", F.floor((F.col("gap_to") - F.col("gap_from")) / seconds).cast("long") - 1)
     out = out.filter(F.col("gap_to") - F.col("gap_from") > 1.5 * seconds)
     if forex:
         weekend = (weekday(F.col("gap_from")) == 4) & weekday(F.col("gap_to")).isin(5, 6, 0)

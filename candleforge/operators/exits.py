@@ -5,9 +5,11 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candleforge.functions.stretches import in_order, stretched
+
 COMMISSION = 0.005
 
 
@@ -18,9 +20,8 @@ def targets(bars: DataFrame, horizon: int, tp: float, sl: float, commission: flo
     bar's high is known to come first, else the stop. The last ``horizon`` bars of a symbol have no result.
     ``exit_bar`` is the bar of the exit.
     """
-    by = Window.partitionBy("symbol").orderBy("t")
-    ahead = by.rowsBetween(1, horizon)
-    rows = bars.withColumn("bar", (F.row_number().over(by) - 1).cast("long"))
+    ahead = in_order().rowsBetween(1, horizon)
+    rows = stretched(bars, ahead=horizon).withColumn("bar", F.col("_bar"))
     up, down = F.col("close") * (1 + tp / 100.0), F.col("close") * (1 - sl / 100.0)
     # Bars ahead as they are; each entry's own levels are applied to them.
     rows = rows.withColumn("_next", F.collect_list(F.struct("bar", "high", "low", "close", "high_time", "low_time")).over(ahead))
@@ -30,7 +31,7 @@ def targets(bars: DataFrame, horizon: int, tp: float, sl: float, commission: flo
     last = F.get("_next", F.lit(horizon - 1))
     gross = F.when(first.isNull(), F.when(F.col("close") != 0, (last["close"] / F.col("close") - 1) * 100.0)).when(win, F.lit(float(tp))).otherwise(F.lit(-float(sl)))
     kind = F.when(first.isNull(), "TIME").when(win, "TP").otherwise("SL")
-    rows = rows.filter((F.size("_next") == horizon) & (F.col("close") > 0))
+    rows = rows.filter((F.size("_next") == horizon) & (F.col("close") > 0) & F.col("_own"))
     return rows.select("symbol", "t", "bar", kind.alias("kind"), F.coalesce(first["bar"], last["bar"]).alias("exit_bar"), (gross - commission * (2 + gross / 100.0)).alias("y"))
 
 
@@ -57,8 +58,8 @@ def entries(bars: DataFrame, hold: int, tp: float, sl: float) -> DataFrame:
     the target if its extreme isn't later. Where the data ends first, its last bar is scanned too and its close is the
     exit.
     """
-    by = Window.partitionBy("symbol").orderBy("t")
-    rows = bars.withColumn("_rows", F.collect_list(F.struct("t", "open", "high", "low", "close", "high_time", "low_time")).over(by.rowsBetween(0, hold)))
+    row = F.struct("t", "open", "high", "low", "close", "high_time", "low_time")
+    rows = stretched(bars, ahead=hold).withColumn("_rows", F.collect_list(row).over(in_order().rowsBetween(0, hold))).filter("_own")
     up, down = F.col("open") * (1 + tp / 100.0), F.col("open") * (1 - sl / 100.0)
     rows = rows.withColumn("_hit", F.get(F.filter(F.slice("_rows", 1, hold), lambda b: (b["high"] >= up) | (b["low"] <= down)), F.lit(0)))
     hit, last = F.col("_hit"), F.element_at("_rows", -1)

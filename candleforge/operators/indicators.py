@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candleforge.functions.rolling import SparkOps, SqlOps
+from candleforge.functions.stretches import stretched
 
-LOOKBACK, ATR_N, BANDS, ENTROPY_BINS, SLOT_HOURS = 100, 14, 2.0, 10, 4
+#: Fixed values.
+LOOKBACK, ATR_N, BANDS, ENTROPY_BINS = 100, 14, 2.0, 10
 KALMAN_PROCESS, KALMAN_MEASURE = 1e-5, 1e-2
 
 
@@ -302,6 +304,7 @@ def instance_key(name: str, params: dict[str, int]) -> str:
     return name + ("__" + "_".join(f"{k}{v}" for k, v in sorted(params.items())) if params else "")
 
 
+#: Names and grids are fixed values.
 _P = (7, 14, 21)
 _T = (10, 20, 40)
 REGISTRY = {
@@ -348,11 +351,19 @@ REGISTRY = {
 }
 
 
-def with_indicator(bars: DataFrame, name: str, params: dict[str, int], out: str = "value") -> DataFrame:
+def with_indicator(bars: DataFrame, name: str, params: dict[str, int], out: str = "value", length: int | None = None) -> DataFrame:
     """``bars`` with an indicator's value; intermediate columns are dropped."""
-    ops = SparkOps(bars)
+    ops = SparkOps(stretched(bars, LOOKBACK, length=length))
     value = REGISTRY[name].formula(ops, **params)
-    return ops.df.select(*[F.col(c) for c in bars.columns], value.alias(out))
+    return ops.df.select(*bars.columns, value.alias(out), "_own").filter("_own").drop("_own")
+
+
+def grid_values(bars: DataFrame, name: str) -> DataFrame:
+    """(instance, symbol, t, value) for each point of an indicator's grid, from one table of stretches."""
+    ops = SparkOps(stretched(bars, LOOKBACK))
+    columns = [(key, ops.keep(REGISTRY[name].formula(ops, **params))) for key, params in REGISTRY[name].instances()]
+    points = F.explode(F.array(*[F.struct(F.lit(key).alias("instance"), c.cast("double").alias("value")) for key, c in columns]))
+    return ops.df.filter("_own").select("symbol", "t", points.alias("p")).select("p.instance", "symbol", "t", "p.value")
 
 
 def indicator_sql(source: str, name: str, params: dict[str, int], out: str = "value") -> str:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations, product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.operators.indicators import REGISTRY, SparkOps, instance_key
+from candleforge.functions.stretches import in_order, stretched
+from candleforge.operators.indicators import LOOKBACK, REGISTRY, SparkOps, instance_key
 
 #: indicator, parameters, operator and threshold of each condition. Fixed values.
 SPECS = (
@@ -24,11 +25,11 @@ DEPTH = 2
 
 def spec_values(bars: DataFrame, specs=SPECS) -> DataFrame:
     """Bars with one column for each distinct indicator of the conditions: each is computed once for all rules."""
-    ops = SparkOps(bars)
+    ops = SparkOps(stretched(bars, LOOKBACK + 1))
     columns = {}
     for name, params, _, _ in specs:
         columns.setdefault(instance_key(name, params), ops.keep(REGISTRY[name].formula(ops, **params)))
-    return ops.df.select("symbol", "t", F.row_number().over(ops.order).alias("bar"), *[c.alias(k) for k, c in columns.items()])
+    return ops.df.select("symbol", "t", (F.col("_bar") + 1).alias("bar"), "_stretch", "_own", *[c.alias(k) for k, c in columns.items()])
 
 
 def hits(bars: DataFrame, specs=SPECS, shift: int = 1) -> DataFrame:
@@ -37,11 +38,10 @@ def hits(bars: DataFrame, specs=SPECS, shift: int = 1) -> DataFrame:
     # One pass: every bar is unpacked to the numbers of the conditions that it meets.
     met = F.array(*[F.when(F.coalesce(F.expr(f"`{instance_key(n, p)}` {op} {th}D"), F.lit(False)), F.lit(i)) for i, (n, p, op, th) in enumerate(specs)])
     if shift:
-        by = Window.partitionBy("symbol").orderBy("t")
-        values = values.withColumn("met", F.lag(met, shift).over(by)).filter("met IS NOT NULL")
+        values = values.withColumn("met", F.lag(met, shift).over(in_order())).filter("met IS NOT NULL")
     else:
         values = values.withColumn("met", met)
-    return values.select(F.explode(F.array_compact("met").cast("array<long>")).alias("spec_id"), "symbol", "t", F.col("bar").cast("long").alias("bar"))
+    return values.filter("_own").select(F.explode(F.array_compact("met").cast("array<long>")).alias("spec_id"), "symbol", "t", F.col("bar").cast("long").alias("bar"))
 
 
 def spec_sets(specs=SPECS, depth: int = DEPTH) -> list[tuple[int, ...]]:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candleforge.operators import etl, exits, rules, screening, stats, trades, walkforward
-from candleforge.operators.indicators import REGISTRY, indicator_sql, with_indicator
+from candleforge.functions.stretches import in_order, stretched
+from candleforge.operators.indicators import REGISTRY, grid_values, indicator_sql, with_indicator
 from candleforge.sources.bars import SECONDS, bars, bars_sql, table, ticks
 from candleforge.streaming import live
 
@@ -59,9 +60,9 @@ for _tf in SECONDS:
 
 
 def _indicator_query(name: str) -> None:
-    key, params = REGISTRY[name].instances()[0]
-    QUERIES[f"ind_{name}"] = lambda spark, sf_dir: with_indicator(bars(spark, sf_dir), name, params).select("symbol", "t", r("value"))
-    ORACLES[f"ind_{name}"] = f"SELECT symbol, t, round(value, 6) AS value FROM {indicator_sql(H1, name, params)}"
+    """An indicator over its whole grid: a row for each point, symbol and time."""
+    QUERIES[f"ind_{name}"] = lambda spark, sf_dir: grid_values(bars(spark, sf_dir), name).select("instance", "symbol", "t", r("value"))
+    ORACLES[f"ind_{name}"] = " UNION ALL ".join(f"SELECT '{key}' AS instance, symbol, t, round(value, 6) AS value FROM {indicator_sql(H1, name, params)}" for key, params in REGISTRY[name].instances())
 
 
 for _name in REGISTRY:
@@ -267,13 +268,17 @@ def sim_pyramid(spark, sf_dir):
 
 
 # Screening.
+def _gains(rows: DataFrame, horizon: int = 5) -> DataFrame:
+    """``rows`` with ``y``, the change of the close over the next bars."""
+    return stretched(rows, ahead=horizon).withColumn("y", F.lead("close", horizon).over(in_order()) - F.col("close")).filter("_own")
+
+
 @query(f"""WITH v AS (SELECT a.value, c.y FROM {indicator_sql(H1, 'bb_pctb', {'n': 20})} a JOIN (SELECT symbol, t, (lead(close, 5) OVER (PARTITION BY symbol ORDER BY t) - close) AS y FROM {H1}) c USING (symbol, t) WHERE value IS NOT NULL AND y IS NOT NULL),
  e AS (SELECT count(*) AS an, avg(y) AS am, stddev_pop(y) AS asd FROM v), s AS (SELECT CAST(k AS BIGINT) AS cut, side, y FROM v, (VALUES (0, 0.2), (1, 0.5), (2, 0.8)) c(k, th), (VALUES ('<'), ('>')) d(side) WHERE CASE WHEN side = '<' THEN value < th ELSE value > th END)
  SELECT cut, side, count(*) AS n, round(avg(y), 6) AS mean, round(avg(y) - any_value(am), 6) AS excess, round((avg(y) - any_value(am)) / (greatest(stddev_pop(y), any_value(asd)) / sqrt(count(*))), 6) AS z FROM s, e GROUP BY cut, side HAVING count(*) >= 30 AND any_value(an) - count(*) >= 30""")
 def segment_edges(spark, sf_dir):
-    rows = with_indicator(bars(spark, sf_dir), "bb_pctb", {"n": 20})
-    y = F.lead("close", 5).over(Window.partitionBy("symbol").orderBy("t")) - F.col("close")
-    out = screening.segment_edges(rows.select("value", y.alias("y")), [0.2, 0.5, 0.8])
+    rows = _gains(with_indicator(bars(spark, sf_dir), "bb_pctb", {"n": 20}))
+    out = screening.segment_edges(rows.select("value", "y"), [0.2, 0.5, 0.8])
     return out.select("cut", "side", F.col("n").cast("long").alias("n"), r("mean"), r("excess"), r("z"))
 
 
@@ -282,9 +287,8 @@ def segment_edges(spark, sf_dir):
  SELECT g.i, h.j, count(y) AS n, round(coalesce(sum(y), 0), 4) AS s FROM range(5) g(i) CROSS JOIN range(5) h(j) LEFT JOIN k ON k.i <= g.i AND k.j <= h.j GROUP BY 1, 2""")
 def pair_rectangles(spark, sf_dir):
     rows = with_indicator(bars(spark, sf_dir), "bb_pctb", {"n": 20}, "a")
-    rows = with_indicator(rows, "rsi", {"period": 14}, "b")
-    y = F.lead("close", 5).over(Window.partitionBy("symbol").orderBy("t")) - F.col("close")
-    return screening.pair_table(rows.select("a", "b", y.alias("y")), [0.2, 0.8], [45.0, 55.0]).select("i", "j", "n", r("s", 4))
+    rows = _gains(with_indicator(rows, "rsi", {"period": 14}, "b"))
+    return screening.pair_table(rows.select("a", "b", "y"), [0.2, 0.8], [45.0, 55.0]).select("i", "j", "n", r("s", 4))
 
 
 # Trades.
