@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candleforge.functions.stretches import in_order, stretched
-from candleforge.operators.indicators import LOOKBACK, REGISTRY, SparkOps, instance_key
+from candleforge.operators.indicators import LOOKBACK, REGISTRY, SparkOps, grid_values, instance_key
 
 #: indicator, parameters, operator and threshold of each condition. Fixed values.
 SPECS = (
@@ -20,7 +20,7 @@ SPECS = (
     ("close_pos_in_bar", {}, ">", 0.6),
     ("range_expansion", {"period": 10}, ">", 1.2),
 )
-DEPTH = 2
+DEPTH = 3
 
 
 def spec_values(bars: DataFrame, specs=SPECS) -> DataFrame:
@@ -44,6 +44,17 @@ def hits(bars: DataFrame, specs=SPECS, shift: int = 1) -> DataFrame:
     return values.filter("_own").select(F.explode(F.array_compact("met").cast("array<long>")).alias("spec_id"), "symbol", "t", F.col("bar").cast("long").alias("bar"))
 
 
+def expanded_counts(bars: DataFrame, thresholds: dict[str, tuple[float, ...]]) -> DataFrame:
+    """Bars that meet each condition of the expansion: every grid point of an indicator, threshold and operator."""
+    found = None
+    for name, cuts in thresholds.items():
+        met = [F.when(F.col("value") < c if op == "<" else F.col("value") > c, F.struct(F.lit(op).alias("op"), F.lit(c).alias("threshold"))) for c in cuts for op in "<>"]
+        own = grid_values(bars, name).select("instance", F.explode(F.array_compact(F.array(*met))).alias("c"))
+        own = own.groupBy("instance", "c.op", "c.threshold").agg(F.count("*").alias("n"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def spec_sets(specs=SPECS, depth: int = DEPTH) -> list[tuple[int, ...]]:
     """Sets of conditions on distinct indicators, in order."""
     names = sorted({s[0] for s in specs}, key=[s[0] for s in specs].index)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -10,13 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPLICAS, BLOCK, SEED = 200, 10, 42
+from candleforge.functions.stretches import in_order, stretched
 
+#: Fixed values.
+REPLICAS, BLOCK, SEED = 1000, 10, 42
 
+
+@lru_cache(maxsize=2)
 def bootstrap_weights(days: int, block: int = BLOCK, replicas: int = REPLICAS, seed: int = SEED) -> np.ndarray:
     """Times that each day is drawn in each replica by moving blocks; a row sums to ``days``."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((replicas, days), np.int32)
+    out = np.zeros((replicas, days), np.float64)
     per = -(-days // block)
     for r, starts in enumerate(rng.integers(0, max(days - block, 0) + 1, (replicas, per))):
         drawn = (starts[:, None] + np.arange(min(block, days))).ravel()[:days]
@@ -25,24 +30,41 @@ def bootstrap_weights(days: int, block: int = BLOCK, replicas: int = REPLICAS, s
 
 
 def sharpe_deviations(daily: DataFrame, key: str, days: int, first: int, block: int = BLOCK, replicas: int = REPLICAS) -> DataFrame:
-    """By column: its Sharpe, the spread of its bootstrap deviations, and each replica's studentised deviation.
+    """By column: its Sharpe, its z, and each replica's studentised deviation.
 
-    A column is one group of a bounded number of days; the weights come from the seed, so nothing is shipped.
+    A column becomes one row with its days, and a batch of columns one product with the weights, which a worker makes
+    once from the seed. A replica in which a column has no spread counts as minus infinity. Columns whose z is under
+    -sqrt(2 ln ln days) get their z added to their deviations, so that poor columns don't raise the largest ones; those
+    without any spread have z 0 and deviations of minus infinity.
     """
 
-    def run(own_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(days)
-        x[rows["idx"].to_numpy() - first] = rows["profit"].to_numpy()
+    def ratios(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+        var = q - m * m
+        good = var > 1e-12
+        return np.where(good, m / np.sqrt(np.where(good, var, 1.0) * days / (days - 1.0)), -np.inf)
+
+    def run(batches):
         w = bootstrap_weights(days, block, replicas)
-        n = float(days)
-        ratio = lambda m, q: np.divide(m, np.sqrt(np.maximum(q - m * m, 0) * n / (n - 1)), out=np.zeros_like(m), where=q - m * m > 1e-12)
-        own = ratio(np.array([x.mean()]), np.array([(x * x).mean()]))[0]
-        dev = ratio(w @ x / n, w @ (x * x) / n) - own
-        spread = dev.std(ddof=1)
-        return pd.DataFrame({key: own_key[0], "sharpe": own, "z": own / spread if spread > 0 else 0.0, "deviation": [(dev / spread if spread > 0 else dev).tolist()]})
+        for rows in batches:
+            x = np.zeros((len(rows), days))
+            for i, (at, profit) in enumerate(zip(rows["at"], rows["profit"], strict=True)):
+                x[i, np.asarray(at) - first] = profit
+            own = ratios(x.mean(axis=1), (x * x).mean(axis=1))
+            with np.errstate(invalid="ignore"):
+                dev = ratios(x @ w.T / days, (x * x) @ w.T / days) - own[:, None]
+                finite = np.where(np.isfinite(dev), dev, np.nan)
+                flat = ~np.isfinite(finite).any(axis=1)
+                finite[flat] = 0.0
+                spread = np.nanstd(finite, axis=1, ddof=1)
+            flat |= ~(spread > 0)
+            z = np.where(flat, 0.0, own / np.where(flat, 1.0, spread))
+            out = np.where(flat[:, None] | np.isnan(dev), -np.inf, dev / np.where(flat, 1.0, spread)[:, None])
+            out[z < -math.sqrt(2.0 * math.log(math.log(days)))] += z[z < -math.sqrt(2.0 * math.log(math.log(days))), None]
+            yield pd.DataFrame({key: rows[key], "sharpe": np.where(np.isfinite(own), own, 0.0), "z": z, "deviation": list(out)})
 
     kind = daily.schema[key].dataType.simpleString()
-    return daily.groupBy(key).applyInPandas(run, f"{key} {kind}, sharpe double, z double, deviation array<double>")
+    columns = daily.groupBy(key).agg(F.collect_list("idx").alias("at"), F.collect_list("profit").alias("profit"))
+    return columns.mapInPandas(run, f"{key} {kind}, sharpe double, z double, deviation array<double>")
 
 
 def reality_check(columns: DataFrame) -> DataFrame:
@@ -75,10 +97,12 @@ def permuted_paths(bars: DataFrame, paths: int, block: int, seed: int = SEED) ->
     """
     from pyspark.sql import Window
 
-    by = Window.partitionBy("symbol").orderBy("t")
-    r = F.ln(F.when(F.col("close") > 0, F.col("close")) / F.lag(F.when(F.col("close") > 0, F.col("close"))).over(by))
-    rows = bars.select("symbol", "t", r.alias("r"), (F.row_number().over(by) - 1).alias("bar"), F.first(F.when(F.col("close") > 0, F.col("close")), True).over(by).alias("first"))
-    rows = rows.filter("r IS NOT NULL").withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(paths))))
+    close = F.when(F.col("close") > 0, F.col("close"))
+    own = stretched(bars, back=1)
+    own = own.withColumn("r", F.ln(close / F.lag(close).over(in_order()))).filter("_own AND r IS NOT NULL")
+    firsts = bars.filter("close > 0").groupBy("symbol").agg(F.min_by("close", "t").alias("first"))
+    rows = own.select("symbol", "t", "r", F.col("_bar").alias("bar")).join(firsts, "symbol")
+    rows = rows.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(paths))))
     rows = rows.withColumn("blk", F.floor(F.col("bar") / block))
     shuffled = Window.partitionBy("path", "symbol").orderBy(F.xxhash64(F.lit(seed), "path", "blk"), "bar")
     placed = rows.withColumn("place", F.row_number().over(shuffled))

@@ -23,12 +23,27 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         QUERIES[fn.__name__] = fn
         if sql:
-            ORACLES[fn.__name__] = sql
+            ORACLES[fn.__name__] = without_negative_zeros(sql)
         return fn
 
     return register
 
 
+def without_negative_zeros(sql: str) -> str:
+    """``sql`` with 0.0 added to each rounded output column: DuckDB rounds small negative values to -0.0, Spark to 0.0."""
+    out, at = [], 0
+    while (begin := sql.find("round(", at)) >= 0:
+        depth, end = 0, begin + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        out.append(sql[at:end] + (" + 0.0" if sql.startswith(" AS ", end) else ""))
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def r(column: str, digits: int = 6):
     return F.round(column, digits).alias(column)
 
@@ -62,7 +77,7 @@ for _tf in SECONDS:
 def _indicator_query(name: str) -> None:
     """An indicator over its whole grid: a row for each point, symbol and time."""
     QUERIES[f"ind_{name}"] = lambda spark, sf_dir: grid_values(bars(spark, sf_dir), name).select("instance", "symbol", "t", r("value"))
-    ORACLES[f"ind_{name}"] = " UNION ALL ".join(f"SELECT '{key}' AS instance, symbol, t, round(value, 6) AS value FROM {indicator_sql(H1, name, params)}" for key, params in REGISTRY[name].instances())
+    ORACLES[f"ind_{name}"] = without_negative_zeros(" UNION ALL ".join(f"SELECT '{key}' AS instance, symbol, t, round(value, 6) AS value FROM {indicator_sql(H1, name, params)}" for key, params in REGISTRY[name].instances()))
 
 
 for _name in REGISTRY:
@@ -442,11 +457,18 @@ def wfo_test(spark, sf_dir):
     return walkforward.walk_forward(*_wf_rows(spark, sf_dir), "strategy").select("win", "strategy", r("train", 4), r("test", 4))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT strategy, idx, profit FROM {DAILY_SQL}), s AS (SELECT strategy, CAST(row_number() OVER (ORDER BY sum(profit) DESC, strategy) - 1 AS BIGINT) AS idx FROM d GROUP BY 1 ORDER BY sum(profit) DESC, strategy LIMIT 25),
+ c AS (SELECT CAST(pow(2, idx) AS BIGINT) AS combo, idx AS last, [strategy] AS members FROM s UNION ALL SELECT c.combo + CAST(pow(2, s.idx) AS BIGINT), s.idx, list_append(c.members, s.strategy) FROM c JOIN s ON s.idx > c.last WHERE len(c.members) < 8),
+ m AS (SELECT combo, len(members) AS k, unnest(members) AS strategy FROM c WHERE len(members) >= 2), y AS (SELECT combo, k, idx, sum(profit) AS profit FROM m JOIN d USING (strategy) GROUP BY 1, 2, 3),
+ e AS (SELECT *, k * 1000.0 + sum(profit) OVER (PARTITION BY combo ORDER BY idx) AS equity, row_number() OVER (PARTITION BY combo ORDER BY idx) AS n FROM y), p AS (SELECT *, greatest(k * 1000.0, max(equity) OVER (PARTITION BY combo ORDER BY idx)) AS peak FROM e),
+ x AS (SELECT combo, sum(profit) / max(k * 1000.0) * 100.0 AS net_gain, min((equity - peak) / peak * 100.0) AS max_drawdown, regr_r2(equity, n) AS r2 FROM p GROUP BY 1)
+ SELECT combo, round(net_gain, 4) AS net_gain, round(max_drawdown, 4) AS max_drawdown, round(r2, 4) AS r2, round(CASE WHEN max_drawdown < 0 THEN net_gain / -max_drawdown END, 4) AS calmar, rank FROM (SELECT *, (row_number() OVER (ORDER BY net_gain DESC, combo) + row_number() OVER (ORDER BY max_drawdown DESC, combo)) / 2.0 AS rank FROM x) ORDER BY rank, combo LIMIT 3""")
 def portfolio_rank(spark, sf_dir):
     daily = _daily(spark, sf_dir)
-    ids = [x.strategy for x in daily.select("strategy").distinct().orderBy("strategy").limit(25).collect()]
-    return walkforward.ranked(walkforward.score(walkforward.portfolios(spark, ids, range(2, 5)), daily), 3).select("combo", r("net_gain", 4), r("max_drawdown", 4), "rank")
+    gains = daily.groupBy("strategy").agg(F.sum("profit").alias("gain")).orderBy(F.desc("gain"), "strategy").limit(25)
+    ids = gains.select("strategy", (F.row_number().over(Window.orderBy(F.desc("gain"), "strategy")) - 1).cast("long").alias("idx"))
+    out = walkforward.ranked(walkforward.score(walkforward.portfolios(ids), daily), 3)
+    return out.select("combo", *[r(c, 4) for c in ("net_gain", "max_drawdown", "r2", "calmar")], "rank")
 
 
 # Resampling.
@@ -468,7 +490,7 @@ def white_reality_check(spark, sf_dir):
 
 @query()
 def multiverse_paths(spark, sf_dir):
-    return stats.permuted_paths(bars(spark, sf_dir, "4H"), 20, 10).select("path", "symbol", "place", r("close"))
+    return stats.permuted_paths(bars(spark, sf_dir, "4H"), 1000, 10).select("path", "symbol", "place", r("close"))
 
 
 # Streams.
@@ -486,22 +508,3 @@ def stream_monitor(spark, sf_dir):
     import uuid
 
     return live.drain(live.monitor(live.tick_stream(spark, sf_dir, "events.parquet"), 30.0, 30.0, 20), "positions", f"{path}/{uuid.uuid4().hex}")
-
-
-def without_negative_zeros(sql: str) -> str:
-    """``sql`` with 0.0 added to each rounded output column: DuckDB rounds small negative values to -0.0, Spark to 0.0."""
-    out, at = [], 0
-    while (begin := sql.find("round(", at)) >= 0:
-        depth, end = 0, begin + 5
-        while True:
-            depth += {"(": 1, ")": -1}.get(sql[end], 0)
-            end += 1
-            if not depth:
-                break
-        out.append(sql[at:end] + (" + 0.0" if sql.startswith(" AS ", end) else ""))
-        at = end
-    return "".join(out) + sql[at:]
-
-
-for _name, _text in ORACLES.items():
-    ORACLES[_name] = without_negative_zeros(_text)

@@ -1,5 +1,6 @@
 """Operators on small frames with hand-computed results, and the registered queries against DuckDB."""
 
+import random
 import math
 
 import duckdb
@@ -172,3 +173,41 @@ def test_entry_module(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_recentred_deviations_and_flat_columns(spark):
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    days = 120
+    columns = {"good": rng.normal(0.3, 1, days), "poor": rng.normal(-1.5, 1, days), "flat": np.zeros(days)}
+    daily = spark.createDataFrame([(k, i, float(v)) for k, x in columns.items() for i, v in enumerate(x)], "strategy string, idx long, profit double")
+    got = {r.strategy: r for r in stats.sharpe_deviations(daily, "strategy", days, 0, replicas=200).collect()}
+    w = stats.bootstrap_weights(days, replicas=200)
+    for name in ("good", "poor"):
+        x = columns[name]
+        ratio = lambda m, q: m / np.sqrt((q - m * m) * days / (days - 1))
+        dev = ratio(w @ x / days, w @ (x * x) / days) - ratio(x.mean(), (x * x).mean())
+        z = ratio(x.mean(), (x * x).mean()) / dev.std(ddof=1)
+        expected = dev / dev.std(ddof=1) + (z if z < -math.sqrt(2 * math.log(math.log(days))) else 0.0)
+        assert np.isclose(got[name].z, z) and np.allclose(got[name].deviation, expected)
+    assert got["poor"].z < -5 and got["flat"].z == 0.0 and all(d == -math.inf for d in got["flat"].deviation)
+
+
+def test_portfolios_and_places(spark):
+    from itertools import combinations
+
+    from candleforge.operators import walkforward
+
+    ids = spark.createDataFrame([(i, f"s{i}") for i in range(6)], "idx long, strategy string")
+    sets = {}
+    for r in walkforward.portfolios(ids, 2, 4).collect():
+        sets.setdefault(r.combo, set()).add(r.strategy)
+    assert sorted(map(sorted, sets.values())) == sorted(list(c) for k in (2, 3, 4) for c in combinations([f"s{i}" for i in range(6)], k))
+    rng = random.Random(1)
+    rows = [(i, rng.choice([None, 1.0, 2.0, rng.random(), rng.random() * 50])) for i in range(700)]
+    got = {r.id: r.place for r in walkforward.placed(spark.createDataFrame(rows, "id long, v double"), "v", "id", "place", 16).collect()}
+    order = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0.0), x[0]))
+    assert got == {i: k + 1 for k, (i, _) in enumerate(order)}
