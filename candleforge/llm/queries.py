@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candleforge.llm import bpe, decontaminate, html_text, line_dedup, near_dedup, quality, secrets, substring_dedup, token_counts, warc
+from candleforge.llm import bpe, decontaminate, html_text, line_dedup, near_dedup, oracles, quality, secrets, substring_dedup, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,4 +23,5 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: op8's holds while a group's sketches are exact, up to quality.SKETCH_K rows.
+ORACLES: dict[str, str] = {"op3_near_dedup": oracles.OP3, "op5_warc": oracles.OP5, "op8_quality": oracles.OP8}
