@@ -67,10 +67,10 @@ def numeric_coercion(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", etl.to_number("raw").alias("value"))
 
 
-@query(f"SELECT strategy, idx, round(profit, 6) AS profit FROM (SELECT *, min(profit) OVER (PARTITION BY strategy) AS a, max(profit) OVER (PARTITION BY strategy) AS b FROM (SELECT strategy, idx, CASE WHEN strategy LIKE '3%' THEN 0.0 ELSE profit END AS profit FROM {DAILY_SQL})) WHERE a < b")
+@query(f"SELECT strategy, idx, round(profit, 8) AS profit FROM (SELECT *, min(profit) OVER (PARTITION BY strategy) AS a, max(profit) OVER (PARTITION BY strategy) AS b FROM (SELECT strategy, idx, CASE WHEN strategy LIKE '3%' THEN 0.0 ELSE profit END AS profit FROM {DAILY_SQL})) WHERE a < b")
 def varying_columns(spark, sf_dir):
     flat = _daily(spark, sf_dir).withColumn("profit", F.when(F.col("strategy").startswith("3"), 0.0).otherwise(F.col("profit")))
-    return reports.with_variance(flat, "strategy").select("strategy", "idx", r("profit"))
+    return reports.with_variance(flat, "strategy").select("strategy", "idx", r("profit", 8))
 
 
 CUSTOMER_SQL = f"(SELECT t.*, o_custkey AS customer FROM {T} t JOIN orders ON trade_id // 10 = o_orderkey)"
@@ -192,12 +192,12 @@ def mean_correlation(spark, sf_dir):
     return trades.correlations(_daily(spark, sf_dir)).agg(F.round(F.avg("corr"), 5).alias("mean_corr"), F.count("*").alias("pairs"))
 
 
-@query(f"""SELECT trade_id, round(pnl, 6) AS pnl, fees, round(pnl / (entry_price * qty) * 100.0, 6) AS pct, sell_day - buy_day AS days FROM (SELECT *, CASE WHEN trade_id % 3 > 0 THEN profit - 2 * fee ELSE (entry_price + profit - entry_price) * qty * CASE side WHEN 'SHORT' THEN -1 ELSE 1 END END AS pnl,
+@query(f"""SELECT trade_id, round(pnl, 8) AS pnl, fees, round(pnl / (entry_price * qty) * 100.0, 4) AS pct, sell_day - buy_day AS days FROM (SELECT *, CASE WHEN trade_id % 3 > 0 THEN profit - 2 * fee ELSE (entry_price + profit - entry_price) * qty * CASE side WHEN 'SHORT' THEN -1 ELSE 1 END END AS pnl,
  CASE WHEN trade_id % 3 > 0 THEN 2 * fee ELSE 0.0 END AS fees FROM (SELECT *, 10.0 + trade_id % 100 AS entry_price FROM {T}))""")
 def closed_pnl(spark, sf_dir):
     entry = F.lit(10.0) + F.col("trade_id") % 100
     rows = trades.trades(spark, sf_dir).withColumns({"entry_price": entry, "exit_price": entry + F.col("profit"), "size": F.col("qty"), "api_profit": F.when(F.col("trade_id") % 3 > 0, F.col("profit"))})
-    return reports.closed_pnl(rows).select("trade_id", r("pnl"), "fees", r("pct"), "days")
+    return reports.closed_pnl(rows).select("trade_id", r("pnl", 8), "fees", r("pct", 4), "days")
 
 
 @query(f"""SELECT year, round(sum(f), 4) AS fees, round(coalesce(sum(f) FILTER (o), 0), 4) AS open_fees, round(coalesce(sum(f) FILTER (NOT o), 0), 4) AS close_fees, round(sum(profit), 4) AS pnl FROM (SELECT CAST(year(DATE '1970-01-01' + CAST(sell_day AS INT)) AS INT) AS year, abs(-fee) + abs(fee / 2) AS f, trade_id % 2 = 0 AS o, profit FROM {T}) GROUP BY 1""")
