@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -494,17 +495,21 @@ def multiverse_paths(spark, sf_dir):
 
 
 # Streams.
-@query()
-def stream_closed_bars(spark, sf_dir):
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    import uuid
+def _stream_dir(spark: SparkSession) -> str:
+    """A new folder for a stream's state, where all executors reach it; a folder of this machine in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{path}/{uuid.uuid4().hex}"
 
-    return live.drain(live.closed_bars(live.tick_stream(spark, sf_dir, "events.parquet"), "4 hours", "1 hour"), "bars", f"{path}/{uuid.uuid4().hex}")
+
+@query(f"SELECT symbol, t, open, high, low, close, CAST(volume AS BIGINT) AS n FROM {H4} WHERE (t + 14400) * 1000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000")
+def stream_closed_bars(spark, sf_dir):
+    return live.drain(live.closed_bars(live.tick_stream(spark, sf_dir, "events.parquet"), "4 hours", "1 hour"), "bars", _stream_dir(spark))
 
 
 @query()
 def stream_monitor(spark, sf_dir):
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    import uuid
-
-    return live.drain(live.monitor(live.tick_stream(spark, sf_dir, "events.parquet"), 30.0, 30.0, 20), "positions", f"{path}/{uuid.uuid4().hex}")
+    return live.drain(live.monitor(live.tick_stream(spark, sf_dir, "events.parquet"), 30.0, 30.0, 20), "positions", _stream_dir(spark))
