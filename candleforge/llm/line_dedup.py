@@ -1,17 +1,19 @@
-"""Fuzzy line deduplication in DataFrame functions only.
+"""Fuzzy line deduplication.
 
 Lines of the whole corpus are compared, and of each group of equal or similar lines the first, by document and line
-number, stays. Equal lines meet in one aggregation of their 128-bit hashes, which also carries one copy of the line, so
-all that follows works on distinct lines. Each line's character shingles, the same that are compared in the end, are
-hashed and sorted: the least of them are a MinHash signature, and runs of neighbouring values in it are the bands. A run
-is in both lines if all of its values are in both sets. Lines of up to SHORT shingles use all runs of four on the circle
-of their values; as sets of Jaccard similarity 0.8 or more differ in at most a fifth of their union, and one element
-breaks at most four of the runs of four, a fifth of these is whole in both, and no such pair is missed. Longer lines use
-runs of RUN among their SIGNATURE least values, one of PICK of them by the run's first value, or all where the line has
-no more values than that: about 18, of which a pair at similarity 0.8 shares four or five, and none with a probability
-of about 0.015. Lines that share a band are proposed, and confirmed if their sets have a Jaccard similarity of 0.8 or
-more; with a lower ``percent`` fewer of the pairs are proposed. Components of confirmed links are found by a
-distributed union-find.
+number, stays. Equal lines meet in one aggregation of their 128-bit hashes. Each line's character shingles, the same
+that are compared in the end, are hashed and sorted: the least of them are a MinHash signature, and runs of neighbouring
+values in it are the bands. A run is in both lines if all of its values are in both sets. Lines of up to SHORT shingles
+use all runs of four on the circle of their values; as sets of Jaccard similarity 0.8 or more differ in at most a fifth
+of their union, and one element breaks at most four of the runs of four, a fifth of these is whole in both, and no such
+pair is missed. Longer lines use runs of RUN among their SIGNATURE least values, one of PICK of them by the run's first
+value, or all where the line has no more values than that: about 18, of which a pair at similarity 0.8 shares four or
+five, and none with a probability of about 0.015. Lines that share a band are proposed, and confirmed if their sets have
+a Jaccard similarity of 0.8 or more; with a lower ``percent`` fewer of the pairs are proposed. Components of confirmed
+links are found by a distributed union-find.
+
+Signatures, bands and sets are worked out by numpy on Arrow batches; all joins and groupings are DataFrame operations.
+The form in DataFrame functions alone took 896 CPU seconds a GB and more, of a budget of 400 (see README).
 
 Defined results: null and empty texts have no lines; lines without a word stay and are compared with nothing; lines of
 any length are compared whole; a text of which no line stays becomes empty, and its row stays; rows that share an id
@@ -22,11 +24,16 @@ empty result; columns of any name pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import Scratch, stored, table
+from candleforge.llm.common import Scratch, map_arrow, stored, table
 from candleforge.llm.graph import linked_components
+from candleforge.llm.shingles import BASE, mixed, slices
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Characters (UTF-16 units) of the shingles.
@@ -36,6 +43,10 @@ PERCENT = 80
 SHORT = 28
 #: Of longer lines: values of a run, runs looked at, and one of how many of these is used.
 RUN, SIGNATURE, PICK = 6, 72, 4
+#: Bytes of lines that are hashed at once, so that work arrays stay near the processor; longer lines go alone.
+SLICE = 1 << 20
+#: Stands after the last value of a row; no shingle has it as its hash.
+END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,71 +56,198 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
 
 
-def shingle_hashes(line: Column) -> Column:
-    """A hash of each of a line's character shingles, repeated ones included; a shorter line is its own shingle."""
-    # Of two bytes a unit, so that a shingle is cut out without a walk through the line. The lambda binds the bytes.
-    places = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - 2 * SHINGLE + 1, F.lit(1)), F.lit(2))
-    return F.transform(F.array(F.encode(line, "UTF-16BE")), lambda b: F.transform(places(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * SHINGLE)))))[0]
+def shingle_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each of the lines' character shingles, repeated ones included, and the offset at which each line's begin.
+
+    A shorter line is its own shingle. Lines hold no \\n.
+    """
+    data = b"".join(x + b"\n" for x in lines.cast(pa.large_binary()).to_pylist())
+    units = np.frombuffer(data.decode("utf-8", "replace").encode("utf-16-le"), np.uint16)
+    ends = np.flatnonzero(units == 10)
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])[: len(ends)]
+    n = ends - starts
+    counts = np.maximum(n - SHINGLE + 1, 1)
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+    padded = np.concatenate([units, np.zeros(SHINGLE, np.uint16)]).astype(np.uint64)
+    sums = padded[: len(units)].copy()
+    for k in range(1, SHINGLE):
+        sums *= np.uint64(BASE)
+        sums += padded[k : len(units) + k]
+    out = sums[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], counts)]
+    short = np.flatnonzero(n < SHINGLE)
+    own = np.zeros(len(short), np.uint64)
+    for k in range(SHINGLE):
+        # No unit has this value, so a shorter line equals no shingle.
+        own = own * np.uint64(BASE) + np.where(k < n[short], padded[starts[short] + k], np.uint64(1 << 16))
+    out[offsets[short]] = own
+    return np.minimum(mixed(out), END - np.uint64(1)), offsets
+
+
+def alike(widths: np.ndarray, cells: int = 1 << 18) -> Iterator[tuple[np.ndarray, int]]:
+    """Places of rows of about the same width, about ``cells`` values at once, and the greatest width."""
+    order = np.argsort(widths, kind="stable")
+    ordered = widths[order]
+    at = 0
+    while at < len(order):
+        end = int(np.searchsorted(ordered, ordered[at] * 5 // 4 + 8, side="right"))
+        end = min(end, at + max(1, cells // max(int(ordered[end - 1]), 1)))
+        yield order[at:end], int(ordered[end - 1])
+        at = end
+
+
+def matrix_of(hashes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """The sorted hashes of each of ``rows``, followed by END."""
+    at = np.arange(width)
+    out = hashes[np.minimum(offsets[rows][:, None] + at, len(hashes) - 1)]
+    out[at >= (offsets[rows + 1] - offsets[rows])[:, None]] = END
+    out.sort(axis=1)
+    return out
+
+
+def without_repeats(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows with one of each value."""
+    again = np.zeros(rows.shape, bool)
+    again[:, 1:] = (rows[:, 1:] == rows[:, :-1]) & (rows[:, 1:] != END)
+    out = np.where(again, END, rows)
+    some = again.any(axis=1)
+    out[some] = np.sort(out[some], axis=1)
+    return out
+
+
+def least_hashes(hashes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """The least distinct hashes of each of ``rows``, as many as bands use, followed by END."""
+    most = SIGNATURE + RUN - 1
+    values = matrix_of(hashes, offsets, rows, width)
+    out = without_repeats(values[:, : 2 * most])
+    if width > 2 * most:
+        few = (out[:, most - 1] == END) & (values[:, 2 * most] != END)
+        for i in np.flatnonzero(few):
+            own = np.unique(values[i])[:most]
+            out[i] = END
+            out[i, : len(own)] = own
+    return out[:, :most]
+
+
+def bands_of(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of lines, and the line of each."""
+    keys, lines = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for rows, width in alike(np.diff(offsets)):
+        least = least_hashes(hashes, offsets, rows, width)
+        n = (least != END).sum(axis=1)
+        at = np.arange(least.shape[1])
+
+        def add(used: np.ndarray, size: int, circle: bool) -> None:
+            i, first = np.nonzero(used)
+            key = np.full(len(i), size, np.uint64)
+            for k in range(size):
+                place = (first + k) % n[i] if circle else first + k
+                key = mixed(key * np.uint64(BASE) + least[i, place])
+            keys.append(key)
+            lines.append(rows[i])
+
+        inside = at < n[:, None]
+        add(inside & (4 * n <= 5 * SHORT)[:, None], 4, True)
+        picked = (n < SIGNATURE)[:, None] | (least % np.uint64(PICK) == 0)
+        add(inside & (at + RUN <= n[:, None]) & (n > SHORT)[:, None] & picked, RUN, False)
+    return np.concatenate(keys), np.concatenate(lines)
 
 
 def with_bands(lines: DataFrame) -> DataFrame:
-    """``lines`` with the ``bands`` of each line."""
-    # Column by column, so that Spark compiles what needs no lambda and works each out once.
-    rows = lines.withColumn("_least", F.array_distinct(F.slice(F.sort_array(shingle_hashes(F.col("line"))), 1, 2 * (SIGNATURE + RUN))))
-    rows = rows.withColumn("_least", F.slice("_least", 1, SIGNATURE + RUN - 1)).withColumn("_n", F.size("_least"))
-    s, n, none = F.col("_least"), F.col("_n"), F.array().cast("array<bigint>")
-    circle = F.transform(s, lambda v, i: F.xxhash64(v, *[F.get(s, (i + k) % n) for k in range(1, 4)]))
-    run = lambda v, i: F.xxhash64(v, *[F.get(s, i + k) for k in range(1, RUN)], F.lit(RUN))
-    whole = F.filter(F.transform(s, lambda v, i: F.when(i + RUN <= n, run(v, i))), lambda x: x.isNotNull())
-    some = F.filter(F.transform(s, lambda v, i: F.when((F.pmod(v, F.lit(PICK)) == 0) & (i + RUN <= n), run(v, i))), lambda x: x.isNotNull())
-    short = F.when(4 * n <= 5 * SHORT, circle).otherwise(none)
-    long = F.when(n <= SHORT, none).when(n < SIGNATURE, whole).otherwise(some)
-    return rows.withColumn("bands", F.array_distinct(F.concat(short, long))).drop("_least", "_n")
+    """h and the keys of its ``bands`` of each line (h, line); a hash that a batch repeats is taken once."""
+
+    def batch_bands(batch: pa.RecordBatch) -> pa.Table:
+        h = batch.column("h").to_numpy()
+        new = np.sort(np.unique(h, return_index=True)[1])
+        texts, done, out = batch.column("line").take(pa.array(new)), 0, []
+        for run in slices(texts, SLICE):
+            keys, of = bands_of(*shingle_hashes(run))
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(len(run) + 1)).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))
+            out.append(pa.RecordBatch.from_arrays([pa.array(h[new[done : done + len(run)]]), bands], ["h", "bands"]))
+            done += len(run)
+        return pa.Table.from_batches(out)
 
+    return map_arrow(lines.select("h", "line"), batch_bands, "h long, bands array<long>")
 
-def shingle_set(line: Column) -> Column:
-    return F.array_distinct(shingle_hashes(line))
+
+def common_sizes(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the sets of hashes of each pair, and of what they share, in three columns."""
+    out = np.zeros((len(one[1]) - 1, 3), np.int64)
+    for rows, width in alike(np.maximum(np.diff(one[1]), np.diff(two[1]))):
+        x, y = (without_repeats(matrix_of(*side, rows, width)) for side in (one, two))
+        both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+        shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != END)).sum(axis=1)
+        out[rows] = np.stack([(x != END).sum(axis=1), (y != END).sum(axis=1), shared], axis=1)
+    return out
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose full sets have 100 * intersection >= percent * union."""
     a = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
     b = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
-    rows = pairs.join(a, "a").join(b, "b")
-    # A column that isn't deterministic keeps the filter above the sets, so that each is made once a pair.
-    rows = rows.select("a", "b", shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"), F.monotonically_increasing_id().alias("row"))
-    n, m = F.size("x"), F.size("y")
-    near = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (n + m))
-    return rows.filter((F.col("row") >= 0) & near).select("a", "b")
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        done, keep = 0, [np.zeros(0, np.int64)]
+        for run in slices(batch.column("line_a"), SLICE):
+            other = batch.column("line_b").slice(done, len(run))
+            n, m, shared = common_sizes(shingle_hashes(run), shingle_hashes(other)).T
+            keep.append(done + np.flatnonzero(100 * shared >= percent * (n + m - shared)))
+            done += len(run)
+        return batch.select(["a", "b"]).take(pa.array(np.concatenate(keep)))
+
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "line_a", "line_b")
+    return map_arrow(rows, verify, "a long, b long")
+
+
+def elements_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, part, size n of the node's set, and element, a row for each of its shingle hashes."""
+
+    def batch_elements(batch: pa.RecordBatch) -> pa.Table:
+        done, out = 0, []
+        for run in slices(batch.column("line"), SLICE):
+            hashes, offsets = shingle_hashes(run)
+            for rows, width in alike(np.diff(offsets)):
+                sets = without_repeats(matrix_of(hashes, offsets, rows, width))
+                inside = sets != END
+                n = inside.sum(axis=1)
+                own = batch.select(["node", "part"]).take(pa.array(np.repeat(done + rows, n)))
+                columns = [*own.columns, pa.array(np.repeat(n, n).astype(np.int32)), pa.array(sets[inside].view(np.int64))]
+                out.append(pa.RecordBatch.from_arrays(columns, ["node", "part", "n", "element"]))
+            done += len(run)
+        return pa.Table.from_batches(out)
+
+    own = texts.withColumnRenamed("h", "node").join(members, "node").select("node", "part", "line")
+    return map_arrow(own, batch_elements, "node long, part long, n int, element long")
 
 
 def firsts(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
-    """h, h2 and the first (doc_id, pos) of the group of equal and similar lines, of each distinct line."""
+    """h, h2 and the first (doc_id, pos) of the group of equal and similar lines, of each distinct line that isn't alone."""
     lines = lines_of(df, id_col, text_col)
-    distinct = lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.any_value("line").alias("line"))
-    distinct = scratch.stored(with_bands(distinct))
-    first = distinct.select("h", "h2", "first")
-    slots = distinct.select(F.col("h").alias("node"), F.explode("bands").alias("key"))
-    shared = scratch.stored(slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key"))
-    slots = scratch.stored(slots.join(shared, "key").distinct())
-    scratch.forget(shared)
-    if slots.isEmpty():
-        return first
-    nodes = scratch.stored(slots.select(F.col("node").alias("h")).distinct())
-    texts = distinct.join(nodes, "h", "left_semi").groupBy("h").agg(F.min_by(F.struct("h2", "line"), "h2").alias("x"))
+    place = F.struct("doc_id", "pos")
+    distinct = scratch.stored(lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    repeated = distinct.filter("n > 1").select("h", "h2", "first")
+    banded = scratch.stored(with_bands(lines))
+    slots = banded.select(F.col("h").alias("node"), F.explode("bands").alias("key"))
+    keys = slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+    keys = scratch.stored(keys.filter("low < high"))
+    # A bucket of two rows is known by its ends; the rows of the others are fetched.
+    two = keys.filter("n = 2").select(F.explode(F.array("low", "high")).alias("node"), "key")
+    more = slots.join(keys.filter("n > 2").select("key"), "key").select("node", "key").distinct()
+    met = scratch.stored(two.union(more))
+    scratch.forget(keys, banded)
+    if met.isEmpty():
+        return repeated
+    nodes = scratch.stored(met.select(F.col("node").alias("h")).distinct())
+    texts = lines.join(nodes, "h", "left_semi").groupBy("h").agg(F.min_by(F.struct("h2", "line"), "h2").alias("x"))
     texts = scratch.stored(texts.select("h", "x.h2", "x.line"))
     scratch.forget(nodes)
-
-    def elements(of: DataFrame) -> DataFrame:
-        own = texts.withColumnRenamed("h", "node").join(of, "node").select("node", "part", shingle_set(F.col("line")).alias("x"))
-        return own.select("node", "part", F.size("x").alias("n"), F.explode("x").alias("element"))
-
-    parts = linked_components(slots, lambda pairs: confirmed(pairs, texts, percent), elements, scratch, percent)
+    parts = linked_components(met, lambda pairs: confirmed(pairs, texts, percent), lambda members: elements_of(members, texts), scratch, percent)
     if parts is None:
-        return first
+        return repeated
     parts = parts.withColumnRenamed("node", "h").join(texts.select("h", "h2"), "h")
-    grouped = scratch.stored(first.join(parts, ["h", "h2"], "left"))
-    least = scratch.stored(grouped.filter("component is not null").groupBy("component").agg(F.min("first").alias("least")))
+    grouped = scratch.stored(distinct.join(parts, ["h", "h2"], "left").filter("n > 1 OR component IS NOT NULL"))
+    least = scratch.stored(grouped.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least")))
     return grouped.join(least, "component", "left").select("h", "h2", F.coalesce("least", "first").alias("first"))
 
 

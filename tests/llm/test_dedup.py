@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from candleforge.llm import graph, line_dedup, near_dedup, quality, substring_dedup
@@ -156,8 +157,8 @@ def test_line_dedup_finds_similar_lines_of_every_length(spark):
         return {x[k : k + 5] for k in range(len(x) - 4)} or {x}
 
     wanted = [(a, b) for a, b in pairs if a != b and 100 * len(of(a) & of(b)) >= 80 * len(of(a) | of(b))]
-    df = spark.createDataFrame([(k, x) for k, x in enumerate(dict.fromkeys(x for pair in wanted for x in pair))], "h long, line string")
-    keys = {r.line: set(r.bands) for r in line_dedup.with_bands(df).collect()}
+    lines = list(dict.fromkeys(x for pair in wanted for x in pair))
+    keys = {lines[r.h]: set(r.bands) for r in line_dedup.with_bands(spark.createDataFrame(list(enumerate(lines)), "h long, line string")).collect()}
     missed = [(a, b) for a, b in wanted if not keys[a] & keys[b]]
     assert len(wanted) > 700 and not missed
     rows = [(0, "Subscribe now"), (1, "Subscribe now!"), (2, "Something else"), (3, "Log in 1"), (4, "Log in")]
@@ -165,6 +166,26 @@ def test_line_dedup_finds_similar_lines_of_every_length(spark):
     assert got == {1: [0]}
 
 
+def test_line_shingles_are_those_of_utf16_units():
+    lines = ["", "a", "abcd", "abcd\r", "abcde", "abcdefg", "日本\U0001f600 x", "aaaaaaa" * 200, "".join(chr(97 + k * k % 23) for k in range(900))]
+    hashes, at = line_dedup.shingle_hashes(pa.array(lines))
+
+    def of(x):
+        units = x.encode("utf-16-le")
+        return [units[2 * k : 2 * k + 10] for k in range(len(units) // 2 - 4)] or [units]
+
+    own = [of(x) for x in lines]
+    assert np.diff(at).tolist() == [len(x) for x in own]
+    flat, seen = [x for shingles in own for x in shingles], {}
+    assert all(seen.setdefault(x, h) == h for x, h in zip(flat, hashes.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+    sizes = line_dedup.common_sizes((hashes, at), (hashes[at[1] :], np.append(at[1:] - at[1], len(hashes) - at[1])))
+    assert sizes.tolist()[:-1] == [[len(set(a)), len(set(b)), len(set(a) & set(b))] for a, b in zip(own, own[1:], strict=False)]
+    most = line_dedup.SIGNATURE + line_dedup.RUN - 1
+    for rows, width in line_dedup.alike(np.diff(at)):
+        for i, got in zip(rows, line_dedup.least_hashes(hashes, at, rows, width), strict=True):
+            assert got[got != line_dedup.END].tolist() == sorted(set(hashes[at[i] : at[i + 1]].tolist()))[:most]
+
+
 def brute_substrings(rows, least: int) -> dict:
     seen, out = set(), {}
     for i, text in sorted(rows):
@@ -193,8 +214,6 @@ def test_substring_dedup(spark, docs, rows, empty, hot, monkeypatch):
 
 
 def test_shingle_sets_are_sets_of_words():
-    import pyarrow as pa
-
     texts = ["A b c d e", "a  B\tc d\ne", "", "a b", "x a b c d e"]
     hashes, at = shingle_sets(pa.array(texts), 4)
     sets = [set(hashes[at[i] : at[i + 1]].tolist()) for i in range(5)]
