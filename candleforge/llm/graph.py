@@ -74,17 +74,23 @@ def close_pairs(elements: DataFrame, percent: int, scratch: Scratch) -> DataFram
 
 
 def linked_components(
-    slots: DataFrame, confirm: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int = 80, rounds: int = 2
+    slots: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    elements: Callable[[DataFrame], DataFrame],
+    scratch: Scratch,
+    percent: int = 80,
+    rounds: tuple[int, ...] = (1, 4, 16),
 ) -> DataFrame | None:
     """Components (``node``, ``component``) of the links that ``confirm`` finds among nodes that share a ``key``.
 
-    ``slots`` (node, key), stored, has the buckets of two nodes or more. A bucket proposes its nodes' pairs with one
-    pivot, not all pairs: the node with the most company in its buckets, which the text that others were made from has.
-    A pivot has met its whole bucket and leaves it. A bucket whose other nodes are all in one component is settled, as
-    more links inside it change nothing. After ``rounds`` of this, the nodes of the buckets that aren't settled are
-    compared across components by ``close_pairs`` over their sets (``elements`` makes node, part, n, element of a table
-    of node, part), so no link between nodes that share a bucket is lost. ``confirm`` gets distinct pairs (a > b) and returns the true ones.
-    Without a link the result is None.
+    ``slots`` (node, key), stored, has the buckets of two nodes or more. In each of the ``rounds`` a bucket proposes its
+    nodes' pairs with a few pivots, not all pairs. The first pivot is the node with the most company in its buckets,
+    which the text that others were made from has; later ones are of the components with the fewest nodes in the bucket,
+    as these are soonest gone through. A pivot has met its whole bucket and leaves it. A bucket whose other nodes are
+    all in one component is settled, as more links inside it change nothing. Then the nodes of the buckets that aren't
+    settled are compared across components by ``close_pairs`` over their sets (``elements`` makes node, part, n, element
+    of a table of node, part), so no link between nodes that share a bucket is lost. ``confirm`` gets distinct pairs
+    (a > b) and returns the true ones. Without a link the result is None.
     """
     sizes = scratch.stored(slots.groupBy("key").agg(F.count("*").alias("n")))
     company = scratch.stored(slots.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company")))
@@ -106,19 +112,25 @@ def linked_components(
         scratch.forget(before)
         return True
 
-    for turn in range(rounds + 1):
-        if turn == rounds:
+    for turn, most in enumerate((*rounds, None)):
+        if most is None:
             members = scratch.stored(state.select("node", "part").distinct())
             with Scratch(scratch.spark) as own:
                 pairs = scratch.stored(close_pairs(elements(members), percent, own))
             follow(pairs)
             break
-        order = F.struct(-F.col("company"), F.col("node"))
-        pivots = scratch.stored(state.groupBy("key").agg(F.min_by("node", order).alias("pivot"), F.min_by("part", order).alias("pivot_part")))
-        met = state.join(pivots, "key")
-        pairs = met.filter("part != pivot_part").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        follow(pairs)
-        left = met.filter("node != pivot").select("node", "key", "company")
+        if turn:
+            own_size = state.groupBy("key", "part").agg(F.count("*").alias("own"))
+            # Spark keeps the first ``most`` rows of a key in each partition before it shuffles them.
+            order = Window.partitionBy("key").orderBy("own", F.desc("company"), "node")
+            pivots = state.join(own_size, ["key", "part"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+        else:
+            best = F.min_by(F.struct("node", "part"), F.struct(-F.col("company"), F.col("node")))
+            pivots = state.groupBy("key").agg(best.alias("x")).select("key", "x.node", "x.part")
+        pivots = scratch.stored(pivots.select("key", F.col("node").alias("pivot"), F.col("part").alias("pivot_part")))
+        met = state.join(pivots, "key").filter("part != pivot_part")
+        follow(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
+        left = state.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("node", "key", "company")
         if parts is not None:
             left = left.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         else:
