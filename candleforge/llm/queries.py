@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candleforge.llm import bpe, decontaminate, html_text, line_dedup, near_dedup, oracles, quality, secrets, substring_dedup, token_counts, warc
+from candleforge.llm import (
+    alignment,
+    bpe,
+    clustering,
+    decontaminate,
+    html_text,
+    line_dedup,
+    near_dedup,
+    oracles,
+    packing,
+    quality,
+    secrets,
+    substring_dedup,
+    token_counts,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +36,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_clustering": clustering.op11_clustering,
+    "op12_packing": packing.op12_packing,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 #: op8's holds while a group's sketches are exact, up to quality.SKETCH_K rows.
