@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 from statistics import NormalDist
 
@@ -29,7 +30,9 @@ def bootstrap_weights(days: int, block: int = BLOCK, replicas: int = REPLICAS, s
     return out
 
 
-def sharpe_deviations(daily: DataFrame, key: str, days: int, first: int, block: int = BLOCK, replicas: int = REPLICAS) -> DataFrame:
+def sharpe_deviations(
+    daily: DataFrame, key: str, days: int, first: int, block: int = BLOCK, replicas: int = REPLICAS, weights: Callable[[int, int, int], np.ndarray] = bootstrap_weights
+) -> DataFrame:
     """By column: its Sharpe, its z, and each replica's studentised deviation.
 
     A column becomes one row with its days, and a batch of columns one product with the weights, which a worker makes
@@ -44,7 +47,7 @@ def sharpe_deviations(daily: DataFrame, key: str, days: int, first: int, block:
         return np.where(good, m / np.sqrt(np.where(good, var, 1.0) * days / (days - 1.0)), -np.inf)
 
     def run(batches):
-        w = bootstrap_weights(days, block, replicas)
+        w = weights(days, block, replicas)
         for rows in batches:
             x = np.zeros((len(rows), days))
             for i, (at, profit) in enumerate(zip(rows["at"], rows["profit"], strict=True)):
