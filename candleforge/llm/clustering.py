@@ -68,15 +68,20 @@ def unpacked(keys: np.ndarray, width: int) -> np.ndarray:
     return np.stack([(keys >> (BITS * (width - 1 - i)) & ((1 << BITS) - 1)) - LARGEST for i in range(width)], axis=1)
 
 
-def best_width(vectors: DataFrame, n: int, dims: int, widths: tuple[int, ...] = WIDTHS) -> int:
-    """The width with the least work a round: entries times their width, and a sum of blocks for each vector."""
+def best_width(vectors: DataFrame, n: int, dims: int, widths: tuple[int, ...], entries: int) -> int:
+    """The width with the least work a round: entries times their width, and a sum of blocks for each vector.
+
+    Widths of more than about ``entries`` distinct subvectors are left out; where all are, it is the narrowest.
+    """
 
     def cells_of(w: int) -> Column:
         return F.transform(subvectors(dims, w), lambda k, b: F.struct(F.lit(w).alias("w"), b.alias("block"), k.alias("k")))
 
     cells = [cells_of(w) for w in widths if dims % w == 0]
     found = vectors.select(F.explode(F.concat(*cells)).alias("c")).groupBy("c.w", "c.block").agg(F.approx_count_distinct("c.k").alias("n")).groupBy("w").agg(F.sum("n").alias("n"))
-    return min(found.collect(), key=lambda r: (r.n * r.w + n * dims // r.w, r.w)).w
+    found = found.collect()
+    small = [r for r in found if r.n <= 0.9 * entries] or [min(found, key=lambda r: r.w)]
+    return min(small, key=lambda r: (r.n * r.w + n * dims // r.w, r.w)).w
 
 
 def partial_distances(dictionary: DataFrame, centroids: np.ndarray, width: int) -> DataFrame:
@@ -169,11 +174,11 @@ def cluster_vectors(
         vectors = own.stored(integers(df, id_col, vector_col, dims, scale))
         n, centroids = vectors.count(), first_centroids(vectors, clusters, seed)
         if len(centroids):
-            width = best_width(vectors, n, dims, widths)
+            most = broadcast_bytes // (8 * clusters)
+            width = best_width(vectors, n, dims, widths, most)
             each = vectors.select(F.posexplode(subvectors(dims, width)).alias("block", "k"))
             dictionary = own.stored(each.distinct())
-            fits = dictionary.limit(broadcast_bytes // (8 * clusters) + 1).count() <= broadcast_bytes // (8 * clusters)
-            assign = (_by_codes if fits else _by_shuffles)(vectors, dictionary, width, own)
+            assign = (_by_codes if dictionary.limit(most + 1).count() <= most else _by_shuffles)(vectors, dictionary, width, own)
             for _ in range(rounds):
                 centroids = moved(assign(centroids), centroids)
             assigned = assign(centroids).drop("v")
