@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candleforge.functions.stretches import in_order, stretched
@@ -13,26 +13,35 @@ from candleforge.functions.stretches import in_order, stretched
 COMMISSION = 0.005
 
 
-def targets(bars: DataFrame, horizon: int, tp: float, sl: float, commission: float = COMMISSION) -> DataFrame:
-    """Screening result of a long entry at each close: tp, sl or the close ``horizon`` bars on, in percent after costs.
+def targets(bars: DataFrame, horizon: int, tp: float, sl: float, commission: float = COMMISSION, side: str = "LONG") -> DataFrame:
+    """Screening result of an entry at each close: tp, sl or the close ``horizon`` bars on, in percent after costs.
 
-    The next ``horizon`` bars are scanned; where both levels are touched in one bar the target counts only if the
-    bar's high is known to come first, else the stop. The last ``horizon`` bars of a symbol have no result.
-    ``exit_bar`` is the bar of the exit.
+    The next ``horizon`` bars are scanned; a level of 0 is off. Where both levels are touched in one bar the target counts
+    only if its extreme is known to come first, else the stop. A short's target is below and its stop above. The last
+    ``horizon`` bars of a symbol have no result. ``exit_bar`` is the bar of the exit.
     """
     ahead = in_order().rowsBetween(1, horizon)
     rows = stretched(bars, ahead=horizon).withColumn("bar", F.col("_bar"))
-    up, down = F.col("close") * (1 + tp / 100.0), F.col("close") * (1 - sl / 100.0)
+    sign = 1 if side == "LONG" else -1
+    good, bad = F.col("close") * (1 + sign * tp / 100.0), F.col("close") * (1 - sign * sl / 100.0)
     # Bars ahead as they are; each entry's own levels are applied to them.
     rows = rows.withColumn("_next", F.collect_list(F.struct("bar", "high", "low", "close", "high_time", "low_time")).over(ahead))
-    touched = F.filter("_next", lambda b: (b["high"] >= up) | (b["low"] <= down))
-    first = F.get(touched, F.lit(0))
-    win = (first["high"] >= up) & (~(first["low"] <= down) | F.coalesce(first["high_time"] < first["low_time"], F.lit(False)))
+
+    def wins(b: Column) -> Column:
+        return F.lit(False) if not tp else b["high"] >= good if sign > 0 else b["low"] <= good
+
+    def loses(b: Column) -> Column:
+        return F.lit(False) if not sl else b["low"] <= bad if sign > 0 else b["high"] >= bad
+
+    first = F.get(F.filter("_next", lambda b: wins(b) | loses(b)), F.lit(0))
+    earlier = first["high_time"] < first["low_time"] if sign > 0 else first["low_time"] < first["high_time"]
+    win = wins(first) & (~loses(first) | F.coalesce(earlier, F.lit(False)))
     last = F.get("_next", F.lit(horizon - 1))
-    gross = F.when(first.isNull(), F.when(F.col("close") != 0, (last["close"] / F.col("close") - 1) * 100.0)).when(win, F.lit(float(tp))).otherwise(F.lit(-float(sl)))
+    drift = F.when(F.col("close") != 0, sign * (last["close"] / F.col("close") - 1) * 100.0)
+    gross = F.when(first.isNull(), drift).when(win, F.lit(float(tp))).otherwise(F.lit(-float(sl)))
     kind = F.when(first.isNull(), "TIME").when(win, "TP").otherwise("SL")
     rows = rows.filter((F.size("_next") == horizon) & (F.col("close") > 0) & F.col("_own"))
-    return rows.select("symbol", "t", "bar", kind.alias("kind"), F.coalesce(first["bar"], last["bar"]).alias("exit_bar"), (gross - commission * (2 + gross / 100.0)).alias("y"))
+    return rows.select("symbol", "t", "bar", kind.alias("kind"), F.coalesce(first["bar"], last["bar"]).alias("exit_bar"), (gross - commission * (2 + sign * gross / 100.0)).alias("y"))
 
 
 def walk(target_rows: DataFrame) -> DataFrame:

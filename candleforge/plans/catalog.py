@@ -262,11 +262,6 @@ def first_touch_targets(spark, sf_dir):
     return exits.targets(extremes(spark, sf_dir), 10, 30.0, 30.0).select("symbol", "t", "bar", "kind", "exit_bar", r("y"))
 
 
-@query()
-def npy_walk(spark, sf_dir):
-    return exits.walk(exits.targets(extremes(spark, sf_dir), 10, 30.0, 30.0)).select("symbol", r("total"), "n")
-
-
 def _simulated(spark, sf_dir, pyramid: bool) -> DataFrame:
     rows = extremes(spark, sf_dir)
     found = rules.events(rules.rules(spark).filter("side = 'LONG'"), rules.hits(rows))
