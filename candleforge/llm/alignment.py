@@ -122,16 +122,15 @@ def align(texts: list[str | None], a_name: str = A_VOCABULARY, b_name: str = B_V
     return {"n_a": sizes[0], "n_b": sizes[1], "n_groups": pa.array(n_groups), "n_links": pa.array(n_links), "groups_sha256": pa.array(digests, pa.string()), "pairs": lists[0], "times": lists[1]}
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Stretches of texts of about SLICE characters."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SLICE:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about SLICE bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        end = min(int(np.searchsorted(ends, before + SLICE)) + 1, len(ends))
+        yield begin, end
+        begin = end
 
 
 def aligned_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_name: str = A_VOCABULARY, b_name: str = B_VOCABULARY) -> DataFrame:
@@ -141,9 +140,8 @@ def aligned_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 33
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin, end in _slices(texts):
-                found = align(texts[begin:end], a_name, b_name)
+            for begin, end in _slices(batch.column("text")):
+                found = align(batch.column("text").slice(begin, end - begin).to_pylist(), a_name, b_name)
                 rows = pa.array(np.arange(row, row + end - begin))
                 row += end - begin
                 yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id").slice(begin, end - begin), *found.values()], ["row", "doc_id", *found])

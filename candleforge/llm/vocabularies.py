@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from candleforge.llm.bpe import byte_alphabet
 
@@ -27,13 +27,12 @@ class ByteVocabulary:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, byte_of = spec["model"], {c: b for b, c in enumerate(byte_alphabet())}
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         entries = {t: i for t, i in model["vocab"].items() if t not in self.specials}
         known = {i: bytes(byte_of[c] for c in t) for t, i in entries.items()} | {i: t.encode() for t, i in self.specials.items()}
         #: Each id's bytes; those of special tokens are their strings'.
@@ -47,8 +46,21 @@ class ByteVocabulary:
         )
         ranks = {self.bytes[i]: i for i in entries.values()}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ordered else None
-        self.library_plain = Tokenizer.from_file(path)
-        self.library_plain.encode_special_tokens = True
+
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def library_plain(self):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.encode_special_tokens = True
+        return own
 
     def encode_plain(self, text: str) -> list[int]:
         """Ids where special strings are plain text."""
