@@ -13,19 +13,10 @@ from candleforge.functions.stretches import in_order, stretched
 COMMISSION = 0.005
 
 
-def targets(bars: DataFrame, horizon: int, tp: float, sl: float, commission: float = COMMISSION, side: str = "LONG") -> DataFrame:
-    """Screening result of an entry at each close: tp, sl or the close ``horizon`` bars on, in percent after costs.
-
-    The next ``horizon`` bars are scanned; a level of 0 is off. Where both levels are touched in one bar the target counts
-    only if its extreme is known to come first, else the stop. A short's target is below and its stop above. The last
-    ``horizon`` bars of a symbol have no result. ``exit_bar`` is the bar of the exit.
-    """
-    ahead = in_order().rowsBetween(1, horizon)
-    rows = stretched(bars, ahead=horizon).withColumn("bar", F.col("_bar"))
+def _outcome(ahead: Column, horizon: int, tp: float, sl: float, commission: float, side: str) -> tuple[Column, Column, Column]:
+    """Kind, exit bar and result of an entry at ``close`` with the bars ``ahead`` of it."""
     sign = 1 if side == "LONG" else -1
     good, bad = F.col("close") * (1 + sign * tp / 100.0), F.col("close") * (1 - sign * sl / 100.0)
-    # Bars ahead as they are; each entry's own levels are applied to them.
-    rows = rows.withColumn("_next", F.collect_list(F.struct("bar", "high", "low", "close", "high_time", "low_time")).over(ahead))
 
     def wins(b: Column) -> Column:
         return F.lit(False) if not tp else b["high"] >= good if sign > 0 else b["low"] <= good
@@ -33,15 +24,45 @@ def targets(bars: DataFrame, horizon: int, tp: float, sl: float, commission: flo
     def loses(b: Column) -> Column:
         return F.lit(False) if not sl else b["low"] <= bad if sign > 0 else b["high"] >= bad
 
-    first = F.get(F.filter("_next", lambda b: wins(b) | loses(b)), F.lit(0))
+    first = F.get(F.filter(ahead, lambda b: wins(b) | loses(b)), F.lit(0))
     earlier = first["high_time"] < first["low_time"] if sign > 0 else first["low_time"] < first["high_time"]
     win = wins(first) & (~loses(first) | F.coalesce(earlier, F.lit(False)))
-    last = F.get("_next", F.lit(horizon - 1))
+    last = F.get(ahead, F.lit(horizon - 1))
     drift = F.when(F.col("close") != 0, sign * (last["close"] / F.col("close") - 1) * 100.0)
     gross = F.when(first.isNull(), drift).when(win, F.lit(float(tp))).otherwise(F.lit(-float(sl)))
     kind = F.when(first.isNull(), "TIME").when(win, "TP").otherwise("SL")
-    rows = rows.filter((F.size("_next") == horizon) & (F.col("close") > 0) & F.col("_own"))
-    return rows.select("symbol", "t", "bar", kind.alias("kind"), F.coalesce(first["bar"], last["bar"]).alias("exit_bar"), (gross - commission * (2 + sign * gross / 100.0)).alias("y"))
+    return kind, F.coalesce(first["bar"], last["bar"]), gross - commission * (2 + sign * gross / 100.0)
+
+
+def _looking_ahead(bars: DataFrame, horizon: int) -> DataFrame:
+    """Bars with the next ``horizon`` as they are in ``_next``; each entry's own levels are applied to them."""
+    rows = stretched(bars, ahead=horizon).withColumn("bar", F.col("_bar"))
+    next_ = F.collect_list(F.struct("bar", "high", "low", "close", "high_time", "low_time")).over(in_order().rowsBetween(1, horizon))
+    return rows.withColumn("_next", next_).filter("close > 0 AND _own")
+
+
+def targets(bars: DataFrame, horizon: int, tp: float, sl: float, commission: float = COMMISSION, side: str = "LONG") -> DataFrame:
+    """Screening result of an entry at each close: tp, sl or the close ``horizon`` bars on, in percent after costs.
+
+    The next ``horizon`` bars are scanned; a level of 0 is off. Where both levels are touched in one bar the target counts
+    only if its extreme is known to come first, else the stop. A short's target is below and its stop above. The last
+    ``horizon`` bars of a symbol have no result. ``exit_bar`` is the bar of the exit.
+    """
+    kind, exit_bar, y = _outcome(F.col("_next"), horizon, tp, sl, commission, side)
+    rows = _looking_ahead(bars, horizon).filter(F.size("_next") == horizon)
+    return rows.select("symbol", "t", "bar", kind.alias("kind"), exit_bar.alias("exit_bar"), y.alias("y"))
+
+
+def grid_targets(bars: DataFrame, configs: list[tuple[float, float, int]], commission: float = COMMISSION) -> DataFrame:
+    """(symbol, t, target, y) of each (tp, sl, horizon), its long result numbered evenly and its short one oddly, in one pass."""
+    found = []
+    for i, (tp, sl, horizon) in enumerate(configs):
+        ahead = F.slice("_next", 1, horizon)
+        for j, side in enumerate(("LONG", "SHORT")):
+            y = F.when(F.size("_next") >= horizon, _outcome(ahead, horizon, tp, sl, commission, side)[2])
+            found.append(F.struct(F.lit(2 * i + j).alias("target"), y.alias("y")))
+    rows = _looking_ahead(bars, max(h for _, _, h in configs))
+    return rows.select("symbol", "t", F.explode(F.array(*found)).alias("x")).select("symbol", "t", "x.target", "x.y").filter("y IS NOT NULL")
 
 
 def walk(target_rows: DataFrame) -> DataFrame:

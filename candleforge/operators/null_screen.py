@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candleforge.functions.stretches import LENGTH, numbered
-from candleforge.operators.exits import targets
+from candleforge.operators.exits import grid_targets
 from candleforge.operators.indicators import REGISTRY, grid_values
 from candleforge.operators.screening import bin_of
 from candleforge.sources.shared import Tables
@@ -95,16 +95,6 @@ def codes(bars: DataFrame, cuts: Cuts) -> DataFrame:
     return found
 
 
-def results(bars: DataFrame, configs: list[tuple[float, float, int]], commission: float) -> DataFrame:
-    """(symbol, t, target, y): of each tp, sl and horizon the long result, numbered evenly, and the short one."""
-    found = None
-    for i, (tp, sl, horizon) in enumerate(configs):
-        for j, side in enumerate(("LONG", "SHORT")):
-            own = targets(bars, horizon, tp, sl, commission, side).select("symbol", "t", F.lit(2 * i + j).alias("target"), "y")
-            found = own if found is None else found.unionByName(own)
-    return found
-
-
 def _edge(n: Column, s: Column, q: Column, an: Column, as_: Column, aq: Column) -> tuple[Column, Column]:
     """Edge of a segment, null where it doesn't count, and the excess of its sum."""
     mean, every = s / n, as_ / an
@@ -116,7 +106,7 @@ def _edge(n: Column, s: Column, q: Column, an: Column, as_: Column, aq: Column)
 
 def edges(bars: DataFrame, cuts: Cuts, configs: list[tuple[float, float, int]], commission: float) -> DataFrame:
     """(symbol, indicator, instance, target, cut, side, n, edge, excess) of every combination, with edges that count."""
-    rows = codes(bars, cuts).join(results(bars, configs, commission), ["symbol", "t"])
+    rows = codes(bars, cuts).join(grid_targets(bars, configs, commission), ["symbol", "t"])
     keys = ["symbol", "instance", "target"]
     bins = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
     names = F.create_map(*[F.lit(x) for name, key in instances(cuts) for x in (key, name)])
@@ -207,18 +197,23 @@ def drawn_shifts(sizes: DataFrame, least: int, pilots: int, paths: int) -> DataF
     return null.withColumn("kind", F.lit("null")).unionByName(free.withColumn("kind", F.lit("pilot"))).unionByName(real.withColumn("kind", F.lit("real")))
 
 
-def shifted_histograms(rows: DataFrame, shifts: DataFrame, n_instances: int) -> DataFrame:
+def instance_pairs(order: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """Places of every two instances of different indicators."""
+    return [(a, b) for a, b in product(range(len(order)), repeat=2) if a < b and order[a][0] != order[b][0]]
+
+
+def shifted_histograms(rows: DataFrame, shifts: DataFrame, of: list[tuple[int, int]]) -> DataFrame:
     """(symbol, kind, draw, a, b, moved, target, i, j, n, s, q): joint histograms of bins i of a and j of b.
 
     ``rows`` has symbol, bar (0 to n - 1), bins (of every instance; -1 without a value) and y (an array by target). Of a
-    pair the moved one is read ``shift`` bars on, around the circle. All pairs of all shifts come from one join of the bars
+    pair in ``of`` the moved one is read ``shift`` bars on, around the circle. All pairs of all shifts come from one join of the bars
     with themselves, whose rows are counted before they are shuffled.
     """
     here = rows.join(shifts, "symbol").withColumn("there", F.pmod(F.col("bar") + F.col("shift"), F.col("n")))
     there = rows.select("symbol", F.col("bar").alias("there"), F.col("bins").alias("other"))
     met = here.join(there, ["symbol", "there"])
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(m).alias("moved"), i.alias("i"), j.alias("j"))
-             for a, b in product(range(n_instances), repeat=2) if a < b
+             for a, b in of
              for m, i, j in (("b", F.get("bins", F.lit(a)), F.get("other", F.lit(b))), ("a", F.get("other", F.lit(a)), F.get("bins", F.lit(b))))]
     each = met.select("symbol", "kind", "draw", "y", F.explode(F.array(*pairs)).alias("p")).filter("p.i >= 0 AND p.j >= 0")
     long = each.select("symbol", "kind", "draw", "p.*", F.posexplode("y").alias("target", "v")).filter("v IS NOT NULL")
@@ -272,7 +267,7 @@ def coded_bars(bars: DataFrame, cuts: Cuts, configs, commission: float) -> DataF
     """(symbol, bar, bins, y) of every bar: bins by instance, -1 without a value, and results by target."""
     order = instances(cuts)
     bins = codes(bars, cuts).groupBy("symbol", "t").agg(F.map_from_entries(F.collect_list(F.struct("instance", "bin"))).alias("_bins"))
-    ys = results(bars, configs, commission).groupBy("symbol", "t").agg(F.map_from_entries(F.collect_list(F.struct("target", "y"))).alias("_ys"))
+    ys = grid_targets(bars, configs, commission).groupBy("symbol", "t").agg(F.map_from_entries(F.collect_list(F.struct("target", "y"))).alias("_ys"))
     rows = numbered(bars.select("symbol", "t")).join(bins, ["symbol", "t"], "left").join(ys, ["symbol", "t"], "left")
     bin_at = [F.coalesce(F.try_element_at("_bins", F.lit(key)), F.lit(-1).cast("long")).cast("int") for _, key in order]
     y_at = [F.try_element_at("_ys", F.lit(i)) for i in range(2 * len(configs))]
@@ -297,12 +292,12 @@ def _screened_pairs(tables: Tables, bars: DataFrame, cuts: Cuts, configs, percen
     rows = tables.stored(coded_bars(bars, cuts, configs, commission))
     sizes = rows.groupBy("symbol").agg(F.count("*").alias("n"))
     shifts = tables.stored(drawn_shifts(sizes, least_shift, pilots, paths))
-    found = tables.stored(rectangle_edges(shifted_histograms(rows, shifts, len(order)), [len(cuts[name]) for name, _ in order]))
+    found = tables.stored(rectangle_edges(shifted_histograms(rows, shifts, instance_pairs(order)), [len(cuts[name]) for name, _ in order]))
     known = moments(found.filter("kind = 'pilot'"), [*PAIR, "moved"])
     both = known.filter("moved = 'a'").drop("moved").withColumnsRenamed({"mu": "mu_a", "sd": "sd_a"}).join(known.filter("moved = 'b'").drop("moved").withColumnsRenamed({"mu": "mu_b", "sd": "sd_b"}), PAIR)
     z = F.least((F.col("edge") - F.col("mu_a")) / F.col("sd_a"), (F.col("edge") - F.col("mu_b")) / F.col("sd_b"))
     name_of = F.array(*[F.lit(name) for name, _ in order])
-    scored = found.filter("excess > 0").join(both, PAIR).withColumns({"z": z, "name_a": F.get(name_of, F.col("a")), "name_b": F.get(name_of, F.col("b"))}).filter("name_a != name_b")
+    scored = found.filter("excess > 0").join(both, PAIR).withColumns({"z": z, "name_a": F.get(name_of, F.col("a")), "name_b": F.get(name_of, F.col("b"))})
     scored = tables.stored(scored)
     keys = ["symbol", "name_a", "name_b"]
     tops = scored.filter("kind = 'null'").groupBy(*keys, "moved", "draw").agg(F.max("z").alias("top"))

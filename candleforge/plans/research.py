@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from candleforge.functions import recurrence
 from candleforge.functions.stretches import in_order, stretched
 from candleforge.operators import etl, exits, multiple_testing, null_screen, rules, selection, stats
-from candleforge.operators.indicators import REGISTRY, grid_values, indicator_sql
-from candleforge.plans.catalog import H1, HITS_SQL, QUERIES, ORACLES, extremes, query, r
-from candleforge.sources.bars import bars, table
+from candleforge.operators.indicators import REGISTRY, indicator_sql
+from candleforge.plans.catalog import H1, HITS_SQL, ORACLES, extremes, query, r
+from candleforge.sources.bars import bars, bars_sql, table
 
 # Multiple testing. A column is a supplier, its profit a day what its lines give over a margin; every tenth is better.
 BLOCK, REPLICAS, ALPHA, GAMMA = 10, stats.REPLICAS, multiple_testing.ALPHA, multiple_testing.GAMMA
@@ -139,7 +139,9 @@ def distinct_rule_signals(spark, sf_dir):
 
 # Walks and recursions.
 def hourly_extremes(spark, sf_dir) -> DataFrame:
-    return etl.intrabar_extremes(bars(spark, sf_dir), bars(spark, sf_dir, "15m"), 3600)
+    """Hourly bars with the times of their extremes on quarter hours, raised so that returns are those of a market."""
+    rows = etl.intrabar_extremes(bars(spark, sf_dir), bars(spark, sf_dir, "15m"), 3600)
+    return rows.withColumns({c: F.col(c) + 1000.0 for c in ("open", "high", "low", "close")})
 
 
 _WALK_SQL = f"""WITH RECURSIVE res AS MATERIALIZED ({ORACLES["first_touch_targets"].replace("round(g - 0.005 * (2 + g / 100.0), 6) + 0.0 AS y", "g - 0.005 * (2 + g / 100.0) AS y")}),
@@ -186,3 +188,175 @@ def wilder_atr(spark, sf_dir):
     rows = with_changes(bars(spark, sf_dir))
     width = F.when(F.col("pc").isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("pc")), F.abs(F.col("low") - F.col("pc"))))
     return recurrence.wilder(rows, width, ATR_N, "atr").filter("atr IS NOT NULL").select("symbol", "t", r("atr", 4))
+
+
+# Screening over hourly bars with the times of their extremes on quarter hours.
+#: Thresholds that no ratio of small numbers meets exactly.
+CUTS = {"rsi": [44.73, 55.31], "bb_pctb": [0.2317, 0.7733]}
+CONFIGS, COMMISSION, PILOTS, PATHS, PERCENTILE = [(15.0, 15.0, 10)], exits.COMMISSION, 40, 60, 95.0
+M15 = bars_sql("15m")
+HOURLY_SQL = f"""(SELECT b.* REPLACE (open + 1000.0 AS open, high + 1000.0 AS high, low + 1000.0 AS low, close + 1000.0 AS close), x.high_time, x.low_time FROM {H1} b JOIN (SELECT symbol, min(t) AS first_t FROM {M15} GROUP BY 1) f ON b.symbol = f.symbol
+ JOIN (SELECT symbol, max(t) AS last_t FROM {H1} GROUP BY 1) l ON b.symbol = l.symbol
+ LEFT JOIN (SELECT symbol, t // 3600 * 3600 AS bar, arg_max(t, (high, -t)) AS high_time, arg_min(t, (low, t)) AS low_time FROM {M15} GROUP BY 1, 2) x ON b.symbol = x.symbol AND b.t = x.bar
+ WHERE b.t < l.last_t AND b.t >= f.first_t)"""
+_DECIMALS_SQL = ORACLES["price_decimals"].replace(H1, HOURLY_SQL)
+
+
+def _paths_sql(first: int, n: int) -> str:
+    """CTEs ``sb`` (the bars) and ``syn{first}``: paths of them, whose symbols carry their seed in front."""
+    price = lambda log: f"round_even(base * exp({log}) * pow(10.0, decimals), 0) / pow(10.0, decimals)"
+    return f"""logs{first} AS MATERIALIZED (SELECT b.*, seed, decimals, CASE WHEN substr(md5(seed || ':' || t), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS s FROM sb b JOIN dec USING (symbol), range({first}, {first + n}) p(seed)),
+ base{first} AS (SELECT *, exp(lo + sum(s * rc) OVER (PARTITION BY seed, symbol ORDER BY t) - s * rc) AS base FROM logs{first}),
+ raw{first} AS (SELECT seed, symbol, t, volume, {price("s * ro")} AS open, {price("s * rc")} AS close, {price("CASE WHEN s < 0 THEN -rl ELSE rh END")} AS h, {price("CASE WHEN s < 0 THEN -rh ELSE rl END")} AS l,
+  CASE WHEN s < 0 THEN low_time ELSE high_time END AS high_time, CASE WHEN s < 0 THEN high_time ELSE low_time END AS low_time FROM base{first}),
+ syn{first} AS MATERIALIZED (SELECT seed || '|' || symbol AS symbol, t, open, greatest(h, open, close) AS high, least(l, open, close) AS low, close, volume, high_time, low_time FROM raw{first})"""
+
+
+_BARS_CTE = f"""src AS MATERIALIZED (SELECT * FROM {HOURLY_SQL}), dec AS MATERIALIZED ({_DECIMALS_SQL.replace(HOURLY_SQL, "src")}),
+ pcs AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY t), open) AS pc, ln(first_value(open) OVER (PARTITION BY symbol ORDER BY t)) AS lo FROM src),
+ sb AS MATERIALIZED (SELECT *, ln(open / pc) AS ro, ln(high / pc) AS rh, ln(low / pc) AS rl, ln(close / pc) AS rc FROM pcs)"""
+
+
+@query(f"WITH {_BARS_CTE}, {_paths_sql(1, 8)} SELECT symbol, t, round(ln(open), 6) AS open, round(ln(high), 6) AS high, round(ln(low), 6) AS low, round(ln(close), 6) AS close, volume, high_time, low_time FROM syn1")
+def synthetic_paths(spark, sf_dir):
+    rows = hourly_extremes(spark, sf_dir)
+    paths = null_screen.synthetic(rows, spark.range(1, 9).withColumnRenamed("id", "seed"), etl.price_decimals(rows))
+    return paths.select(F.concat_ws("|", "seed", "symbol").alias("symbol"), "t", *[F.round(F.ln(c), 6).alias(c) for c in ("open", "high", "low", "close")], "volume", "high_time", "low_time")
+
+
+def _codes_sql(source: str) -> str:
+    """(symbol, t, indicator, instance, bin) of every grid point."""
+    parts = []
+    for name, ths in CUTS.items():
+        bin_ = " + ".join(f"CASE WHEN value > {c} THEN 2 WHEN value = {c} THEN 1 ELSE 0 END" for c in ths)
+        parts += [f"SELECT symbol, t, '{name}' AS indicator, '{key}' AS instance, {bin_} AS bin FROM {indicator_sql(source, name, params)} WHERE value IS NOT NULL" for key, params in REGISTRY[name].instances()]
+    return " UNION ALL ".join(parts)
+
+
+def _targets_sql(source: str) -> str:
+    """(symbol, t, target, y) of the long and the short result of the one configuration."""
+    (tp, sl, horizon), parts = CONFIGS[0], []
+    for target, sign in ((0, 1), (1, -1)):
+        good, bad = f"e.close * {1 + sign * tp / 100.0}", f"e.close * {1 - sign * sl / 100.0}"
+        win, lose = (f"f.high >= {good}", f"f.low <= {bad}") if sign > 0 else (f"f.low <= {good}", f"f.high >= {bad}")
+        earlier = "f.high_time < f.low_time" if sign > 0 else "f.low_time < f.high_time"
+        parts.append(f"""SELECT symbol, t, {target} AS target, g - {COMMISSION} * (2 + {sign} * g / 100.0) AS y FROM (SELECT e.symbol, e.t,
+   coalesce(arg_min(CASE WHEN ({win}) AND (NOT ({lose}) OR coalesce({earlier}, false)) THEN {tp} ELSE -{sl} END, f.bar) FILTER (({win}) OR ({lose})), {sign} * (max(f.close) FILTER (f.bar = e.bar + {horizon}) / any_value(e.close) - 1) * 100.0) AS g
+   FROM nb e JOIN nb f ON e.symbol = f.symbol AND f.bar > e.bar AND f.bar <= e.bar + {horizon} WHERE e.bar + {horizon} < e.n GROUP BY e.symbol, e.t)""")
+    return f"WITH nb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS bar, count(*) OVER (PARTITION BY symbol) AS n FROM {source}) " + " UNION ALL ".join(parts)
+
+
+def _edge_sql(n: str, s: str, q: str) -> str:
+    """Edge of a segment against all (an, as_, aq), null where it doesn't count."""
+    sd = lambda q, s, n: f"sqrt(greatest({q} / {n} - ({s} / {n}) * ({s} / {n}), 0.0))"
+    least = null_screen.LEAST
+    return f"CASE WHEN {n} >= {least} AND an - {n} >= {least} AND {sd('aq', 'as_', 'an')} > 0 THEN ({s} / {n} - as_ / an) / (greatest({sd(q, s, n)}, {sd('aq', 'as_', 'an')}) / sqrt({n})) END"
+
+
+def _edges_sql(source: str, name: str) -> str:
+    """CTEs that end in ``name`` (symbol, indicator, instance, target, cut, side, edge, excess)."""
+    cuts = ", ".join(f"('{k}', {c}, '{side}')" for k, ths in CUTS.items() for c in range(len(ths)) for side in "<>")
+    inside = "CASE side WHEN '<' THEN bin < 2 * cut + 1 ELSE bin > 2 * cut + 1 END"
+    return f"""{name}b AS MATERIALIZED (SELECT symbol, indicator, instance, target, bin, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM ({_codes_sql(source)}) JOIN ({_targets_sql(source)}) USING (symbol, t) GROUP BY ALL),
+ {name}s AS (SELECT symbol, indicator, instance, target, cut, side, coalesce(sum(n) FILTER ({inside}), 0) AS n, coalesce(sum(s) FILTER ({inside}), 0) AS s, coalesce(sum(q) FILTER ({inside}), 0) AS q,
+  sum(n) AS an, sum(s) AS as_, sum(q) AS aq FROM {name}b JOIN (VALUES {cuts}) c(indicator, cut, side) USING (indicator) GROUP BY ALL),
+ {name} AS MATERIALIZED (SELECT * FROM (SELECT symbol, indicator, instance, target, cut, side, {_edge_sql("n", "s", "q")} AS edge, s - n * as_ / an AS excess FROM {name}s) WHERE edge IS NOT NULL)"""
+
+
+@query(f"WITH {_BARS_CTE}, {_edges_sql('src', 'e')} SELECT symbol, indicator, instance, target, cut, side, round(edge, 6) AS edge, round(excess, 4) AS excess FROM e")
+def segment_edges_by_symbol(spark, sf_dir):
+    rows = hourly_extremes(spark, sf_dir)
+    return null_screen.edges(rows, CUTS, CONFIGS, COMMISSION).select("symbol", "indicator", "instance", "target", "cut", "side", r("edge"), r("excess", 4))
+
+
+_COMBO = "instance, target, cut, side"
+_SPLIT = "CAST(split_part(x.symbol, '|', 1) AS BIGINT) AS seed, split_part(x.symbol, '|', 2) AS symbol"
+_PILOT, _NULL = null_screen.SEED_PILOT, null_screen.SEED_NULL
+
+
+@query(f"""WITH {_BARS_CTE}, {_paths_sql(_PILOT, PILOTS)}, {_edges_sql(f"syn{_PILOT}", "pe")}, {_paths_sql(_NULL, PATHS)}, {_edges_sql(f"syn{_NULL}", "ne")}, {_edges_sql("src", "e")},
+ known AS MATERIALIZED (SELECT symbol, indicator, {_COMBO}, avg(edge) AS mu, stddev_samp(edge) AS sd FROM (SELECT x.* EXCLUDE (symbol), {_SPLIT} FROM pe x) GROUP BY ALL HAVING count(*) >= {null_screen.LEAST_PILOTS} AND stddev_samp(edge) > 1e-12),
+ tops AS (SELECT seed, symbol, indicator, max((edge - mu) / sd) AS top FROM (SELECT x.* EXCLUDE (symbol), {_SPLIT} FROM ne x WHERE excess > 0) JOIN known USING (symbol, indicator, {_COMBO}) GROUP BY 1, 2, 3),
+ every AS (SELECT symbol, indicator, coalesce(top, -1e9) AS top FROM (SELECT DISTINCT symbol, indicator, seed FROM known, range({_NULL}, {_NULL + PATHS}) p(seed)) LEFT JOIN tops USING (seed, symbol, indicator)),
+ fl AS (SELECT symbol, indicator, quantile_cont(top, {PERCENTILE / 100}) AS floor, quantile_cont(top, 0.5) AS med, quantile_cont(top, 0.84) AS p84 FROM every GROUP BY 1, 2),
+ z AS (SELECT e.*, (edge - mu) / sd AS z FROM e JOIN known USING (symbol, indicator, {_COMBO}) WHERE excess > 0),
+ t AS (SELECT symbol, indicator, max(z) AS T, any_value(floor) AS floor, any_value(med) AS med, any_value(p84) AS p84,
+  arg_min(struct_pack(instance := instance, target := target, cut := cut, side := side, z := z, excess := excess), (-excess, {_COMBO})) FILTER (z > floor) AS x FROM z JOIN fl USING (symbol, indicator) GROUP BY 1, 2)
+ SELECT symbol, indicator, round(T, 4) AS T, round(floor, 4) AS floor, round((T - med) / (p84 - med), 4) AS score, T > floor AS passed, x.instance AS instance, x.target AS target, x.cut AS cut, x.side AS side,
+ round(x.z, 4) AS z, round(x.excess, 4) AS excess FROM t""")
+def screen_alone(spark, sf_dir):
+    rows = hourly_extremes(spark, sf_dir)
+    found = null_screen.screen(rows, CUTS, CONFIGS, PERCENTILE, COMMISSION, PILOTS, PATHS, etl.price_decimals(rows))
+    return found.select("symbol", "indicator", r("T", 4), r("floor", 4), r("score", 4), "passed", "instance", "target", "cut", "side", r("z", 4), r("excess", 4))
+
+
+# Pairs of indicators under shifts around the circle of a symbol's bars.
+PAIR_CUTS = {"rsi": [44.73, 55.31], "bb_pctb": [0.2317, 0.7733], "close_pos_in_bar": [0.6131]}
+LEAST_SHIFT, SOME_PILOTS, SOME_PATHS = 110, 4, 8
+_PAIR_INSTANCES = null_screen.instances(PAIR_CUTS)
+
+
+def _hash_sql(seed: int, x: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || {x}), 1, 8) AS BIGINT)"
+
+
+def _shifts_sql(pilots: int, paths: int) -> str:
+    """CTE ``sh`` (symbol, n, kind, draw, shift) by the sizes in ``nbar``."""
+    return f"""sizes AS (SELECT symbol, count(*) AS n FROM nbar GROUP BY 1 HAVING count(*) > {2 * LEAST_SHIFT}),
+ nulls AS (SELECT symbol, n, 'null' AS kind, draw, {LEAST_SHIFT} + {_hash_sql(_NULL, "draw")} % (n - {2 * LEAST_SHIFT} + 1) AS shift FROM sizes, range({paths}) d(draw)),
+ free AS (SELECT symbol, n, 'pilot' AS kind, row_number() OVER (PARTITION BY symbol ORDER BY {_hash_sql(_PILOT, "shift")}, shift) - 1 AS draw, shift
+  FROM (SELECT symbol, n, unnest(range({LEAST_SHIFT}, n - {LEAST_SHIFT} + 1)) AS shift FROM sizes) ANTI JOIN nulls USING (symbol, shift)),
+ sh AS MATERIALIZED (SELECT * FROM nulls UNION ALL SELECT * FROM free WHERE draw < {pilots} UNION ALL SELECT symbol, n, 'real', 0, 0 FROM sizes)"""
+
+
+def _pair_edges_sql(cuts: dict[str, list[float]], pilots: int, paths: int) -> str:
+    """CTEs that end in ``pe``: edges of all rectangles of two segments, of each draw and either moved indicator."""
+    order = null_screen.instances(cuts)
+    codes = " UNION ALL ".join(
+        f"SELECT symbol, t, {k} AS k, {' + '.join(f'CASE WHEN value > {c} THEN 2 WHEN value = {c} THEN 1 ELSE 0 END' for c in cuts[name])} AS bin FROM {indicator_sql('src', name, dict(REGISTRY[name].instances())[key])} WHERE value IS NOT NULL"
+        for k, (name, key) in enumerate(order)
+    )
+    segments = ", ".join(f"({k}, {c}, '{side}')" for k, (name, _) in enumerate(order) for c in range(len(cuts[name])) for side in "<>")
+    pairs = ", ".join(f"({x}, {z})" for x, z in null_screen.instance_pairs(order))
+    inside = lambda x, i: f"CASE {x}.side WHEN '<' THEN {i} < 2 * {x}.cut + 1 ELSE {i} > 2 * {x}.cut + 1 END"
+    keys, in_a, in_b, least = "symbol, kind, draw, a, b, moved, target", inside("x", "i"), inside("z", "j"), null_screen.LEAST
+    both = f"({in_a}) AND ({in_b})"
+    return f"""nbar AS MATERIALIZED (SELECT symbol, t, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS bar FROM src),
+ {_shifts_sql(pilots, paths)}, code AS MATERIALIZED (SELECT symbol, bar, k, bin FROM ({codes}) JOIN nbar USING (symbol, t)),
+ ys AS MATERIALIZED (SELECT symbol, bar, target, y FROM ({_targets_sql("src")}) JOIN nbar USING (symbol, t)),
+ of_(a, b) AS (VALUES {pairs}),
+ met AS (SELECT s.symbol, kind, draw, f.k AS a, g.k AS b, 'b' AS moved, f.bar, f.bin AS i, g.bin AS j FROM sh s JOIN code f ON f.symbol = s.symbol JOIN of_ ON f.k = of_.a JOIN code g ON g.symbol = s.symbol AND g.k = of_.b AND g.bar = (f.bar + shift) % n
+  UNION ALL SELECT s.symbol, kind, draw, f.k, g.k, 'a', g.bar, f.bin, g.bin FROM sh s JOIN code g ON g.symbol = s.symbol JOIN of_ ON g.k = of_.b JOIN code f ON f.symbol = s.symbol AND f.k = of_.a AND f.bar = (g.bar + shift) % n),
+ h AS MATERIALIZED (SELECT {keys}, i, j, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM met JOIN ys USING (symbol, bar) GROUP BY ALL), seg(k, cut, side) AS (VALUES {segments}),
+ rect AS (SELECT {keys}, x.cut AS cut_a, x.side AS side_a, z.cut AS cut_b, z.side AS side_b, sum(n) FILTER ({both}) AS n, sum(s) FILTER ({both}) AS s, sum(q) FILTER ({both}) AS q,
+  sum(n) AS an, sum(s) AS as_, sum(q) AS aq, sum(n) FILTER ({in_a}) AS na, sum(n) FILTER ({in_b}) AS nb FROM h JOIN seg x ON x.k = a JOIN seg z ON z.k = b GROUP BY ALL),
+ pe AS MATERIALIZED (SELECT * FROM (SELECT {keys}, cut_a, side_a, cut_b, side_b, n, {_edge_sql("n", "s", "q")} AS edge, s - n * as_ / an AS excess, na - n >= {least} AND nb - n >= {least} AS valid FROM rect) WHERE edge IS NOT NULL)"""
+
+
+@query(f"""WITH src AS MATERIALIZED (SELECT * FROM {HOURLY_SQL}), {_pair_edges_sql(PAIR_CUTS, SOME_PILOTS, SOME_PATHS)}
+ SELECT symbol, kind, draw, a, b, moved, target, cut_a, side_a, cut_b, side_b, CAST(n AS BIGINT) AS n, round(edge, 5) AS edge, round(excess, 3) AS excess, valid FROM pe""")
+def shifted_pair_edges(spark, sf_dir):
+    rows = null_screen.coded_bars(hourly_extremes(spark, sf_dir), PAIR_CUTS, CONFIGS, COMMISSION)
+    shifts = null_screen.drawn_shifts(rows.groupBy("symbol").agg(F.count("*").alias("n")), LEAST_SHIFT, SOME_PILOTS, SOME_PATHS)
+    found = null_screen.rectangle_edges(null_screen.shifted_histograms(rows, shifts, null_screen.instance_pairs(_PAIR_INSTANCES)), [len(PAIR_CUTS[name]) for name, _ in _PAIR_INSTANCES])
+    return found.withColumns({"edge": F.round("edge", 5), "excess": F.round("excess", 3)})
+
+
+_PAIR_KEYS = "symbol, a, b, target, cut_a, side_a, cut_b, side_b"
+_LIMITS = ", ".join(f"max({c}) FILTER (moved = '{m}') AS {c}_{m}" for c in ("floor", "med", "p84") for m in "ab")
+
+
+@query(f"""WITH src AS MATERIALIZED (SELECT * FROM {HOURLY_SQL}), {_pair_edges_sql(CUTS, PILOTS, PATHS)},
+ names(k, name) AS (VALUES {", ".join(f"({k}, '{name}')" for k, (name, _) in enumerate(null_screen.instances(CUTS)))}),
+ known AS (SELECT {_PAIR_KEYS}, moved, avg(edge) AS mu, stddev_samp(edge) AS sd FROM pe WHERE kind = 'pilot' GROUP BY ALL HAVING count(*) >= {null_screen.LEAST_PILOTS} AND stddev_samp(edge) > 1e-12),
+ sc AS MATERIALIZED (SELECT pe.*, u.name AS name_a, w.name AS name_b, least((edge - ka.mu) / ka.sd, (edge - kb.mu) / kb.sd) AS z FROM pe JOIN (SELECT * FROM known WHERE moved = 'a') ka USING ({_PAIR_KEYS})
+  JOIN (SELECT * FROM known WHERE moved = 'b') kb USING ({_PAIR_KEYS}) JOIN names u ON u.k = pe.a JOIN names w ON w.k = pe.b WHERE excess > 0),
+ tops AS (SELECT symbol, name_a, name_b, moved, draw, max(z) AS top FROM sc WHERE kind = 'null' GROUP BY ALL),
+ every AS (SELECT * REPLACE (coalesce(top, -1e9) AS top) FROM (SELECT DISTINCT symbol, name_a, name_b, m AS moved, d.draw FROM sc, (VALUES ('a'), ('b')) v(m), range({PATHS}) d(draw)) LEFT JOIN tops USING (symbol, name_a, name_b, moved, draw)),
+ fl AS (SELECT symbol, name_a, name_b, {_LIMITS} FROM (SELECT symbol, name_a, name_b, moved, quantile_cont(top, {PERCENTILE / 100}) AS floor, quantile_cont(top, 0.5) AS med, quantile_cont(top, 0.84) AS p84 FROM every GROUP BY ALL) GROUP BY ALL),
+ t AS (SELECT symbol, name_a, name_b, max(z) AS T, any_value(COLUMNS('^(floor|med|p84)_[ab]$')), arg_min(struct_pack(a := a, b := b, target := target, z := z, excess := excess), (-excess, a, b, target, cut_a, side_a, cut_b, side_b)) FILTER (z > floor_a AND z > floor_b) AS x
+  FROM sc JOIN fl USING (symbol, name_a, name_b) WHERE kind = 'real' AND moved = 'b' AND valid GROUP BY ALL)
+ SELECT symbol, name_a, name_b, round(T, 4) AS T, round(greatest(floor_a, floor_b), 4) AS floor, T > floor_a AND T > floor_b AS passed, x.a AS a, x.b AS b, x.target AS target, round(x.z, 4) AS z, round(x.excess, 3) AS excess FROM t""")
+def screen_pairs(spark, sf_dir):
+    found = null_screen.screen_pairs(hourly_extremes(spark, sf_dir), CUTS, CONFIGS, PERCENTILE, COMMISSION, PILOTS, PATHS, LEAST_SHIFT)
+    return found.select("symbol", "name_a", "name_b", r("T", 4), r("floor", 4), "passed", "a", "b", "target", r("z", 4), r("excess", 3))
