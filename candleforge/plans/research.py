@@ -325,8 +325,9 @@ def _pair_edges_sql(cuts: dict[str, list[float]], pilots: int, paths: int) -> st
  {_shifts_sql(pilots, paths)}, code AS MATERIALIZED (SELECT symbol, bar, k, bin FROM ({codes}) JOIN nbar USING (symbol, t)),
  ys AS MATERIALIZED (SELECT symbol, bar, target, y FROM ({_targets_sql("src")}) JOIN nbar USING (symbol, t)),
  of_(a, b) AS (VALUES {pairs}),
- met AS (SELECT s.symbol, kind, draw, f.k AS a, g.k AS b, 'b' AS moved, f.bar, f.bin AS i, g.bin AS j FROM sh s JOIN code f ON f.symbol = s.symbol JOIN of_ ON f.k = of_.a JOIN code g ON g.symbol = s.symbol AND g.k = of_.b AND g.bar = (f.bar + shift) % n
-  UNION ALL SELECT s.symbol, kind, draw, f.k, g.k, 'a', g.bar, f.bin, g.bin FROM sh s JOIN code g ON g.symbol = s.symbol JOIN of_ ON g.k = of_.b JOIN code f ON f.symbol = s.symbol AND f.k = of_.a AND f.bar = (g.bar + shift) % n),
+ far AS MATERIALIZED (SELECT symbol, kind, draw, (bar - shift + n) % n AS bar, k, bin FROM sh JOIN code USING (symbol)),
+ met AS (SELECT symbol, kind, draw, a, b, 'b' AS moved, bar, f.bin AS i, g.bin AS j FROM code f JOIN of_ ON f.k = a JOIN far g USING (symbol, bar) WHERE g.k = b
+  UNION ALL SELECT symbol, kind, draw, a, b, 'a', bar, f.bin, g.bin FROM code g JOIN of_ ON g.k = b JOIN far f USING (symbol, bar) WHERE f.k = a),
  h AS MATERIALIZED (SELECT {keys}, i, j, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM met JOIN ys USING (symbol, bar) GROUP BY ALL), seg(k, cut, side) AS (VALUES {segments}),
  rect AS (SELECT {keys}, x.cut AS cut_a, x.side AS side_a, z.cut AS cut_b, z.side AS side_b, sum(n) FILTER ({both}) AS n, sum(s) FILTER ({both}) AS s, sum(q) FILTER ({both}) AS q,
   sum(n) AS an, sum(s) AS as_, sum(q) AS aq, sum(n) FILTER ({in_a}) AS na, sum(n) FILTER ({in_b}) AS nb FROM h JOIN seg x ON x.k = a JOIN seg z ON z.k = b GROUP BY ALL),
