@@ -171,6 +171,37 @@ def false_discovery_pvalues(columns: DataFrame, key: str, gamma: float = GAMMA,
         return tables.kept(test.pvalues(steps).withColumn("k", F.lit(k)))
 
 
+#: Percentiles of the columns that are compared with those of the replicas. Fixed values.
+PERCENTILES = (1, 2, 3, 4, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 96, 97, 98, 99)
+
+
+def percentile_bootstrap(columns: DataFrame, key: str, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """percentile, real (of the columns' z), simulated (the replicas' mean) and below (the percentage of replicas under real).
+
+    A replica's percentile lies between two of its ordered deviations, which are picked by their places in its list.
+    """
+    spark = columns.sparkSession
+    with Tables(spark) as tables:
+        test = StepDown(columns, key, tables, m=1)
+        if not test.n:
+            return spark.createDataFrame([], "percentile double, real double, simulated double, below double")
+        # Places from 1 of the largest, with what the higher of the two weighs.
+        rows = [(float(p), test.n - int(at), at - int(at)) for p in percentiles for at in [p / 100.0 * (test.n - 1)]]
+        test.grow(max(place for _, place, _ in rows))
+        places = F.broadcast(spark.createDataFrame(rows, "percentile double, low long, weight double"))
+
+        def between(values: DataFrame, at: str, value: str, keys: list[str]) -> DataFrame:
+            met = values.join(places, (F.col(at) == F.col("low")) | (F.col(at) == F.col("low") - 1))
+            share = F.when(F.col(at) == F.col("low"), 1 - F.col("weight")).otherwise(F.col("weight"))
+            # A weight of 0 leaves out what may be minus infinity.
+            return met.groupBy("percentile", *keys).agg(F.sum(F.when(share > 0, share * F.col(value)).otherwise(0.0)).alias("x"))
+
+        real = between(test.columns, "place", "z", []).withColumnRenamed("x", "real")
+        null = between(test.top, "at", "d", ["replica"]).join(F.broadcast(real), "percentile")
+        out = null.groupBy("percentile").agg(F.first("real").alias("real"), F.avg("x").alias("simulated"), (100.0 * F.avg((F.col("x") < F.col("real")).cast("double"))).alias("below"))
+        return tables.kept(out)
+
+
 def best_of_each(pvalues: DataFrame, rule: str, combo: str, alpha: float = ALPHA) -> DataFrame:
     """By rule its column of least p, of equals the one of largest z, and whether it passes."""
     best = F.min_by(F.struct(combo, "z", "p"), F.struct("p", -F.col("z"), combo))

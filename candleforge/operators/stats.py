@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.functions.stretches import in_order, stretched
-
 #: Fixed values.
 REPLICAS, BLOCK, SEED = 1000, 10, 42
 
@@ -92,26 +90,6 @@ def step_down(columns: DataFrame, key: str) -> DataFrame:
     return p.withColumn("p", F.max("p").over(better))
 
 
-def permuted_paths(bars: DataFrame, paths: int, block: int, seed: int = SEED) -> DataFrame:
-    """Closes of ``paths`` synthetic series by symbol: blocks of log returns in a seeded order, shared by all symbols.
-
-    Block order is by hash of (seed, path, block), so no table of permutations exists; the rebuilt close is the first
-    one times the exponential of the running sum.
-    """
-    from pyspark.sql import Window
-
-    close = F.when(F.col("close") > 0, F.col("close"))
-    own = stretched(bars, back=1)
-    own = own.withColumn("r", F.ln(close / F.lag(close).over(in_order()))).filter("_own AND r IS NOT NULL")
-    firsts = bars.filter("close > 0").groupBy("symbol").agg(F.min_by("close", "t").alias("first"))
-    rows = own.select("symbol", "t", "r", F.col("_bar").alias("bar")).join(firsts, "symbol")
-    rows = rows.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(paths))))
-    rows = rows.withColumn("blk", F.floor(F.col("bar") / block))
-    shuffled = Window.partitionBy("path", "symbol").orderBy(F.xxhash64(F.lit(seed), "path", "blk"), "bar")
-    placed = rows.withColumn("place", F.row_number().over(shuffled))
-    return placed.withColumn("close", F.col("first") * F.exp(F.sum("r").over(shuffled.rowsBetween(Window.unboundedPreceding, 0)))).select("path", "symbol", "place", "close")
-
-
 def deflated_sharpe(sharpe: float, days: int, skew: float, kurtosis: float, trials: float, spread: float) -> float:
     """Probability that a Sharpe ratio beats the best expected of ``trials`` skill-less ones."""
     norm, gamma = NormalDist(), 0.5772156649015329

@@ -484,11 +484,6 @@ def white_reality_check(spark, sf_dir):
     return stats.reality_check(_columns(spark, sf_dir))
 
 
-@query()
-def multiverse_paths(spark, sf_dir):
-    return stats.permuted_paths(bars(spark, sf_dir, "4H"), 1000, 10).select("path", "symbol", "place", r("close"))
-
-
 # Streams.
 def _stream_dir(spark: SparkSession) -> str:
     """A new folder for a stream's state, where all executors reach it; a folder of this machine in local mode only."""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from candleforge.functions import recurrence
 from candleforge.functions.stretches import in_order, stretched
-from candleforge.operators import etl, exits, multiple_testing, null_screen, rules, selection, stats
-from candleforge.operators.indicators import REGISTRY, indicator_sql
-from candleforge.plans.catalog import H1, HITS_SQL, ORACLES, extremes, query, r
+from candleforge.operators import etl, exits, multiple_testing, multiverse, null_screen, rules, selection, stats
+from candleforge.operators.indicators import REGISTRY, indicator_sql, with_indicator
+from candleforge.plans.catalog import EXTREMES_SQL, H1, HITS_SQL, ORACLES, extremes, query, r
 from candleforge.sources.bars import bars, bars_sql, table
 
 # Multiple testing. A column is a supplier, its profit a day what its lines give over a margin; every tenth is better.
@@ -97,6 +97,16 @@ def reality_check_suppliers(spark, sf_dir):
     return stats.reality_check(supplier_columns(spark, sf_dir)).select("replicas", r("p"))
 
 
+_PERCENTILES = f"unnest({[float(p) for p in multiple_testing.PERCENTILES]}) AS percentile"
+_AT = [p / 100.0 for p in multiple_testing.PERCENTILES]
+
+
+@query(f"""WITH {DEVIATIONS_SQL}, q AS (SELECT {_PERCENTILES}, unnest(quantile_cont(z, {_AT})) AS real FROM c), nq AS (SELECT r, {_PERCENTILES}, unnest(quantile_cont(d, {_AT})) AS x FROM v GROUP BY r)
+ SELECT percentile, round(any_value(real), 6) AS real, round(avg(x), 6) AS simulated, round(100.0 * avg(CASE WHEN x < real THEN 1.0 ELSE 0.0 END), 6) AS below FROM nq JOIN q USING (percentile) GROUP BY 1""")
+def percentile_bootstrap(spark, sf_dir):
+    return multiple_testing.percentile_bootstrap(supplier_columns(spark, sf_dir), "col").select("percentile", r("real"), r("simulated"), r("below"))
+
+
 # Greedy selections. ``near_sql`` has pairs (a, b), ``order_sql`` id and place.
 def _greedy_sql(order_sql: str, near_sql: str) -> str:
     """The sequential pass: items with their place, and whether none of their better neighbours was kept."""
@@ -361,3 +371,56 @@ _LIMITS = ", ".join(f"max({c}) FILTER (moved = '{m}') AS {c}_{m}" for c in ("flo
 def screen_pairs(spark, sf_dir):
     found = null_screen.screen_pairs(hourly_extremes(spark, sf_dir), CUTS, CONFIGS, PERCENTILE, COMMISSION, PILOTS, PATHS, LEAST_SHIFT)
     return found.select("symbol", "name_a", "name_b", r("T", 4), r("floor", 4), "passed", "a", "b", "target", r("z", 4), r("excess", 3))
+
+
+# Paths of permuted blocks.
+#: Paths that are given bar by bar.
+SHOWN = 200
+
+
+def four_hour_market(spark, sf_dir) -> DataFrame:
+    """Four-hour bars with the times of their extremes, raised so that returns are those of a market."""
+    return extremes(spark, sf_dir).withColumns({c: F.col(c) + 1000.0 for c in ("open", "high", "low", "close")})
+
+
+MARKET_SQL = f"(SELECT * REPLACE (open + 1000.0 AS open, high + 1000.0 AS high, low + 1000.0 AS low, close + 1000.0 AS close) FROM {EXTREMES_SQL})"
+
+
+def _joint_sql(paths: int, block: int) -> str:
+    """CTEs that end in ``jp``: bars of the paths."""
+    h = lambda x: f"CAST('0x' || substr(md5('{multiverse.SEED}:' || path || ':' || {x}), 1, 8) AS BIGINT)"
+    return f"""src AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS k, coalesce(lag(close) OVER w, open) AS pc, first_value(open) OVER w AS o0 FROM {MARKET_SQL} WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+ tl AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM src)),
+ ph AS (SELECT path, {h("'phase'")} % {block} AS phase FROM range(1, {paths + 1}) p(path)),
+ bl AS (SELECT path, phase, unnest(range(CAST((phase > 0)::INT + ceil(((SELECT max(n) FROM tl) - phase) / {block}.0) AS BIGINT))) AS blk FROM ph),
+ pl AS MATERIALIZED (SELECT path, phase, blk, row_number() OVER (PARTITION BY path ORDER BY {h("blk")}, blk) AS place FROM bl),
+ mv AS (SELECT path, symbol, s.*  EXCLUDE (symbol), row_number() OVER (PARTITION BY path, symbol ORDER BY place, pos) - 1 AS kk
+  FROM src s JOIN tl USING (t) JOIN pl ON pl.blk = CASE WHEN pos < phase THEN 0 ELSE (phase > 0)::INT + (pos - phase) // {block} END),
+ cs AS (SELECT *, o0 * exp(sum(ln(close / pc)) OVER (PARTITION BY path, symbol ORDER BY kk)) AS nc FROM mv),
+ jp AS MATERIALIZED (SELECT cs.path, cs.symbol, o.t, nc * open_ / close_ AS open, nc * open_ / close_ * high_ / open_ AS high, nc * open_ / close_ * low_ / open_ AS low, nc AS close, volume, o.t + high_time - told AS high_time,
+  o.t + low_time - told AS low_time FROM (SELECT path, symbol, kk, nc, open AS open_, high AS high_, low AS low_, close AS close_, volume, high_time, low_time, t AS told FROM cs) cs JOIN (SELECT symbol, k, t FROM src) o ON o.symbol = cs.symbol AND o.k = cs.kk)"""
+
+
+@query(f"""WITH {_joint_sql(SHOWN, multiverse.BLOCK)} SELECT path, symbol, t, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume, high_time, low_time FROM jp""")
+def multiverse_paths(spark, sf_dir):
+    paths = multiverse.joint_paths(four_hour_market(spark, sf_dir), SHOWN)
+    return paths.select("path", "symbol", "t", *[r(c, 4) for c in ("open", "high", "low", "close")], "volume", "high_time", "low_time")
+
+
+@query(f"""WITH {_joint_sql(100, multiverse.BLOCK)}, pb AS MATERIALIZED (SELECT path || '|' || symbol AS symbol, t, open, high, low, close, volume, high_time, low_time FROM jp),
+ rb AS MATERIALIZED (SELECT symbol, t, open, high, low, close, volume, high_time, low_time FROM src),
+ nul AS (SELECT CAST(split_part(symbol, '|', 1) AS BIGINT) AS path, split_part(symbol, '|', 2) AS symbol, avg(y) AS value FROM {indicator_sql("pb", "donchian_pos", {"period": 7})} JOIN ({_targets_sql("pb")}) USING (symbol, t) WHERE target = 0 AND value < 0.3317 GROUP BY 1, 2),
+ rea AS (SELECT symbol, avg(y) AS value FROM {indicator_sql("rb", "donchian_pos", {"period": 7})} JOIN ({_targets_sql("rb")}) USING (symbol, t) WHERE target = 0 AND value < 0.3317 GROUP BY 1)
+ SELECT symbol, round(value, 6) AS value, round((1 + (SELECT count(*) FROM nul WHERE nul.symbol = rea.symbol AND nul.value >= rea.value)) / 101.0, 6) AS p FROM rea""")
+def multiverse_pvalues(spark, sf_dir):
+    """Mean result of long entries in the lowest third of a channel, against paths without order."""
+    rows = four_hour_market(spark, sf_dir)
+
+    def means(of: DataFrame) -> DataFrame:
+        low = with_indicator(of, "donchian_pos", {"period": 7}).filter("value < 0.3317")
+        return low.select("symbol", "t").join(exits.grid_targets(of, CONFIGS, COMMISSION).filter("target = 0"), ["symbol", "t"]).groupBy("symbol").agg(F.avg("y").alias("value"))
+
+    paths = multiverse.joint_paths(rows, 100).withColumn("symbol", F.concat_ws("|", "path", "symbol")).drop("path")
+    part = F.split("symbol", r"\|", 2)
+    null = means(paths).select(F.get(part, 0).cast("long").alias("path"), F.get(part, 1).alias("symbol"), "value")
+    return multiverse.permutation_pvalues(means(rows), null, ["symbol"], 100).select("symbol", r("value"), r("p"))

@@ -103,15 +103,6 @@ def test_step_down_is_monotone(spark):
     assert got == pytest.approx(expected)
 
 
-def test_paths_keep_the_returns(spark):
-    rows = [("a", i, 1.0, 1.0, 1.0, float(10 + (i * 7) % 5), 1.0) for i in range(60)]
-    got = stats.permuted_paths(spark.createDataFrame(rows, BAR), 3, 5).collect()
-    own = sorted(round(math.log(b[5] / a[5]), 9) for a, b in zip(rows, rows[1:], strict=False))
-    for path in (1, 2, 3):
-        closes = [10.0] + [r.close for r in sorted((r for r in got if r.path == path), key=lambda r: r.place)]
-        assert sorted(round(math.log(b / a), 9) for a, b in zip(closes, closes[1:], strict=False)) == pytest.approx(own)
-
-
 def test_windows_end_with_the_data():
     assert walkforward.windows(100, 50, 20) == [(10, 60, 60, 80), (30, 80, 80, 100)]
     assert all(w[3] <= 100 and w[0] >= 0 for w in walkforward.windows(100, 40, 7))
