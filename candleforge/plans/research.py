@@ -401,10 +401,10 @@ def _joint_sql(paths: int, block: int) -> str:
   o.t + low_time - told AS low_time FROM (SELECT path, symbol, kk, nc, open AS open_, high AS high_, low AS low_, close AS close_, volume, high_time, low_time, t AS told FROM cs) cs JOIN (SELECT symbol, k, t FROM src) o ON o.symbol = cs.symbol AND o.k = cs.kk)"""
 
 
-@query(f"""WITH {_joint_sql(SHOWN, multiverse.BLOCK)} SELECT path, symbol, t, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume, high_time, low_time FROM jp""")
+@query(f"""WITH {_joint_sql(SHOWN, multiverse.BLOCK)} SELECT path, symbol, t, round(ln(open), 6) AS open, round(ln(high), 6) AS high, round(ln(low), 6) AS low, round(ln(close), 6) AS close, volume, high_time, low_time FROM jp""")
 def multiverse_paths(spark, sf_dir):
     paths = multiverse.joint_paths(four_hour_market(spark, sf_dir), SHOWN)
-    return paths.select("path", "symbol", "t", *[r(c, 4) for c in ("open", "high", "low", "close")], "volume", "high_time", "low_time")
+    return paths.select("path", "symbol", "t", *[F.round(F.ln(c), 6).alias(c) for c in ("open", "high", "low", "close")], "volume", "high_time", "low_time")
 
 
 @query(f"""WITH {_joint_sql(100, multiverse.BLOCK)}, pb AS MATERIALIZED (SELECT path || '|' || symbol AS symbol, t, open, high, low, close, volume, high_time, low_time FROM jp),
