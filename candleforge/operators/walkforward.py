@@ -38,7 +38,7 @@ def walk_forward(daily: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 def smoothed(choices: DataFrame, grid: list[float], alpha: float = 0.3) -> DataFrame:
     """Exponential average of the chosen parameter over windows, snapped to the nearest grid value (the first on ties)."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("win", "param"))), lambda s: s["param"])
-    mean = F.aggregate(F.slice(ordered, 2, 100_000), F.get(ordered, F.lit(0)), lambda s, x: F.lit(alpha) * x + F.lit(1 - alpha) * s)
+    mean = F.aggregate(F.slice(ordered, F.lit(2), F.size(ordered)), F.get(ordered, F.lit(0)), lambda s, x: F.lit(alpha) * x + F.lit(1 - alpha) * s)
     near = F.array_min(F.array(*[F.struct(F.abs(F.col("mean") - g).alias("d"), F.lit(i).alias("i"), F.lit(float(g)).alias("g")) for i, g in enumerate(grid)]))["g"]
     return choices.groupBy().agg(mean.alias("mean")).withColumn("param", near)
 

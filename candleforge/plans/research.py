@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candleforge.functions import recurrence
 from candleforge.functions.stretches import in_order, stretched
-from candleforge.operators import etl, exits, multiple_testing, multiverse, null_screen, rules, selection, stats
+from candleforge.operators import etl, exits, matching, multiple_testing, multiverse, null_screen, rules, selection, stats
 from candleforge.operators.indicators import REGISTRY, indicator_sql, with_indicator
 from candleforge.plans.catalog import EXTREMES_SQL, H1, HITS_SQL, ORACLES, extremes, query, r
 from candleforge.sources.bars import bars, bars_sql, table
@@ -424,3 +424,19 @@ def multiverse_pvalues(spark, sf_dir):
     part = F.split("symbol", r"\|", 2)
     null = means(paths).select(F.get(part, 0).cast("long").alias("path"), F.get(part, 1).alias("symbol"), "value")
     return multiverse.permutation_pvalues(means(rows), null, ["symbol"], 100).select("symbol", r("value"), r("p"))
+
+
+# Matches. Purchases take clicks of their user in the day before, each once.
+DAY_US = 86_400_000_000
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase'),
+ cand AS MATERIALIZED (SELECT p.user_id, p.event_id, p.k, coalesce(list(c.event_id ORDER BY c.ts, c.event_id) FILTER (c.event_id IS NOT NULL), []) AS free
+  FROM p LEFT JOIN events c ON c.user_id = p.user_id AND c.event_type = 'click' AND epoch_us(c.ts) BETWEEN p.us - {DAY_US} AND p.us GROUP BY 1, 2, 3),
+ g AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS later_id, CAST(NULL AS BIGINT) AS earlier_id FROM p WHERE k = 1 UNION ALL
+  SELECT user_id, k, CASE WHEN x IS NULL THEN used ELSE list_append(used, x) END, event_id, x FROM (SELECT g.user_id, c.k, g.used, c.event_id, list_filter(c.free, lambda i: NOT list_contains(g.used, i))[1] AS x
+   FROM g JOIN cand c ON c.user_id = g.user_id AND c.k = g.k + 1))
+ SELECT later_id, earlier_id FROM g WHERE earlier_id IS NOT NULL""")
+def one_to_one_match(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
+    return matching.one_to_one(events.filter("event_type = 'purchase'"), events.filter("event_type = 'click'"), DAY_US)
