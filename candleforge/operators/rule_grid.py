@@ -13,7 +13,9 @@ none either; rules without events are there with 0 and a null mean; an empty tab
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +67,8 @@ THRESHOLDS = {
     "kalman_slope": (-0.3, -0.1, 0.1, 0.3),
     "tpo_density": (0.05, 0.15, 0.3),
 }
-#: Bars of a word, indicators of one plan, left rules of a block, words that are unpacked at once.
-WORD, TOGETHER, BLOCK, STEP = 64, 4, 1024, 32
+#: Bars of a word, indicators of one plan, plans at once, left rules of a block, words that are unpacked at once.
+WORD, TOGETHER, AT_ONCE, BLOCK, STEP = 64, 2, 8, 1024, 32
 
 
 @dataclass(frozen=True)
@@ -140,12 +142,11 @@ def signal_words(bars: DataFrame, specs: list[Spec], length: int = LENGTH) -> Da
     names = list(dict.fromkeys(s.name for s in specs))
     with Tables(bars.sparkSession) as tables:
         base = tables.stored(stretched(bars, LOOKBACK + 1, length=length))
-        parts = None
-        for at in range(0, len(names), TOGETHER):
-            some = set(names[at : at + TOGETHER])
-            own = _packed(base, [s for s in specs if s.name in some]).withColumn("part", F.lit(at))
-            parts = own if parts is None else parts.unionByName(own)
-        bits = parts.groupBy("symbol", "word").agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("parts"))
+        # Plans of many windows take the driver longer than their tasks take small data, so they are made side by side.
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            groups = [(at, [s for s in specs if s.name in names[at : at + TOGETHER]]) for at in range(0, len(names), TOGETHER)]
+            parts = list(pool.map(lambda g: tables.stored(_packed(base, g[1]).withColumn("part", F.lit(g[0]))), groups))
+        bits = reduce(DataFrame.unionByName, parts).groupBy("symbol", "word").agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("parts"))
         bits = bits.select("symbol", "word", F.flatten(F.transform("parts", lambda p: p["bits"])).alias("bits"))
         gain = F.when(F.col("open") > 0, (F.col("close") / F.col("open") - 1) * 100.0).cast("double")
         own = base.filter("_own").select("symbol", _word(), F.struct(F.pmod("_bar", F.lit(WORD)).alias("at"), gain.alias("y")).alias("x"))
