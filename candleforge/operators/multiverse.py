@@ -86,10 +86,16 @@ def joint_paths(bars: DataFrame, paths: int = PATHS, block: int = BLOCK, seed: i
         return tables.kept(out)
 
 
+def exact_mean(value: str) -> Column:
+    """The mean of ``value`` by decimals of 12 places: equal results have equal means, however many and in any order."""
+    return F.avg(F.col(value).cast("decimal(28,12)")).cast("double")
+
+
 def permutation_pvalues(real: DataFrame, null: DataFrame, keys: list[str], paths: int) -> DataFrame:
     """keys, value and p: of ``real`` (keys, value) the share of paths, itself among them, that reach its value.
 
-    ``null`` has path, keys and value; a path without a value doesn't reach any.
+    ``null`` has path, keys and value; a path without a value doesn't reach any. Values that are the same reach each other,
+    so they must not differ by the rounding of sums.
     """
     hits = null.withColumnRenamed("value", "_path").join(real, keys).filter("_path >= value").groupBy(*keys).agg(F.count("*").alias("hits"))
     return real.join(hits, keys, "left").select(*keys, "value", ((1 + F.coalesce("hits", F.lit(0))) / F.lit(1.0 + paths)).alias("p"))

@@ -418,7 +418,7 @@ def multiverse_pvalues(spark, sf_dir):
 
     def means(of: DataFrame) -> DataFrame:
         low = with_indicator(of, "donchian_pos", {"period": 7}).filter("value < 0.3317")
-        return low.select("symbol", "t").join(exits.grid_targets(of, CONFIGS, COMMISSION).filter("target = 0"), ["symbol", "t"]).groupBy("symbol").agg(F.avg("y").alias("value"))
+        return low.select("symbol", "t").join(exits.grid_targets(of, CONFIGS, COMMISSION).filter("target = 0"), ["symbol", "t"]).groupBy("symbol").agg(multiverse.exact_mean("y").alias("value"))
 
     paths = multiverse.joint_paths(rows, 100).withColumn("symbol", F.concat_ws("|", "path", "symbol")).drop("path")
     part = F.split("symbol", r"\|", 2)

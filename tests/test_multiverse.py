@@ -52,6 +52,15 @@ def test_p_counts_the_path_itself(spark):
     assert got == {"x": 3 / 5, "y": 1 / 5}
 
 
+def test_equal_results_have_equal_means(spark):
+    """Means of 146 equal results and of other numbers of them differ by the rounding of their sums."""
+    y = 15.0 - 0.005 * (2 + 15.0 / 100.0)
+    rows = [(0, "a", y)] * 146 + [(p, "a", y) for p in range(1, 41) for _ in range(100 + p)]
+    means = spark.createDataFrame(rows, "path long, symbol string, y double").groupBy("path", "symbol").agg(multiverse.exact_mean("y").alias("value"))
+    real, null = means.filter("path = 0").select("symbol", "value"), means.filter("path > 0")
+    assert [(r.value, r.p) for r in multiverse.permutation_pvalues(real, null, ["symbol"], 40).collect()] == [(y, 1.0)]
+
+
 def test_percentiles_equal_numpy(spark):
     rng = np.random.default_rng(3)
     z, dev = rng.normal(0, 1, 37), rng.normal(0, 1, (37, 25))
