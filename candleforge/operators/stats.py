@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candleforge.functions.arrow import lists
+
 #: Fixed values.
 REPLICAS, BLOCK, SEED = 1000, 10, 42
+#: Numbers of a matrix of columns by days or replicas, of which a worker holds about ten.
+TOGETHER = 1 << 19
 
 
 @lru_cache(maxsize=2)
@@ -33,8 +37,8 @@ def sharpe_deviations(
 ) -> DataFrame:
     """By column: its Sharpe, its z, and each replica's studentised deviation.
 
-    A column becomes one row with its days, and a batch of columns one product with the weights, which a worker makes
-    once from the seed. A replica in which a column has no spread counts as minus infinity. Columns whose z is under
+    A column becomes one row with its days, and a slice of a batch of columns one product with the weights, which a worker
+    makes once from the seed; slices have ``TOGETHER`` numbers, so what a worker holds doesn't grow with the columns. A replica in which a column has no spread counts as minus infinity. Columns whose z is under
     -sqrt(2 ln ln days) get their z added to their deviations, so that poor columns don't raise the largest ones; those
     without any spread have z 0 and deviations of minus infinity.
     """
@@ -44,35 +48,42 @@ def sharpe_deviations(
         good = var > 1e-12
         return np.where(good, m / np.sqrt(np.where(good, var, 1.0) * days / (days - 1.0)), -np.inf)
 
-    def run(batches):
-        w = weights(days, block, replicas)
-        for rows in batches:
-            x = np.zeros((len(rows), days))
-            for i, (at, profit) in enumerate(zip(rows["at"], rows["profit"], strict=True)):
-                x[i, np.asarray(at) - first] = profit
-            own = ratios(x.mean(axis=1), (x * x).mean(axis=1))
-            with np.errstate(invalid="ignore"):
-                dev = ratios(x @ w.T / days, (x * x) @ w.T / days) - own[:, None]
-                finite = np.where(np.isfinite(dev), dev, np.nan)
-                flat = ~np.isfinite(finite).any(axis=1)
-                finite[flat] = 0.0
-                spread = np.nanstd(finite, axis=1, ddof=1)
-            flat |= ~(spread > 0)
-            z = np.where(flat, 0.0, own / np.where(flat, 1.0, spread))
-            out = np.where(flat[:, None] | np.isnan(dev), -np.inf, dev / np.where(flat, 1.0, spread)[:, None])
-            out[z < -math.sqrt(2.0 * math.log(math.log(days)))] += z[z < -math.sqrt(2.0 * math.log(math.log(days))), None]
-            yield pd.DataFrame({key: rows[key], "sharpe": np.where(np.isfinite(own), own, 0.0), "z": z, "deviation": list(out)})
+    def studied(at: list[np.ndarray], profit: list[np.ndarray], w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.zeros((len(at), days))
+        for i, (own_days, gains) in enumerate(zip(at, profit, strict=True)):
+            x[i, own_days - first] = gains
+        own = ratios(x.mean(axis=1), (x * x).mean(axis=1))
+        with np.errstate(invalid="ignore"):
+            dev = ratios(x @ w.T / days, (x * x) @ w.T / days) - own[:, None]
+            finite = np.where(np.isfinite(dev), dev, np.nan)
+            flat = ~np.isfinite(finite).any(axis=1)
+            finite[flat] = 0.0
+            spread = np.nanstd(finite, axis=1, ddof=1)
+        flat |= ~(spread > 0)
+        z = np.where(flat, 0.0, own / np.where(flat, 1.0, spread))
+        out = np.where(flat[:, None] | np.isnan(dev), -np.inf, dev / np.where(flat, 1.0, spread)[:, None])
+        out[z < -math.sqrt(2.0 * math.log(math.log(days)))] += z[z < -math.sqrt(2.0 * math.log(math.log(days))), None]
+        return np.where(np.isfinite(own), own, 0.0), z, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, step = weights(days, block, replicas), max(1, TOGETHER // max(days, replicas))
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                rows = batch.slice(start, step)
+                sharpe, z, out = studied(lists(rows.column("at")), lists(rows.column("profit")), w)
+                deviation = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * replicas, out.ravel())
+                yield pa.RecordBatch.from_arrays([rows.column(key), pa.array(sharpe), pa.array(z), deviation], [key, "sharpe", "z", "deviation"])
 
     kind = daily.schema[key].dataType.simpleString()
     columns = daily.groupBy(key).agg(F.collect_list("idx").alias("at"), F.collect_list("profit").alias("profit"))
-    return columns.mapInPandas(run, f"{key} {kind}, sharpe double, z double, deviation array<double>")
+    return columns.mapInArrow(run, f"{key} {kind}, sharpe double, z double, deviation array<double>")
 
 
 def reality_check(columns: DataFrame) -> DataFrame:
     """Share of replicas whose largest deviation reaches the best z."""
-    best = columns.agg(F.max("z").alias("best"))
-    tops = columns.select(F.posexplode("deviation").alias("replica", "d")).groupBy("replica").agg(F.max("d").alias("top"))
-    return tops.join(F.broadcast(best)).agg(F.count("*").alias("replicas"), F.avg((F.col("top") >= F.col("best")).cast("double")).alias("p"))
+    # The best z is the same for every replica, so the columns are made once.
+    tops = columns.select("z", F.posexplode("deviation").alias("replica", "d")).groupBy("replica").agg(F.max("d").alias("top"), F.max("z").alias("best"))
+    return tops.agg(F.count("*").alias("replicas"), F.avg((F.col("top") >= F.col("best")).cast("double")).alias("p"))
 
 
 def step_down(columns: DataFrame, key: str) -> DataFrame:

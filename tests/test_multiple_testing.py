@@ -78,6 +78,35 @@ def test_hash_weights_and_deviations(spark):
         assert np.allclose(got[c].deviation, dev / dev.std(ddof=1) + (z if z < -math.sqrt(2 * math.log(math.log(23))) else 0))
 
 
+def test_columns_are_studied_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(c, d, float(rng.normal())) for c in range(40) for d in range(20)]
+    daily = spark.createDataFrame(rows, "col long, idx long, profit double").repartition(1)
+    want = {r.col: (r.z, r.deviation) for r in stats.sharpe_deviations(daily, "col", 20, 0, 3, 25).collect()}
+    monkeypatch.setattr(stats, "TOGETHER", 150, raising=False)
+
+    class Narrow:
+        """Weights that meet no more numbers at once."""
+
+        __array_ufunc__ = None
+
+        def __init__(self, w):
+            self.w = w
+
+        @property
+        def T(self):  # noqa: N802
+            return self
+
+        def __rmatmul__(self, x):
+            assert len(x) * 25 <= 150
+            return x @ self.w.T
+
+    got = stats.sharpe_deviations(daily, "col", 20, 0, 3, 25, lambda *of: Narrow(stats.bootstrap_weights(*of))).collect()
+    assert {r.col for r in got} == set(want) == set(range(40))
+    for r in got:
+        np.testing.assert_allclose([r.z, *r.deviation], [want[r.col][0], *want[r.col][1]], rtol=1e-9, atol=1e-12)
+
+
 def test_tables_go_with_their_block(spark, tmp_path):
     with Tables(spark) as tables:
         kept, gone = tables.kept(spark.range(3)), tables.stored(spark.range(3))
