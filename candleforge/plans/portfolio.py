@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candleforge.operators import portfolios, trades
 from candleforge.plans.catalog import T, query, r
+from candleforge.sources.shared import Tables
 
 #: Strategies at most, sizes of sets, months of a subperiod. The return flag stands in for the timeframe, so there are six
 #: groups of timeframe and side to cover.
@@ -45,7 +46,8 @@ def portfolio_subperiods(spark, sf_dir):
     """Every set of the capped strategies that has both sides of each timeframe, by its weighted rank over subperiods."""
     flag = F.substring("symbol", 1, 1)
     rows = trades.trades(spark, sf_dir).select(F.concat_ws("|", "strategy", flag, "side").alias("id"), F.concat(flag, "side").alias("grp"), F.col("sell_day").alias("day"), "profit")
-    daily = rows.groupBy("id", "grp", "day").agg(F.sum("profit").alias("profit"))
+    # At most a row for each strategy and day, stored so that lines and orders are joined once.
+    daily = Tables(spark).kept(rows.groupBy("id", "grp", "day").agg(F.sum("profit").alias("profit")))
     gains = daily.groupBy("id", "grp").agg(F.sum("profit").alias("p"))
     order = gains.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("p"), "id")).cast("long"))
     ids = portfolios.numbered_ids(trades.round_robin(order.select("id", "grp", "rank"), CAP).select("id", "grp")).persist()
