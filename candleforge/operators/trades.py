@@ -41,9 +41,11 @@ TRADING_INDEX_SQL = "(floor((sell_day - 4) / 7.0) * 5 + least(((sell_day - 4) %
 
 def daily_profit(rows: DataFrame, key: str = "strategy") -> DataFrame:
     """Profit by key and trading day, with zeros on days without sales between the first and last one."""
-    sums = rows.groupBy(key, trading_index(F.col("sell_day")).alias("idx")).agg(F.sum("profit").alias("profit"))
-    spans = sums.groupBy(key).agg(F.explode(F.sequence(F.min("idx"), F.max("idx"))).alias("idx"))
-    return spans.join(sums, [key, "idx"], "left").select(key, "idx", F.coalesce("profit", F.lit(0.0)).alias("profit"))
+    sums = rows.groupBy(key, trading_index(F.col("sell_day")).alias("idx")).agg(F.sum("profit").alias("profit")).filter(F.col(key).isNotNull() & F.col("idx").isNotNull())
+    # Each row goes on to the day before the next, so the trades are read once.
+    following = F.coalesce(F.lead("idx").over(Window.partitionBy(key).orderBy("idx")), F.col("idx") + 1)
+    days = sums.withColumn("_to", following - 1).select(key, F.col("idx").alias("_from"), "profit", F.explode(F.sequence("idx", "_to")).alias("idx"))
+    return days.select(key, "idx", F.when(F.col("idx") == F.col("_from"), F.coalesce("profit", F.lit(0.0))).otherwise(0.0).alias("profit"))
 
 
 def equity(daily: DataFrame, key: str = "strategy", capital: float = CAPITAL) -> DataFrame:

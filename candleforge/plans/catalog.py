@@ -13,6 +13,7 @@ from candleforge.operators import etl, exits, rules, screening, stats, trades, w
 from candleforge.functions.stretches import in_order, stretched
 from candleforge.operators.indicators import REGISTRY, grid_values, indicator_sql, with_indicator
 from candleforge.sources.bars import SECONDS, bars, bars_sql, table, ticks
+from candleforge.sources.shared import Tables
 from candleforge.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,7 +305,8 @@ def pair_rectangles(spark, sf_dir):
 
 # Trades.
 def _daily(spark, sf_dir) -> DataFrame:
-    return trades.daily_profit(trades.trades(spark, sf_dir))
+    """The daily profits, at most a row for each strategy and day, stored so that lines and orders are joined once."""
+    return Tables(spark).kept(trades.daily_profit(trades.trades(spark, sf_dir)))
 
 
 @query(f"SELECT strategy, idx, round(profit, 8) AS profit FROM {DAILY_SQL}")

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from candleforge.operators import portfolios
+from candleforge.operators import portfolios, trades
+from candleforge.plans import catalog, portfolio
 
 GROUPS = ["1H-L", "1H-S", "4H-L", "4H-L", "1H-L", "4H-L", "1H-S"]
 
@@ -89,3 +90,33 @@ def test_scores_and_ranks(spark, ids, metric):
         assert all(found.loc[c, f"r{i}"] == ranks.get(c, len(found)) for c in found.index)
         total += found[f"r{i}"] * portfolios.weights(3)[i]
     assert np.allclose(total, found["weighted_rank"])
+
+
+def test_daily_profit_reads_trades_once(spark):
+    rows = [("a", 4, 1.0), ("a", 4, 2.0), ("a", 13, 5.0), ("b", 20, -1.0), ("a", None, 9.0), (None, 5, 9.0), ("b", 21, None)]
+    frame = spark.createDataFrame(rows, "strategy string, sell_day long, profit double").repartition(2)
+    daily = trades.daily_profit(frame)
+    at = lambda day: (day - 4) // 7 * 5 + min((day - 4) % 7, 4)
+    want = [("a", i, {0: 3.0, at(13): 5.0}.get(i, 0.0)) for i in range(at(13) + 1)] + [("b", i, -1.0 if i == at(20) else 0.0) for i in range(at(20), at(21) + 1)]
+    assert sorted(map(tuple, daily.collect())) == want
+    assert "Join" not in daily._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("module", "query"), [(catalog, "portfolio_rank"), (portfolio, "portfolio_subperiods")])
+def test_lines_and_orders_are_joined_once(spark, tmp_path, monkeypatch, module, query):
+    """What the queries read after the daily profits are stored does not hold the trades."""
+    real = trades.trades
+    spark.createDataFrame([(i, i % 5, 1 + i % 2, float(100 + i % 7), 0.0, "AR"[i % 2], "F", 9000 + i * 7, 8990 + i * 7) for i in range(60)], "k int, p int, n int, price double, disc double, flag string, status string, ship int, day int").createOrReplaceTempView("made")
+    text = "SELECT {} FROM made"
+    spark.sql(text.format("CAST(k AS BIGINT) l_orderkey, n l_linenumber, price l_extendedprice, 0.04 + k % 3 * 0.02 l_discount, 0.0 l_tax, 1.0 l_quantity, flag l_returnflag, status l_linestatus, date_add(DATE '1970-01-01', ship) l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql(text.format("CAST(k AS BIGINT) o_orderkey, concat(p, '-X') o_orderpriority, date_add(DATE '1970-01-01', day) o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    count = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            count.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(module.trades, "trades", lambda *of: real(*of).mapInArrow(seen, real(*of).schema))
+    assert catalog.QUERIES[query](spark, str(tmp_path)).count() > 0
+    assert count.value == 60
