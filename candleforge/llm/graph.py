@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import Scratch
+from candleforge.llm.common import Scratch, map_arrow
+from candleforge.llm.shingles import BASE, mixed
+
+#: Hash slots whose counts order the elements of sets, and words of a set's bitmap.
+SLOTS, WORDS = 1 << 18, 8
+BITS = [f"bits{k}" for k in range(WORDS)]
+
+
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lists' values in a row, and their sizes."""
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+
+
+def slots_of(elements: np.ndarray) -> np.ndarray:
+    return (mixed(elements.view(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
 
 
 def _with_least(edges: DataFrame, own: bool, scratch: Scratch) -> DataFrame:
@@ -45,101 +61,126 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """For each of SLOTS hash slots, the nodes with an element in it, repeats included; 0 where all are of one part."""
+
+    def batch_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        elements, sizes = flat_lists(batch.column("set"))
+        slots, part = slots_of(elements), np.repeat(batch.column("p").to_numpy(), sizes)
+        order = np.argsort(slots, kind="stable")
+        slots, part = slots[order], part[order]
+        at = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]][: len(slots)])
+        low, high = (f.reduceat(part, at) if len(at) else part for f in (np.minimum, np.maximum))
+        counts = np.diff(np.r_[at, len(slots)])
+        return pa.RecordBatch.from_arrays([pa.array(slots[at].astype(np.int32)), pa.array(counts, pa.int64()), pa.array(low), pa.array(high)], ["slot", "often", "low", "high"])
+
+    rows = map_arrow(sets.select(F.xxhash64("part").alias("p"), "set"), batch_counts, "slot int, often long, low long, high long")
+    found = rows.groupBy("slot").agg(F.sum("often").alias("often"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = found.filter("low != high").select("slot", F.least("often", F.lit((1 << 31) - 1)).cast("int").alias("often")).toPandas()
+    out = np.zeros(SLOTS, np.int32)
+    out[found["slot"].to_numpy()] = found["often"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
+    """node, part, n, element, most and the words of the node's bitmap, for the first elements of each node."""
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def batch_prefixes(batch: pa.RecordBatch) -> pa.Table:
+        out = []
+        for begin in range(0, batch.num_rows, 256):
+            rows = batch.slice(begin, 256)
+            elements, n = flat_lists(rows.column("set"))
+            of, slots = np.repeat(np.arange(len(n)), n), slots_of(elements)
+            bits = np.zeros((len(n), 64 * WORDS), np.uint8)
+            np.bitwise_xor.at(bits, (of, (mixed(elements.view(np.uint64) ^ np.uint64(BASE)) % np.uint64(64 * WORDS)).astype(np.int64)), 1)
+            words = np.packbits(bits, axis=1).view(np.int64)
+            order = np.lexsort((elements, shared.value[slots], of))
+            elements, count = elements[order], shared.value[slots][order]
+            left = n[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+            # The largest partner of which the elements from here on can be enough.
+            most = (100 + percent) * left // percent - n[of]
+            keep = np.flatnonzero((100 * most >= percent * n[of]) & (count > 0))
+            own = rows.select(["node", "part"]).take(pa.array(of[keep]))
+            columns = [pa.array(n[of][keep].astype(np.int32)), pa.array(elements[keep]), pa.array(most[keep].astype(np.int32)), *[pa.array(words[of[keep], k]) for k in range(WORDS)]]
+            out.append(pa.RecordBatch.from_arrays([*own.columns, *columns], ["node", "part", "n", "element", "most", *BITS]))
+        return pa.Table.from_batches(out)
+
+    kinds = [sets.schema[c].dataType.simpleString() for c in ("node", "part")]
+    schema = f"node {kinds[0]}, part {kinds[1]}, n int, element long, most int, " + ", ".join(f"{b} long" for b in BITS)
+    return map_arrow(sets.select("node", "part", "set"), batch_prefixes, schema)
+
+
 def close_pairs(elements: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``close_sets`` of ``elements`` (node, part, n, element), a row for each element of the nodes' sets of size n."""
+    return close_sets(elements.groupBy("node", "part").agg(F.collect_set("element").alias("set")), percent, scratch)
+
+
+def close_sets(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of nodes of different parts that may have Jaccard similarity ``percent`` or more.
 
-    A prefix filter: ``elements`` (node, part, n, element), the nodes' sets of size n, are put in one order, first those that only one part
-    has, then by rising frequency. At the first element i of n that a similar pair has in common, each has 1 + n - i
-    elements left that may be shared, which bounds the sizes that its partner can have. So only a node's first elements
-    are joined, and of these only those under which another node fits the bound. No similar pair is lost.
+    A prefix filter: the elements of each node (node, part, set) are put in one order, first those in hash slots that
+    only one part has, then by rising count of their slot. At the first element i of n that a similar pair has in
+    common, each has 1 + n - i elements left that may be shared, which bounds the sizes that its partner can have. So
+    only a node's first elements leave its task, and of these only those under which another node fits the bound are
+    joined. Any order that all nodes share will do, so counts of slots, of fixed number, serve as well as exact ones.
+    Each node has a bitmap in which an element turns over one bit; as many bits as differ in two of them, so many
+    elements at least do, and pairs with too many aren't made. No similar pair is lost.
     """
-    rows = scratch.stored(elements)
-    spread = rows.groupBy("element").agg(F.count("*").alias("often"), F.min("part").alias("low"), F.max("part").alias("high"))
-    spread = scratch.stored(spread.filter("low != high").select("element", "often"))
-    # The last elements of a node are those of its window that more than one part has, so places count from its end.
-    order = Window.partitionBy("node").orderBy(F.desc("often"), F.desc("element"))
-    placed = rows.join(spread, "element").withColumn("at", F.col("n") + 1 - F.row_number().over(order))
-    # The largest partner of which the elements from here on can be enough.
-    most = (100 + percent) * (1 + F.col("n") - F.col("at")) / percent - F.col("n")
-    placed = scratch.stored(placed.withColumn("most", most).filter(100 * F.col("most") >= percent * F.col("n")).select("node", "part", "element", "n", "most"))
+    rows = scratch.stored(sets)
+    placed = scratch.stored(prefixes(rows, slot_counts(rows), percent))
     for _ in range(2):
         fits = placed.groupBy("element").agg(F.min("n").alias("least_n"), F.max("most").alias("largest"), F.min("part").alias("low"), F.max("part").alias("high"))
         fits = scratch.stored(fits.filter("low != high"))
         left = scratch.stored(placed.join(fits, "element").filter("most >= least_n AND largest >= n").select(*placed.columns))
-        scratch.forget(placed)
+        scratch.forget(placed, fits)
         placed = left
-    other = placed.withColumnsRenamed({"node": "b", "part": "part_b", "n": "n_b", "most": "most_b"})
-    pairs = placed.join(other, "element").filter("part < part_b AND n <= most_b AND n_b <= most")
+    other = placed.withColumnsRenamed({c: f"{c}_b" for c in placed.columns if c not in ("element", "node")} | {"node": "b"})
+    differ = " + ".join(f"bit_count({b} ^ {b}_b)" for b in BITS)
+    pairs = placed.join(other, "element").filter(f"part < part_b AND n <= most_b AND n_b <= most AND {100 + percent} * ({differ}) <= {100 - percent} * (n + n_b)")
     return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
 def linked_components(
     slots: DataFrame,
     confirm: Callable[[DataFrame], DataFrame],
-    elements: Callable[[DataFrame], DataFrame],
+    sets: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     percent: int = 80,
-    rounds: tuple[int, ...] = (1, 4, 16),
 ) -> DataFrame | None:
     """Components (``node``, ``component``) of the links that ``confirm`` finds among nodes that share a ``key``.
 
-    ``slots`` (node, key), stored, has the buckets of two nodes or more. In each of the ``rounds`` a bucket proposes its
-    nodes' pairs with a few pivots, not all pairs. The first pivot is the node with the most company in its buckets,
-    which the text that others were made from has; later ones are of the components with the fewest nodes in the bucket,
-    as these are soonest gone through. A pivot has met its whole bucket and leaves it. A bucket whose other nodes are
-    all in one component is settled, as more links inside it change nothing. Then the nodes of the buckets that aren't
-    settled are compared across components by ``close_pairs`` over their sets (``elements`` makes node, part, n, element
-    of a table of node, part), so no link between nodes that share a bucket is lost. ``confirm`` gets distinct pairs
-    (a > b) and returns the true ones. Without a link the result is None.
+    ``slots`` (node, key), stored, has the buckets of two nodes or more. A bucket proposes its nodes' pairs with one
+    pivot, not all pairs: the node with the most company in its buckets, which the text that others were made from has.
+    A pivot has met its whole bucket and leaves it. A bucket whose other nodes are all in one component is settled, as
+    more links inside it change nothing. Then the nodes of the buckets that aren't settled are compared across
+    components by ``close_sets`` (``sets`` makes node, part, set of a table of node, part), so no link between nodes
+    that share a bucket is lost. ``confirm`` gets distinct pairs (a > b) and returns the true ones. Without a link the
+    result is None.
     """
     sizes = scratch.stored(slots.groupBy("key").agg(F.count("*").alias("n")))
     company = scratch.stored(slots.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company")))
-    state = scratch.stored(slots.join(company, "node").withColumn("part", F.col("node")))
+    state = scratch.stored(slots.join(company, "node"))
     scratch.forget(sizes, company)
-    links = tried = parts = None
-
-    def follow(pairs: DataFrame) -> bool:
-        """Confirms pairs that weren't met before; whether that has changed the components."""
-        nonlocal links, tried, parts
-        pairs = scratch.stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = scratch.stored(confirm(pairs))
-        tried = pairs if tried is None else tried.union(pairs)
-        if found.isEmpty():
-            return False
-        links = found if links is None else links.union(found)
-        with Scratch(scratch.spark) as own:
-            before, parts = parts, scratch.stored(components(links, own))
-        scratch.forget(before)
-        return True
-
-    for turn, most in enumerate((*rounds, None)):
-        if most is None:
-            members = scratch.stored(state.select("node", "part").distinct())
-            with Scratch(scratch.spark) as own:
-                pairs = scratch.stored(close_pairs(elements(members), percent, own))
-            follow(pairs)
-            break
-        if turn:
-            own_size = state.groupBy("key", "part").agg(F.count("*").alias("own"))
-            # Spark keeps the first ``most`` rows of a key in each partition before it shuffles them.
-            order = Window.partitionBy("key").orderBy("own", F.desc("company"), "node")
-            pivots = state.join(own_size, ["key", "part"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-        else:
-            best = F.min_by(F.struct("node", "part"), F.struct(-F.col("company"), F.col("node")))
-            pivots = state.groupBy("key").agg(best.alias("x")).select("key", "x.node", "x.part")
-        pivots = scratch.stored(pivots.select("key", F.col("node").alias("pivot"), F.col("part").alias("pivot_part")))
-        met = state.join(pivots, "key").filter("part != pivot_part")
-        follow(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
-        left = state.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("node", "key", "company")
-        if parts is not None:
-            left = left.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        else:
-            left = left.withColumn("part", F.col("node"))
-        left = scratch.stored(left)
-        open_keys = scratch.stored(left.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key"))
-        after = scratch.stored(left.join(open_keys, "key"))
-        scratch.forget(state, pivots, left, open_keys)
-        state = after
-        if state.isEmpty():
-            break
-    return parts
+    best = F.min_by("node", F.struct(-F.col("company"), F.col("node")))
+    pivots = scratch.stored(state.groupBy("key").agg(best.alias("pivot")))
+    met = state.join(pivots, "key").filter("node != pivot")
+    tried = scratch.stored(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
+    links = scratch.stored(confirm(tried))
+    parts = None if links.isEmpty() else scratch.stored(components(links, scratch))
+    left = state.select("node", "key").join(pivots.withColumnRenamed("pivot", "node"), ["key", "node"], "left_anti")
+    left = left.withColumn("part", F.col("node")) if parts is None else left.join(parts, "node", "left").select("node", "key", F.coalesce("component", "node").alias("part"))
+    left = scratch.stored(left)
+    scratch.forget(state, pivots)
+    open_keys = scratch.stored(left.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key"))
+    members = scratch.stored(left.join(open_keys, "key", "left_semi").select("node", "part").distinct())
+    scratch.forget(left, open_keys)
+    if members.isEmpty():
+        return parts
+    with Scratch(scratch.spark) as own:
+        pairs = scratch.stored(close_sets(sets(members), percent, own).join(tried, ["a", "b"], "left_anti"))
+    more = scratch.stored(confirm(pairs))
+    scratch.forget(tried, pairs, members)
+    if more.isEmpty():
+        return parts
+    return scratch.stored(components(links.union(more), scratch))

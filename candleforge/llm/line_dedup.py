@@ -200,25 +200,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_arrow(rows, verify, "a long, b long")
 
 
-def elements_of(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, part, size n of the node's set, and element, a row for each of its shingle hashes."""
+def sets_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, part and the set of the node's shingle hashes."""
 
-    def batch_elements(batch: pa.RecordBatch) -> pa.Table:
+    def batch_sets(batch: pa.RecordBatch) -> pa.Table:
         done, out = 0, []
         for run in slices(batch.column("line"), SLICE):
             hashes, offsets = shingle_hashes(run)
             for rows, width in alike(np.diff(offsets)):
                 sets = without_repeats(matrix_of(hashes, offsets, rows, width))
                 inside = sets != END
-                n = inside.sum(axis=1)
-                own = batch.select(["node", "part"]).take(pa.array(np.repeat(done + rows, n)))
-                columns = [*own.columns, pa.array(np.repeat(n, n).astype(np.int32)), pa.array(sets[inside].view(np.int64))]
-                out.append(pa.RecordBatch.from_arrays(columns, ["node", "part", "n", "element"]))
+                ends = np.r_[0, np.cumsum(inside.sum(axis=1))].astype(np.int32)
+                own = batch.select(["node", "part"]).take(pa.array(done + rows))
+                out.append(pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(sets[inside].view(np.int64)))], ["node", "part", "set"]))
             done += len(run)
         return pa.Table.from_batches(out)
 
     own = texts.withColumnRenamed("h", "node").join(members, "node").select("node", "part", "line")
-    return map_arrow(own, batch_elements, "node long, part long, n int, element long")
+    return map_arrow(own, batch_sets, "node long, part long, set array<long>")
 
 
 def firsts(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
@@ -242,7 +241,7 @@ def firsts(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scr
     texts = lines.join(nodes, "h", "left_semi").groupBy("h").agg(F.min_by(F.struct("h2", "line"), "h2").alias("x"))
     texts = scratch.stored(texts.select("h", "x.h2", "x.line"))
     scratch.forget(nodes)
-    parts = linked_components(met, lambda pairs: confirmed(pairs, texts, percent), lambda members: elements_of(members, texts), scratch, percent)
+    parts = linked_components(met, lambda pairs: confirmed(pairs, texts, percent), lambda members: sets_of(members, texts), scratch, percent)
     if parts is None:
         return repeated
     parts = parts.withColumnRenamed("node", "h").join(texts.select("h", "h2"), "h")

@@ -8,8 +8,8 @@ estimates the Jaccard similarity with concentration bounds like those of t indep
 Documents with the same set form one class, represented by its least id, so copies meet only in that aggregation.
 Classes are banded. A bucket proposes links to one pivot, not all its pairs; a proposal is confirmed on the full sets.
 Confirmed links make components; a bucket whose members are all in one component is settled, as more links in it change
-nothing. The others try a new pivot, and what is left then is compared across components by a prefix filter over the
-full sets, so no link between different sets that share a bucket is lost and no bucket's pairs are all made.
+nothing. What is left then is compared across components by a prefix filter over the full sets, so no link between
+different sets that share a bucket is lost and no bucket's pairs are all made.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; texts with
 fewer words than a shingle have their whole sequence as one; texts of any length are taken whole. Rows that share an id
@@ -130,18 +130,17 @@ def texts_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return map_arrow(own.select("doc_id", "text", "digest"), same, f"doc_id {kind}, text string").dropDuplicates(["doc_id"])
 
 
-def elements_of(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """node, part, size n of the node's set, and element, a row for each of its shingle hashes."""
+def sets_of(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """node, part and the set of the node's shingle hashes."""
 
-    def batch_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def batch_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, offsets = shingle_sets(batch.column("text"), size)
-        n = np.diff(offsets)
-        own = batch.select(["node", "part"]).take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
-        return pa.RecordBatch.from_arrays([*own.columns, pa.array(np.repeat(n, n).astype(np.int32)), pa.array(hashes.view(np.int64))], ["node", "part", "n", "element"])
+        sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("part"), sets], ["node", "part", "set"])
 
     own = texts.withColumnRenamed("doc_id", "node").join(members, "node").select("node", "part", "text")
     kind = own.schema["node"].dataType.simpleString()
-    return map_arrow(own, batch_shingles, f"node {kind}, part {kind}, n int, element long")
+    return map_arrow(own, batch_sets, f"node {kind}, part {kind}, set array<long>")
 
 
 def near_duplicates(
@@ -165,7 +164,7 @@ def near_duplicates(
         if not met.isEmpty():
             nodes = scratch.stored(met.select(F.col("node").alias("doc_id")).distinct().join(digests, "doc_id"))
             texts = scratch.stored(texts_of(docs, nodes, size))
-            parts = linked_components(met, lambda pairs: confirmed(pairs, texts, size, percent), lambda n: elements_of(n, texts, size), scratch, percent)
+            parts = linked_components(met, lambda pairs: confirmed(pairs, texts, size, percent), lambda n: sets_of(n, texts, size), scratch, percent)
             if parts is not None:
                 found = parts.withColumnsRenamed({"node": "class", "component": "found"})
                 class_of = class_of.join(found, "class", "left").select("doc_id", F.coalesce("found", "class").alias("class"))

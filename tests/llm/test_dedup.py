@@ -63,6 +63,34 @@ def test_close_pairs_miss_no_similar_pair(spark, percent):
     assert all(part[a] != part[b] for a, b in got)
 
 
+def test_linked_components_of_a_cloud_take_few_pairs(spark):
+    """Sets of one bucket that are mostly not quite similar: pairs in proportion to the sets, and no link lost."""
+    rng = random.Random(11)
+    base = set(range(300))
+    sets = {0: base}
+    for i in range(1, 160):
+        sets[i] = {x for x in base if rng.random() < 0.8} | {rng.randrange(10**4) + 10**6 for _ in range(8)}
+    # Two that are near each other only, and one near those through the first.
+    sets[200] = set(sorted(sets[7])[5:]) | {10**7 + 1}
+    sets[201] = set(sorted(sets[200])[:-5]) | {10**7 + 2}
+    linked = [(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    asked = []
+
+    def confirm(pairs):
+        own = [tuple(r) for r in pairs.collect()]
+        asked.extend(own)
+        return spark.createDataFrame([p for p in own if p in set(linked)], "a long, b long")
+
+    lists = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, set array<long>")
+    with Scratch(spark) as scratch:
+        slots = scratch.stored(spark.createDataFrame([(i, 1) for i in sets], "node long, key long"))
+        parts = graph.linked_components(slots, confirm, lambda members: members.join(lists, "node").select("node", "part", "set"), scratch)
+        got = {r.node: r.component for r in parts.collect()}
+    expected = groups(sets, linked)
+    assert expected[201] == expected[200] == expected[7] and {i: got.get(i, i) for i in sets} == expected
+    assert len(asked) == len(set(asked)) < 4 * len(sets)
+
+
 def test_sketches_fill_every_bin_and_estimate():
     rng = np.random.default_rng(3)
     x = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
