@@ -40,9 +40,10 @@ LEAST, GRAM = 100, 32
 RUN = 255
 #: A key is hot above this many runs and above this share of all runs, so there are at most 1 / HOT_SHARE hot keys.
 HOT, HOT_SHARE = 2_000, 1 / 500_000
-HOT_PARTS = 64
 #: Bytes of text for each file of runs and for each group of texts, whatever the number of shuffle partitions.
 FILE_BYTES, GROUP_BYTES = 8 << 20, 2 << 20
+#: Bytes of text that are worked on at once, so that work arrays of some 60 bytes for each stay small; a longer text, or the runs of one key, go alone.
+SLICE = 1 << 20
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -133,7 +134,7 @@ def filed_keys(docs: DataFrame, files: int, least: int, gram: int) -> DataFrame:
     def batch_runs(batch: pa.RecordBatch) -> pa.Table | None:
         ids = batch.column("doc_id").to_numpy()
         found, begin = [], 0
-        for run in slices(batch.column("text")):
+        for run in slices(batch.column("text"), SLICE):
             data, offsets = bytes_of(run)
             key, text, start, end, inside = runs_of(data, offsets, least, gram)
             whole = range_hashes(data, offsets[text] + start, offsets[text] + end + least)
@@ -146,12 +147,13 @@ def filed_keys(docs: DataFrame, files: int, least: int, gram: int) -> DataFrame:
         first = np.sort(first)
 
         def row(at: np.ndarray, sure: bool) -> tuple:
-            return (int(key[at[0]] % np.uint64(files)), sure, b"" if sure else (key[at] >> np.uint64(25)).astype(np.uint32).tobytes(), b"" if sure else whole[at].tobytes(),
+            # Any file passes on what is marked for sure; by document, so that the batches' don't meet in one.
+            by = mixed(doc[at[:1]].astype(np.uint64)) if sure else key[at[:1]]
+            return (int(by[0] % np.uint64(files)), sure, b"" if sure else (key[at] >> np.uint64(25)).astype(np.uint32).tobytes(), b"" if sure else whole[at].tobytes(),
                     _deltas(doc[at]), start[at].tobytes(), more[at].tobytes(), b"" if sure else inside[at].tobytes())
 
         rows = [row(first[p], False) for p in _split(key[first] % np.uint64(files))]
         if len(twins):
-            # Marked for sure; any file may pass them on.
             rows.append(row(np.sort(twins), True))
         kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 6)
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "sure", "keys", "wholes", "docs", "starts", "sizes", "inside"])
@@ -184,8 +186,8 @@ def sorted_runs(filed: DataFrame, hot: int) -> DataFrame:
     return filed.groupBy("file").applyInPandas(in_file, "doc_id long, first int, last int, wanted boolean, hot_key long")
 
 
-def filed_runs(docs: DataFrame, wanted: DataFrame, hot_keys: np.ndarray, files: int, least: int, gram: int) -> DataFrame:
-    """The wanted runs by file, with their bytes."""
+def filed_runs(docs: DataFrame, wanted: DataFrame, hot_keys: np.ndarray, files: int, parts: int, least: int, gram: int) -> DataFrame:
+    """The wanted runs with their bytes, in ``parts`` files; ``files`` are those in which hot keys were found."""
     kinds = {"file": pa.int32(), "keys": pa.binary(), "docs": pa.binary(), "starts": pa.binary(), "ends": pa.binary(), "bytes": pa.binary()}
 
     def in_group(texts: pa.Table, lists: pa.Table) -> pa.Table:
@@ -199,7 +201,7 @@ def filed_runs(docs: DataFrame, wanted: DataFrame, hot_keys: np.ndarray, files:
             have, place = np.unique(place, return_inverse=True)
             marks = np.unique((place.astype(np.int64) << 32) | lists["first"].combine_chunks().to_numpy())
             ids, begin = ids[have], 0
-            for run in slices(texts["text"].combine_chunks().take(pa.array(order[have]))):
+            for run in slices(texts["text"].combine_chunks().take(pa.array(order[have])), SLICE):
                 data, offsets = bytes_of(run)
                 key, text, start, end, _ = runs_of(data, offsets, least, gram)
                 keep = np.isin(((text + begin) << 32) | start, marks)
@@ -209,12 +211,12 @@ def filed_runs(docs: DataFrame, wanted: DataFrame, hot_keys: np.ndarray, files:
                 if len(hot_keys) and (hot := np.isin((key % np.uint64(files)) << np.uint64(32) | (key >> np.uint64(25)) & np.uint64(0xFFFFFFFF), hot_keys)).any():
                     size = (high - low + 1)[hot]
                     one = np.repeat(low[hot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    own_key = mixed(np.repeat(key[hot], size) + range_hashes(data, one, one + least) % np.uint64(HOT_PARTS) + np.uint64(1))
+                    own_key = mixed(np.repeat(key[hot], size) + range_hashes(data, one, one + least))
                     doc, shift = np.concatenate([doc[~hot], np.repeat(doc[hot], size)]), np.concatenate([shift[~hot], np.repeat(shift[hot], size)])
                     key, low, high = np.concatenate([key[~hot], own_key]), np.concatenate([low[~hot], one]), np.concatenate([high[~hot], one])
-                for at in _split(key % np.uint64(files)):
+                for at in _split(key % np.uint64(parts)):
                     blob = b"".join([data[a : b + least].tobytes() for a, b in zip(low[at].tolist(), high[at].tolist(), strict=True)])
-                    rows.append((int(key[at[0]] % np.uint64(files)), key[at].tobytes(), doc[at].tobytes(), (low + shift)[at].astype(np.int32).tobytes(), (high + shift)[at].astype(np.int32).tobytes(), blob))
+                    rows.append((int(key[at[0]] % np.uint64(parts)), key[at].tobytes(), doc[at].tobytes(), (low + shift)[at].astype(np.int32).tobytes(), (high + shift)[at].astype(np.int32).tobytes(), blob))
         if not rows:
             return pa.schema(kinds).empty_table()
         return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
@@ -275,32 +277,51 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.
         done += 8
 
 
+def key_slices(key: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
+    """Numbers of the runs, by key, in slices of about ``most`` bytes; the runs of a key stay together."""
+    order = np.argsort(key, kind="stable")
+    edge = np.r_[0, np.cumsum(size[order])]
+    bounds = np.r_[np.flatnonzero(np.diff(key[order])) + 1, len(order)]
+    out, begin = [], 0
+    while begin < len(order):
+        fits = int(np.searchsorted(edge, edge[begin] + most, side="right")) - 1
+        at = max(int(np.searchsorted(bounds, fits, side="right")) - 1, int(np.searchsorted(bounds, begin, side="right")))
+        out.append(order[begin : bounds[at]])
+        begin = int(bounds[at])
+    return out
+
+
 def marked_strings(filed: DataFrame, least: int) -> DataFrame:
     """First and last start of the strings that start earlier elsewhere, by document."""
 
     def in_file(rows: pd.DataFrame) -> pd.DataFrame:
-        key = np.frombuffer(b"".join(rows["keys"]), np.uint64)
-        doc, start, end = _long(rows["docs"]), _int(rows["starts"]).astype(np.int64), _int(rows["ends"]).astype(np.int64)
-        text = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
-        size = end - start + least
-        low = np.cumsum(size) - size
-        out = [(doc[:0], start[:0], end[:0])]
-        # Cut runs of hot keys may be equal again.
-        twins, single = _twins(key, range_hashes(text, low, low + size), doc, start)
-        out.append((doc[twins], start[twins], end[twins]))
-        n = (end - start + 1)[single]
-        of = np.repeat(single, n)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        who, interval = equal_strings(text, low[of] + inner, least)
-        own_doc, own_start = doc[of[who]], start[of[who]] + inner[who]
-        order = np.lexsort((own_start, own_doc, interval))
-        again = order[np.r_[False, interval[order][1:] == interval[order][:-1]]] if len(order) else order
-        again = again[np.lexsort((own_start[again], own_doc[again]))]
-        own_doc, own_start = own_doc[again], own_start[again]
-        if len(again):
-            new = np.r_[True, (own_doc[1:] != own_doc[:-1]) | (own_start[1:] > own_start[:-1] + 1)]
-            last = np.r_[np.flatnonzero(new)[1:] - 1, len(again) - 1]
-            out.append((own_doc[new], own_start[new], own_start[last]))
+        keys = np.frombuffer(b"".join(rows["keys"]), np.uint64)
+        docs, starts, ends = _long(rows["docs"]), _int(rows["starts"]).astype(np.int64), _int(rows["ends"]).astype(np.int64)
+        texts = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
+        sizes = ends - starts + least
+        lows = np.cumsum(sizes) - sizes
+        out = [(docs[:0], starts[:0], ends[:0])]
+        # Equal strings have one key, so each slice of keys is a work of its own.
+        for part in key_slices(keys, sizes, SLICE):
+            key, doc, start, end, size = keys[part], docs[part], starts[part], ends[part], sizes[part]
+            low = np.cumsum(size) - size
+            text = texts[np.repeat(lows[part] - low, size) + np.arange(size.sum())]
+            # Cut runs of hot keys may be equal again.
+            twins, single = _twins(key, range_hashes(text, low, low + size), doc, start)
+            out.append((doc[twins], start[twins], end[twins]))
+            n = (end - start + 1)[single]
+            of = np.repeat(single, n)
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            who, interval = equal_strings(text, low[of] + inner, least)
+            own_doc, own_start = doc[of[who]], start[of[who]] + inner[who]
+            order = np.lexsort((own_start, own_doc, interval))
+            again = order[np.r_[False, interval[order][1:] == interval[order][:-1]]] if len(order) else order
+            again = again[np.lexsort((own_start[again], own_doc[again]))]
+            own_doc, own_start = own_doc[again], own_start[again]
+            if len(again):
+                new = np.r_[True, (own_doc[1:] != own_doc[:-1]) | (own_start[1:] > own_start[:-1] + 1)]
+                last = np.r_[np.flatnonzero(new)[1:] - 1, len(again) - 1]
+                out.append((own_doc[new], own_start[new], own_start[last]))
         doc, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"doc_id": doc, "first": start.astype(np.int32), "last": end.astype(np.int32)})
 
@@ -334,7 +355,9 @@ def substring_dedup(df: DataFrame, least: int = LEAST, gram: int = GRAM, id_col:
     own_group = F.coalesce(F.pmod("doc_id", F.lit(groups)), F.pmod(F.xxhash64("text"), F.lit(groups))).cast("int")
     grouped = docs.withColumn("group", own_group)
     wanted = in_groups(runs.filter("wanted").select("doc_id", "first"))
-    filed = filed_runs(in_groups(known), wanted, hot_keys, files, least, gram)
+    # Runs overlap, so what is wanted may have several times the texts' bytes.
+    size = runs.filter("wanted").agg(F.sum(F.col("last").cast("long") - F.col("first") + least)).first()[0] or 0
+    filed = filed_runs(in_groups(known), wanted, hot_keys, files, max(files, size // FILE_BYTES + 1), least, gram)
     more = stored(marked_strings(filed, least))
     marked = in_groups(runs.filter("doc_id IS NOT NULL AND NOT wanted").select("doc_id", "first", "last").unionByName(more))
 

@@ -241,6 +241,27 @@ def test_substring_dedup(spark, docs, rows, empty, hot, monkeypatch):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_key_slices_keep_keys_whole():
+    key = np.array([5, 1, 5, 2, 9, 9, 9, 1], np.uint64)
+    size = np.array([10, 4, 10, 5, 30, 30, 30, 4])
+    parts = substring_dedup.key_slices(key, size, 25)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(8))
+    assert [set(key[p].tolist()) for p in parts] == [{1, 2}, {5}, {9}]
+    assert substring_dedup.key_slices(key[:0], size[:0], 25) == []
+
+
+def test_substring_dedup_in_small_slices(spark, monkeypatch):
+    """Strings found whatever the slices of a file, with a hot key cut to single strings."""
+    monkeypatch.setattr(substring_dedup, "SLICE", 700)
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(240))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60, 200))) + passage[rng.randrange(40) :] + "".join(rng.choice("xyz") for _ in range(90)) for _ in range(60)]
+    rows = [*enumerate(texts), (70, texts[3]), (71, texts[9][:150])]
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_substrings([(i, t.encode()) for i, t in rows], 100)
+
+
 def test_shingle_sets_are_sets_of_words():
     texts = ["A b c d e", "a  B\tc d\ne", "", "a b", "x a b c d e"]
     hashes, at = shingle_sets(pa.array(texts), 4)
