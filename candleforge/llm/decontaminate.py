@@ -130,18 +130,21 @@ def rows_of(terms: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.nd
     return row, term, value / norm[row]
 
 
-def times_gram(rows: DataFrame, block: np.ndarray | None, rank: int, idf: np.ndarray) -> np.ndarray:
-    """A'A times ``block`` (random if None), where A has the TF-IDF rows of ``rows``; of fixed size."""
+def times_gram(rows: DataFrame, block: tuple[np.ndarray, np.ndarray] | None, rank: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A'A times ``block`` (random if None), where A has the TF-IDF rows of ``rows``: the terms that have a row, and these.
+
+    Only terms of the benchmark have rows, in the block too, so that the driver holds no more than these.
+    """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((block, idf))
 
     def partial(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         own, own_idf = shared.value
-        x = own if own is not None else np.random.default_rng(SEED).standard_normal((1 << TERM_BITS, rank), np.float32)
         row, term, value = rows_of([np.asarray(t, np.int64) for t in batch.column("terms").to_pylist()], own_idf)
-        dense = np.zeros((batch.num_rows, rank), np.float32)
-        np.add.at(dense, row, x[term] * value[:, None].astype(np.float32))
         used, at = np.unique(term, return_inverse=True)
+        x = own[1][np.searchsorted(own[0], used)] if own else np.random.default_rng(SEED).standard_normal((1 << TERM_BITS, rank), np.float32)[used]
+        dense = np.zeros((batch.num_rows, rank), np.float32)
+        np.add.at(dense, row, x[at] * value[:, None].astype(np.float32))
         out = np.zeros((len(used), rank), np.float32)
         np.add.at(out, at, dense[row] * value[:, None].astype(np.float32))
         return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([v.tobytes() for v in out], pa.binary())], ["term", "part"])
@@ -150,29 +153,28 @@ def times_gram(rows: DataFrame, block: np.ndarray | None, rank: int, idf: np.nda
         vectors = np.stack([np.frombuffer(p, np.float32) for p in parts["part"]])
         return pd.DataFrame({"term": [key[0]], "part": [vectors.sum(axis=0, dtype=np.float64).astype(np.float32).tobytes()]})
 
-    parts = map_arrow(rows, partial, "term int, part binary").groupBy("term").applyInPandas(total, "term int, part binary")
-    out = np.zeros((1 << TERM_BITS, rank), np.float32)
-    for term, part in parts.toPandas().itertuples(index=False):
-        out[term] = np.frombuffer(part, np.float32)
-    shared.unpersist()
-    return out
+    parts = map_arrow(rows, partial, "term int, part binary").groupBy("term").applyInPandas(total, "term int, part binary").toArrow()
+    shared.destroy()
+    terms = parts["term"].to_numpy()
+    out = np.frombuffer(b"".join(x.as_py() for x in parts["part"]), np.float32).reshape(len(terms), rank)
+    order = np.argsort(terms)
+    return terms[order].astype(np.int64), out[order]
 
 
 def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """Terms that the basis touches and their rows of it: the leading right singular vectors of the TF-IDF matrix."""
     wide = rank + SPARE
-    block = times_gram(rows, None, wide, idf)
-    used = np.flatnonzero(block.any(axis=1))
+    used, block = times_gram(rows, None, wide, idf)
     for _ in range(ITERATIONS):
         q = np.zeros_like(block)
-        ortho = np.linalg.qr(block[used])[0]
-        q[used, : ortho.shape[1]] = ortho
-        block = times_gram(rows, q, wide, idf)
-    small = q[used].T.astype(np.float64) @ block[used]
+        ortho = np.linalg.qr(block)[0]
+        q[:, : ortho.shape[1]] = ortho
+        block = times_gram(rows, (used, q), wide, idf)[1]
+    small = q.T.astype(np.float64) @ block
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     keep = np.argsort(values)[::-1][:rank]
     keep = keep[values[keep] > 1e-6 * max(values.max(), 1e-30)]
-    return used, (q[used] @ vectors[:, keep]).astype(np.float32)
+    return used, (q @ vectors[:, keep]).astype(np.float32)
 
 
 def longest_common(a: np.ndarray, b: np.ndarray) -> int:

@@ -137,3 +137,16 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, state, str(tmp_path))
         assert out.columns == state.columns, name
+
+
+def test_gram_rows_are_those_of_the_benchmark_only(spark):
+    """What comes to the driver has a row for each term of the benchmark, not for every term there could be."""
+    rows = spark.createDataFrame([([5, 9, 9],), ([9, 40000],)], "terms array<int>")
+    idf = np.ones(1 << decontaminate.TERM_BITS, np.float32)
+    a = np.zeros((2, 3))
+    a[0, :2], a[1, 1:] = np.array([1, 2]) / 5**0.5, np.array([1, 1]) / 2**0.5
+    used, block = decontaminate.times_gram(rows, (np.array([5, 9, 40000]), np.eye(3, dtype=np.float32)), 3, idf)
+    assert used.tolist() == [5, 9, 40000] and np.allclose(block, a.T @ a, atol=1e-6)
+    start = np.random.default_rng(decontaminate.SEED).standard_normal((1 << decontaminate.TERM_BITS, 4), np.float32)[used]
+    used, block = decontaminate.times_gram(rows, None, 4, idf)
+    assert block.shape == (3, 4) and np.allclose(block, a.T @ a @ start, atol=1e-5)
