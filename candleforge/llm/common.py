@@ -91,5 +91,22 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.
     return df.mapInArrow(run, schema)
 
 
+#: Bits of the map that ``perhaps_in`` sends to every task, 4 MB; Spark's bitmaps have BITMAP bits a row.
+MAP_BITS, BITMAP = 1 << 25, 1 << 15
+
+
+def perhaps_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` isn't in ``keys``, and with all that are.
+
+    A bitmap of hashes, of fixed size, is broadcast, so that a join that follows doesn't shuffle rows that meet nothing.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(MAP_BITS)) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_map"))
+    at = F.bitmap_bit_position(F.col("_bit")).cast("int")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(maps), "_bucket")
+    return marked.filter(F.getbit(byte, at % 8) == 1).select(*rows.columns)
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))

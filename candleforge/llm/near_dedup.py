@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import Scratch, map_arrow, stored, table, text_or_empty
+from candleforge.llm.common import Scratch, map_arrow, perhaps_in, stored, table, text_or_empty
 from candleforge.llm.graph import linked_components
 from candleforge.llm.shingles import BASE, mixed, shingle_sets
 
@@ -119,7 +119,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 def texts_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """One text of each of ``nodes`` (doc_id, digest), of the digest's set."""
-    own = docs.join(nodes, "doc_id")
+    own = perhaps_in(docs, nodes, "doc_id").join(nodes, "doc_id")
 
     def same(batch: pa.RecordBatch) -> pa.RecordBatch:
         digests = set_digests(*shingle_sets(batch.column("text"), size))

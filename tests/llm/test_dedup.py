@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from candleforge.llm import graph, line_dedup, near_dedup, quality, substring_dedup
-from candleforge.llm.common import Scratch
+from candleforge.llm.common import Scratch, perhaps_in
 from candleforge.llm.shingles import shingle_sets
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -130,6 +130,17 @@ def test_rows_with_a_null_id_stay(spark):
     assert len(got) == 4 and {tuple(r) for r in got} == {rows[0], *rows[2:]}
 
 
+def test_perhaps_in_keeps_all_that_meet(spark):
+    """Rows that meet a key stay, and few others, so that a join after it shuffles few texts."""
+    rows = spark.createDataFrame([(i, "t") for i in [*range(-50, 3000), None]], "doc_id long, text string")
+    keys = spark.createDataFrame([(7 * i,) for i in range(-5, 300)], "doc_id long")
+    got = [r.doc_id for r in perhaps_in(rows, keys, "doc_id").collect()]
+    assert {7 * i for i in range(-5, 300)} <= set(got) and len(got) == len(set(got)) < 320
+    assert perhaps_in(rows, keys.filter("doc_id IS NULL"), "doc_id").isEmpty()
+    named = rows.withColumn("doc_id", rows.doc_id.cast("string"))
+    assert {r.doc_id for r in perhaps_in(named, keys.selectExpr("string(doc_id)"), "doc_id").collect()} >= {str(7 * i) for i in range(-5, 300)}
+
+
 def test_near_duplicates_of_a_crowd(spark):
     """Many changed copies of a text, of which some are near and some aren't quite."""
     rng = random.Random(4)
