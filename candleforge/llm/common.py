@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,32 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.
     return df.mapInArrow(run, schema)
 
 
+#: Values of a range that is searched at once, about.
+RANGE = 1 << 18
+
+
+def range_bits(values: int) -> int:
+    """Bits of a hash whose ranges get about RANGE of so many values each."""
+    return min(max(values // RANGE, 1).bit_length(), 16)
+
+
+def in_ranges(hashes: np.ndarray, bits: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A row for each ``range`` (the upper ``bits`` of the values' hashes), with the lists of its values in each column.
+
+    So a value takes the bytes that it has and no row of its own, in a shuffle that brings ranges together.
+    """
+    own = (hashes >> np.uint64(64 - bits)).astype(np.uint16)
+    order, counts = pa.array(np.argsort(own, kind="stable")), np.bincount(own)
+    at = np.flatnonzero(counts)
+    ends = pa.array(np.r_[0, np.cumsum(counts[at])].astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.ListArray.from_arrays(ends, x.take(order)) for x in columns.values())], ["range", *columns])
+
+
+def in_a_row(lists: pa.ChunkedArray) -> pa.Array:
+    """The values of a column of lists."""
+    return lists.combine_chunks().flatten()
+
+
 #: Bits of the map that ``perhaps_in`` sends to every task, 4 MB; Spark's bitmaps have BITMAP bits a row.
 MAP_BITS, BITMAP = 1 << 25, 1 << 15
 

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import Scratch, map_arrow
+from candleforge.llm.common import Scratch, in_a_row, in_ranges, map_arrow, range_bits
 from candleforge.llm.shingles import BASE, mixed
 
 #: Hash slots whose counts order the elements of sets, and words of a set's bitmap.
 SLOTS, WORDS = 1 << 18, 8
+#: Elements of a set for each of which it has to meet a close one once more among their first ones.
+DEPTH = 50
 BITS = [f"bits{k}" for k in range(WORDS)]
 
 
@@ -83,32 +85,69 @@ def slot_counts(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
-    """node, part, n, element, most and the words of the node's bitmap, for the first elements of each node."""
+    """node, part, n, element and most, for those first elements of each node under which another node fits."""
     shared = sets.sparkSession.sparkContext.broadcast(often)
+    # A prefix is about a quarter of its set.
+    bits = range_bits(int(often.sum(dtype=np.int64)) // 4)
+    names = ["node", "part", "n", "element", "most"]
 
-    def batch_prefixes(batch: pa.RecordBatch) -> pa.Table:
+    def batch_prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for begin in range(0, batch.num_rows, 256):
             rows = batch.slice(begin, 256)
             elements, n = flat_lists(rows.column("set"))
             of, slots = np.repeat(np.arange(len(n)), n), slots_of(elements)
-            bits = np.zeros((len(n), 64 * WORDS), np.uint8)
-            np.bitwise_xor.at(bits, (of, (mixed(elements.view(np.uint64) ^ np.uint64(BASE)) % np.uint64(64 * WORDS)).astype(np.int64)), 1)
-            words = np.packbits(bits, axis=1).view(np.int64)
             order = np.lexsort((elements, shared.value[slots], of))
             elements, count = elements[order], shared.value[slots][order]
             left = n[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+            left = np.minimum(left + n[of] // DEPTH, n[of])
             # The largest partner of which the elements from here on can be enough.
             most = (100 + percent) * left // percent - n[of]
             keep = np.flatnonzero((100 * most >= percent * n[of]) & (count > 0))
             own = rows.select(["node", "part"]).take(pa.array(of[keep]))
-            columns = [pa.array(n[of][keep].astype(np.int32)), pa.array(elements[keep]), pa.array(most[keep].astype(np.int32)), *[pa.array(words[of[keep], k]) for k in range(WORDS)]]
-            out.append(pa.RecordBatch.from_arrays([*own.columns, *columns], ["node", "part", "n", "element", "most", *BITS]))
+            columns = [pa.array(n[of][keep].astype(np.int32)), pa.array(elements[keep]), pa.array(most[keep].astype(np.int32))]
+            out.append(pa.RecordBatch.from_arrays([*own.columns, *columns], names))
+        all_of = pa.Table.from_batches(out).combine_chunks()
+        columns = {c: pa.concat_arrays(all_of.column(c).chunks) if all_of.num_rows else out[0].column(c) for c in names}
+        return in_ranges(mixed(columns["element"].to_numpy().view(np.uint64)), bits, columns)
+
+    def fitting(rows: pa.Table) -> pa.Table:
+        columns = {c: in_a_row(rows.column(c)) for c in names}
+        n, element, most = (columns[c].to_numpy() for c in names[2:])
+        part = columns["part"].dictionary_encode().indices.to_numpy()
+        at = np.argsort(element, kind="stable")
+        for _ in range(2):
+            begins = np.flatnonzero(np.diff(element[at], prepend=~element[at[:1]]))
+            if not len(begins):
+                break
+            run = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(at)))
+            low, least_n = (np.minimum.reduceat(x[at], begins)[run] for x in (part, n))
+            high, largest = (np.maximum.reduceat(x[at], begins)[run] for x in (part, most))
+            at = at[(low != high) & (most[at] >= least_n) & (largest >= n[at])]
+        return pa.table(columns).take(pa.array(at))
+
+    kinds = [*(sets.schema[c].dataType.simpleString() for c in ("node", "part")), "int", "long", "int"]
+    lists = ", ".join(f"{c} array<{k}>" for c, k in zip(names, kinds, strict=True))
+    packed = map_arrow(sets.select("node", "part", "set"), batch_prefixes, f"range int, {lists}")
+    return packed.groupBy("range").applyInArrow(fitting, ", ".join(f"{c} {k}" for c, k in zip(names, kinds, strict=True)))
+
+
+def with_bitmaps(sets: DataFrame) -> DataFrame:
+    """node and the words of its bitmap."""
+
+    def batch_maps(batch: pa.RecordBatch) -> pa.Table:
+        out = []
+        for begin in range(0, batch.num_rows, 256):
+            rows = batch.slice(begin, 256)
+            elements, n = flat_lists(rows.column("set"))
+            bits = np.zeros((len(n), 64 * WORDS), np.uint8)
+            places = (mixed(elements.view(np.uint64) ^ np.uint64(BASE)) % np.uint64(64 * WORDS)).astype(np.int64)
+            np.bitwise_xor.at(bits, (np.repeat(np.arange(len(n)), n), places), 1)
+            words = np.packbits(bits, axis=1).view(np.int64)
+            out.append(pa.RecordBatch.from_arrays([rows.column("node"), *[pa.array(words[:, k]) for k in range(WORDS)]], ["node", *BITS]))
         return pa.Table.from_batches(out)
 
-    kinds = [sets.schema[c].dataType.simpleString() for c in ("node", "part")]
-    schema = f"node {kinds[0]}, part {kinds[1]}, n int, element long, most int, " + ", ".join(f"{b} long" for b in BITS)
-    return map_arrow(sets.select("node", "part", "set"), batch_prefixes, schema)
+    return map_arrow(sets.select("node", "set"), batch_maps, f"node {sets.schema['node'].dataType.simpleString()}, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def close_pairs(elements: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -122,23 +161,25 @@ def close_sets(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     A prefix filter: the elements of each node (node, part, set) are put in one order, first those in hash slots that
     only one part has, then by rising count of their slot. At the first element i of n that a similar pair has in
     common, each has 1 + n - i elements left that may be shared, which bounds the sizes that its partner can have. So
-    only a node's first elements leave its task, and of these only those under which another node fits the bound are
-    joined. Any order that all nodes share will do, so counts of slots, of fixed number, serve as well as exact ones.
+    only a node's first elements leave its task, in lists by range of their hash, and of these only those under which
+    another node fits the bound become rows and are joined. What holds of the first common element holds of the k-th
+    with k - 1 more on either side, so large sets have to meet in as many first elements as 1 and one for each DEPTH of
+    theirs, and those that meet by chance don't. Any order that all nodes share will do, so counts of slots, of fixed
+    number, serve as well as exact ones.
     Each node has a bitmap in which an element turns over one bit; as many bits as differ in two of them, so many
     elements at least do, and pairs with too many aren't made. No similar pair is lost.
     """
     rows = scratch.stored(sets)
-    placed = scratch.stored(prefixes(rows, slot_counts(rows), percent))
-    for _ in range(2):
-        fits = placed.groupBy("element").agg(F.min("n").alias("least_n"), F.max("most").alias("largest"), F.min("part").alias("low"), F.max("part").alias("high"))
-        fits = scratch.stored(fits.filter("low != high"))
-        left = scratch.stored(placed.join(fits, "element").filter("most >= least_n AND largest >= n").select(*placed.columns))
-        scratch.forget(placed, fits)
-        placed = left
+    fits = scratch.stored(prefixes(rows, slot_counts(rows), percent))
+    # Bitmaps come last, as most elements meet no other node.
+    placed = scratch.stored(fits.join(scratch.stored(with_bitmaps(rows)), "node"))
+    scratch.forget(rows, fits)
     other = placed.withColumnsRenamed({c: f"{c}_b" for c in placed.columns if c not in ("element", "node")} | {"node": "b"})
     differ = " + ".join(f"bit_count({b} ^ {b}_b)" for b in BITS)
     pairs = placed.join(other, "element").filter(f"part < part_b AND n <= most_b AND n_b <= most AND {100 + percent} * ({differ}) <= {100 - percent} * (n + n_b)")
-    return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    pairs = pairs.groupBy("node", "b").agg(F.count("*").alias("common"), F.min("n").alias("n"), F.min("n_b").alias("n_b"))
+    pairs = pairs.filter(f"common >= least(1 + n div {DEPTH}, 1 + n_b div {DEPTH}, ceil({percent} * (n + n_b) / {100 + percent}))")
+    return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
 
 
 def linked_components(

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import Scratch, map_arrow, stored, table
+from candleforge.llm.common import Scratch, in_a_row, in_ranges, map_arrow, perhaps_in, range_bits, stored, table
 from candleforge.llm.graph import linked_components
 from candleforge.llm.shingles import BASE, mixed, slices
 
@@ -43,6 +43,8 @@ PERCENT = 80
 SHORT = 28
 #: Of longer lines: values of a run, runs looked at, and one of how many of these is used.
 RUN, SIGNATURE, PICK = 6, 72, 4
+#: Bands of a line, about.
+BANDS = 21
 #: Bytes of lines that are hashed at once, so that work arrays stay near the processor; longer lines go alone.
 SLICE = 1 << 20
 #: Stands after the last value of a row; no shingle has it as its hash.
@@ -152,25 +154,67 @@ def bands_of(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(lines)
 
 
+def own_bands(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of a batch's lines (h, line): their h, the keys of their bands, and the place of each key's line in the run.
+
+    A hash that the batch repeats is taken once.
+    """
+    h = batch.column("h").to_numpy()
+    new = np.sort(np.unique(h, return_index=True)[1])
+    texts, done = batch.column("line").take(pa.array(new)), 0
+    for run in slices(texts, SLICE):
+        yield h[new[done : done + len(run)]], *bands_of(*shingle_hashes(run))
+        done += len(run)
+
+
 def with_bands(lines: DataFrame) -> DataFrame:
     """h and the keys of its ``bands`` of each line (h, line); a hash that a batch repeats is taken once."""
 
     def batch_bands(batch: pa.RecordBatch) -> pa.Table:
-        h = batch.column("h").to_numpy()
-        new = np.sort(np.unique(h, return_index=True)[1])
-        texts, done, out = batch.column("line").take(pa.array(new)), 0, []
-        for run in slices(texts, SLICE):
-            keys, of = bands_of(*shingle_hashes(run))
+        out = []
+        for h, keys, of in own_bands(batch):
             order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], np.arange(len(run) + 1)).astype(np.int32)
+            ends = np.searchsorted(of[order], np.arange(len(h) + 1)).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))
-            out.append(pa.RecordBatch.from_arrays([pa.array(h[new[done : done + len(run)]]), bands], ["h", "bands"]))
-            done += len(run)
+            out.append(pa.RecordBatch.from_arrays([pa.array(h), bands], ["h", "bands"]))
         return pa.Table.from_batches(out)
 
     return map_arrow(lines.select("h", "line"), batch_bands, "h long, bands array<long>")
 
 
+def shared_bands(lines: DataFrame, n: int) -> DataFrame:
+    """node and key, once each, of the bands that two or more different h of ``lines`` (h, line; about ``n`` of them) have.
+
+    Nearly all bands have one line. So they go to ranges of keys as lists, and only those that meet another become rows.
+    """
+    bits = range_bits(n * BANDS)
+
+    def ranges(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs = [(keys, h[of]) for h, keys, of in own_bands(batch)]
+        keys, nodes = (np.concatenate(x) for x in zip(*runs, strict=True))
+        return in_ranges(keys, bits, {"keys": pa.array(keys.view(np.int64)), "nodes": pa.array(nodes)})
+
+    def meeting(rows: pa.Table) -> pa.Table:
+        keys, nodes = (in_a_row(rows.column(c)).to_numpy() for c in ("keys", "nodes"))
+        order = np.argsort(keys)
+        keys, nodes = keys[order], nodes[order]
+        for _ in range(2):
+            met = np.zeros(len(keys), bool)
+            met[1:] = keys[1:] == keys[:-1]
+            met[:-1] |= met[1:]
+            keys, nodes = keys[met], nodes[met]
+            # The same line from several batches is one, and may then be alone.
+            order = np.lexsort((nodes, keys))
+            keys, nodes = keys[order], nodes[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+            keys, nodes = keys[new], nodes[new]
+        return pa.table({"node": nodes, "key": keys})
+
+    packed = map_arrow(lines.select("h", "line"), ranges, "range int, keys array<long>, nodes array<long>")
+    return packed.groupBy("range").applyInArrow(meeting, "node long, key long")
+
+
 def common_sizes(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Sizes of the sets of hashes of each pair, and of what they share, in three columns."""
     out = np.zeros((len(one[1]) - 1, 3), np.int64)
@@ -226,19 +270,11 @@ def firsts(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scr
     place = F.struct("doc_id", "pos")
     distinct = scratch.stored(lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     repeated = distinct.filter("n > 1").select("h", "h2", "first")
-    banded = scratch.stored(with_bands(lines))
-    slots = banded.select(F.col("h").alias("node"), F.explode("bands").alias("key"))
-    keys = slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
-    keys = scratch.stored(keys.filter("low < high"))
-    # A bucket of two rows is known by its ends; the rows of the others are fetched.
-    two = keys.filter("n = 2").select(F.explode(F.array("low", "high")).alias("node"), "key")
-    more = slots.join(keys.filter("n > 2").select("key"), "key").select("node", "key").distinct()
-    met = scratch.stored(two.union(more))
-    scratch.forget(keys, banded)
+    met = scratch.stored(shared_bands(lines, distinct.count()))
     if met.isEmpty():
         return repeated
     nodes = scratch.stored(met.select(F.col("node").alias("h")).distinct())
-    texts = lines.join(nodes, "h", "left_semi").groupBy("h").agg(F.min_by(F.struct("h2", "line"), "h2").alias("x"))
+    texts = perhaps_in(lines, nodes, "h").join(nodes, "h", "left_semi").groupBy("h").agg(F.min_by(F.struct("h2", "line"), "h2").alias("x"))
     texts = scratch.stored(texts.select("h", "x.h2", "x.line"))
     scratch.forget(nodes)
     parts = linked_components(met, lambda pairs: confirmed(pairs, texts, percent), lambda members: sets_of(members, texts), scratch, percent)

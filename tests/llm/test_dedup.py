@@ -91,6 +91,35 @@ def test_linked_components_of_a_cloud_take_few_pairs(spark):
     assert len(asked) == len(set(asked)) < 4 * len(sets)
 
 
+def test_close_pairs_of_large_sets_that_meet_by_chance(spark):
+    """Large sets that share a few elements aren't proposed, though their bitmaps tell nothing; similar ones are."""
+    rng = random.Random(11)
+    sets = {i: set(rng.sample(range(20000), 1000)) for i in range(40)}
+    for i in range(10):
+        sets[40 + i] = set(rng.sample(sorted(sets[i]), 890 + i)) | {10**6 + 1000 * i + k for k in range(105)}
+    wanted = {(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    rows = spark.createDataFrame([(i, i, sorted(s)) for i, s in sets.items()], "node long, part long, set array<long>")
+    with Scratch(spark) as scratch:
+        got = {(r.a, r.b) for r in graph.close_sets(rows, 80, scratch).collect()}
+    assert len(wanted) > 3 and wanted <= got and len(got) < 30
+
+
+def test_shared_bands_are_those_of_several_lines(spark):
+    """Each band that different lines have, with each of them once, whatever batch they and their copies are in."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(4, 300))) for _ in range(60)]
+    texts += [x + "!" for x in texts] + texts[:20]
+    number = {x: i for i, x in enumerate(dict.fromkeys(texts))}
+    lines = spark.createDataFrame([(number[x], x) for x in texts], "h long, line string").repartition(7)
+    having = defaultdict(set)
+    for r in line_dedup.with_bands(lines).collect():
+        for key in r.bands:
+            having[key].add(r.h)
+    for n in (1, 10**7):
+        got = [(r.node, r.key) for r in line_dedup.shared_bands(lines, n).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(h, k) for k, hs in having.items() if len(hs) > 1 for h in hs}
+
+
 def test_sketches_fill_every_bin_and_estimate():
     rng = np.random.default_rng(3)
     x = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
