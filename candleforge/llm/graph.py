@@ -14,6 +14,8 @@ from candleforge.llm.shingles import BASE, mixed
 
 #: Hash slots whose counts order the elements of sets, and words of a set's bitmap.
 SLOTS, WORDS = 1 << 18, 8
+#: Values of a list that goes to a range of elements, about.
+LIST = 1 << 10
 #: Elements of a set for each of which it has to meet a close one once more among their first ones.
 DEPTH = 50
 BITS = [f"bits{k}" for k in range(WORDS)]
@@ -91,7 +93,7 @@ def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
     bits = range_bits(int(often.sum(dtype=np.int64)) // 4)
     names = ["node", "part", "n", "element", "most"]
 
-    def batch_prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def batch_prefixes(batch: pa.RecordBatch) -> pa.Table:
         out = []
         for begin in range(0, batch.num_rows, 256):
             rows = batch.slice(begin, 256)
@@ -107,9 +109,15 @@ def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
             own = rows.select(["node", "part"]).take(pa.array(of[keep]))
             columns = [pa.array(n[of][keep].astype(np.int32)), pa.array(elements[keep]), pa.array(most[keep].astype(np.int32))]
             out.append(pa.RecordBatch.from_arrays([*own.columns, *columns], names))
-        all_of = pa.Table.from_batches(out).combine_chunks()
-        columns = {c: pa.concat_arrays(all_of.column(c).chunks) if all_of.num_rows else out[0].column(c) for c in names}
-        return in_ranges(mixed(columns["element"].to_numpy().view(np.uint64)), bits, columns)
+        return pa.Table.from_batches(out)
+
+    def batch_ranges(batch: pa.RecordBatch) -> pa.Table | None:
+        found, out = batch_prefixes(batch), []
+        # Lists of about LIST values, as rows of megabytes strain the JVM's heap.
+        for begin in range(0, found.num_rows, LIST << bits):
+            piece = found.slice(begin, LIST << bits).combine_chunks().to_batches()[0]
+            out.append(in_ranges(mixed(piece.column("element").to_numpy().view(np.uint64)), bits, dict(zip(names, piece.columns, strict=True))))
+        return pa.Table.from_batches(out) if out else None
 
     def fitting(rows: pa.Table) -> pa.Table:
         columns = {c: in_a_row(rows.column(c)) for c in names}
@@ -128,7 +136,7 @@ def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
 
     kinds = [*(sets.schema[c].dataType.simpleString() for c in ("node", "part")), "int", "long", "int"]
     lists = ", ".join(f"{c} array<{k}>" for c, k in zip(names, kinds, strict=True))
-    packed = map_arrow(sets.select("node", "part", "set"), batch_prefixes, f"range int, {lists}")
+    packed = map_arrow(sets.select("node", "part", "set"), batch_ranges, f"range int, {lists}")
     return packed.groupBy("range").applyInArrow(fitting, ", ".join(f"{c} {k}" for c, k in zip(names, kinds, strict=True)))
 
 
