@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import Scratch, in_a_row, in_ranges, map_arrow, perhaps_in, range_bits, stored, table
+from candleforge.llm.common import Scratch, in_a_row, in_ranges, map_arrow, range_bits, stored, table
 from candleforge.llm.graph import linked_components
 from candleforge.llm.shingles import BASE, mixed, slices
 
@@ -274,7 +274,7 @@ def firsts(df: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scr
     if met.isEmpty():
         return repeated
     nodes = scratch.stored(met.select(F.col("node").alias("h")).distinct())
-    texts = perhaps_in(lines, nodes, "h").join(nodes, "h", "left_semi").groupBy("h").agg(F.min_by(F.struct("h2", "line"), "h2").alias("x"))
+    texts = lines.join(nodes, "h", "left_semi").groupBy("h").agg(F.min_by(F.struct("h2", "line"), "h2").alias("x"))
     texts = scratch.stored(texts.select("h", "x.h2", "x.line"))
     scratch.forget(nodes)
     parts = linked_components(met, lambda pairs: confirmed(pairs, texts, percent), lambda members: sets_of(members, texts), scratch, percent)
