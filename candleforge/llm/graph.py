@@ -18,6 +18,8 @@ SLOTS, WORDS = 1 << 18, 8
 LIST = 1 << 10
 #: Elements of a set for each of which it has to meet a close one once more among their first ones.
 DEPTH = 50
+#: Nodes of a bucket that meet in one place, and pairs up to which a bucket's nodes are compared with each other.
+BLOCK, MOST_PAIRS = 1 << 12, 1 << 32
 BITS = [f"bits{k}" for k in range(WORDS)]
 
 
@@ -141,7 +143,7 @@ def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
 
 
 def with_bitmaps(sets: DataFrame) -> DataFrame:
-    """node and the words of its bitmap."""
+    """node, the size n of its set, and the words of its bitmap."""
 
     def batch_maps(batch: pa.RecordBatch) -> pa.Table:
         out = []
@@ -152,10 +154,66 @@ def with_bitmaps(sets: DataFrame) -> DataFrame:
             places = (mixed(elements.view(np.uint64) ^ np.uint64(BASE)) % np.uint64(64 * WORDS)).astype(np.int64)
             np.bitwise_xor.at(bits, (np.repeat(np.arange(len(n)), n), places), 1)
             words = np.packbits(bits, axis=1).view(np.int64)
-            out.append(pa.RecordBatch.from_arrays([rows.column("node"), *[pa.array(words[:, k]) for k in range(WORDS)]], ["node", *BITS]))
+            out.append(pa.RecordBatch.from_arrays([rows.column("node"), pa.array(n.astype(np.int32)), *[pa.array(words[:, k]) for k in range(WORDS)]], ["node", "n", *BITS]))
         return pa.Table.from_batches(out)
 
-    return map_arrow(sets.select("node", "set"), batch_maps, f"node {sets.schema['node'].dataType.simpleString()}, " + ", ".join(f"{b} long" for b in BITS))
+    return map_arrow(sets.select("node", "set"), batch_maps, f"node {sets.schema['node'].dataType.simpleString()}, n int, " + ", ".join(f"{b} long" for b in BITS))
+
+
+def pairs_inside(cell: np.ndarray, part: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of rows of one cell and different parts of which size and bitmap allow the similarity."""
+    order = np.lexsort((n, cell))
+    cell, part, n, bits = cell[order], part[order], n[order].astype(np.int64), bits[order].view(np.uint64)
+    ends = np.searchsorted(cell, cell, side="right")
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at, away = np.arange(len(cell)), 1
+    while len(at):
+        # Sizes rise in a cell, so a row that has met too large a set has met all that can be close.
+        at = at[at + away < ends[at]]
+        at = at[100 * n[at] >= percent * n[at + away]]
+        for run in np.array_split(at, len(at) // BLOCK + 1):
+            run = run[part[run] != part[run + away]]
+            differ = np.bitwise_count(bits[run] ^ bits[run + away]).sum(axis=1, dtype=np.int64)
+            run = run[(100 + percent) * differ <= (100 - percent) * (n[run] + n[run + away])]
+            one.append(order[run])
+            two.append(order[run + away])
+        away += 1
+    return np.concatenate(one), np.concatenate(two)
+
+
+def bucket_pairs(left: DataFrame, keys: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts that share a bucket and may have Jaccard similarity ``percent`` or more.
+
+    ``left`` has node, key and part, ``keys`` the buckets of ``left`` that are compared, with their number of nodes
+    ``size``, their part ``main`` of most nodes and the number ``most`` of these, ``bitmaps`` those of ``with_bitmaps``.
+    A bucket of up to BLOCK nodes meets in one cell; a larger one is cut into blocks, apart for the main part, and each
+    two blocks meet in a cell, except two of the main part. Cells go to ranges by their hash, where sizes and bitmaps
+    are compared by numpy, so that only pairs that may be similar become rows. No similar pair is lost.
+    """
+    whole = F.col("size") <= BLOCK
+    rest = F.when(whole, 1).otherwise(F.ceil((F.col("size") - F.col("most")) / BLOCK)).cast("int")
+    mains = F.when(whole, 0).otherwise(F.ceil(F.col("most") / BLOCK)).cast("int")
+    cut = keys.withColumn("rest", rest).withColumn("blocks", F.col("rest") + mains)
+    rows = cut.agg(F.sum(F.col("most") * F.col("rest") + (F.col("size") - F.col("most")) * F.col("blocks"))).first()[0] or 0
+    bits = range_bits(8 * rows)
+    inside = ~whole & (F.col("part") == F.col("main"))
+    hashed = F.xxhash64("node")
+    own = F.when(inside, F.col("rest") + F.pmod(hashed, F.col("blocks") - F.col("rest"))).otherwise(F.pmod(hashed, "rest")).cast("int")
+    met = F.sequence(F.lit(0), F.when(inside, F.col("rest")).otherwise(F.col("blocks")) - 1)
+    dealt = left.join(cut, "key").withColumn("own", own).select("node", "part", "key", "own", F.explode(met).alias("other"))
+    dealt = dealt.select("node", "part", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell")).join(bitmaps, "node")
+    kind = left.schema["node"].dataType.simpleString()
+
+    def pairs(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        cell, n = (rows.column(c).to_numpy() for c in ("cell", "n"))
+        part = rows.column("part").combine_chunks().dictionary_encode().indices.to_numpy()
+        a, b = pairs_inside(cell, part, n, np.stack([rows.column(c).to_numpy() for c in BITS], axis=1), percent)
+        node = rows.column("node")
+        return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+
+    found = dealt.withColumn("range", F.shiftrightunsigned("cell", 64 - bits)).groupBy("range").applyInArrow(pairs, f"a {kind}, b {kind}")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def close_pairs(elements: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -180,7 +238,7 @@ def close_sets(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     rows = scratch.stored(sets)
     fits = scratch.stored(prefixes(rows, slot_counts(rows), percent))
     # Bitmaps come last, as most elements meet no other node.
-    placed = scratch.stored(fits.join(scratch.stored(with_bitmaps(rows)), "node"))
+    placed = scratch.stored(fits.join(scratch.stored(with_bitmaps(rows).drop("n")), "node"))
     scratch.forget(rows, fits)
     other = placed.withColumnsRenamed({c: f"{c}_b" for c in placed.columns if c not in ("element", "node")} | {"node": "b"})
     differ = " + ".join(f"bit_count({b} ^ {b}_b)" for b in BITS)
@@ -190,6 +248,13 @@ def close_sets(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
 
 
+def open_keys(left: DataFrame) -> DataFrame:
+    """Of the buckets of ``left`` (node, key, part) with several parts what ``bucket_pairs`` needs, and whether it has too many pairs."""
+    keys = left.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
+    keys = keys.agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"))
+    return keys.filter("size > most").withColumn("large", F.col("size") * (F.col("size") - F.col("most")) > MOST_PAIRS)
+
+
 def linked_components(
     slots: DataFrame,
     confirm: Callable[[DataFrame], DataFrame],
@@ -202,10 +267,10 @@ def linked_components(
     ``slots`` (node, key), stored, has the buckets of two nodes or more. A bucket proposes its nodes' pairs with one
     pivot, not all pairs: the node with the most company in its buckets, which the text that others were made from has.
     A pivot has met its whole bucket and leaves it. A bucket whose other nodes are all in one component is settled, as
-    more links inside it change nothing. Then the nodes of the buckets that aren't settled are compared across
-    components by ``close_sets`` (``sets`` makes node, part, set of a table of node, part), so no link between nodes
-    that share a bucket is lost. ``confirm`` gets distinct pairs (a > b) and returns the true ones. Without a link the
-    result is None.
+    more links inside it change nothing. Then the nodes of each bucket that isn't settled are compared across
+    components by ``bucket_pairs``, or, where more than MOST_PAIRS are to be compared, by ``close_sets`` (``sets`` makes
+    node, part, set of a table of node, part), so no link between nodes that share a bucket is lost. ``confirm`` gets
+    distinct pairs (a > b) and returns the true ones. Without a link the result is None.
     """
     sizes = scratch.stored(slots.groupBy("key").agg(F.count("*").alias("n")))
     company = scratch.stored(slots.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company")))
@@ -221,15 +286,20 @@ def linked_components(
     left = left.withColumn("part", F.col("node")) if parts is None else left.join(parts, "node", "left").select("node", "key", F.coalesce("component", "node").alias("part"))
     left = scratch.stored(left)
     scratch.forget(state, pivots)
-    open_keys = scratch.stored(left.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key"))
-    members = scratch.stored(left.join(open_keys, "key", "left_semi").select("node", "part").distinct())
-    scratch.forget(left, open_keys)
-    if members.isEmpty():
+    keys = scratch.stored(open_keys(left))
+    if keys.isEmpty():
         return parts
+    members = lambda of: scratch.stored(left.join(of, "key", "left_semi").select("node", "part").distinct())
+    few, many = keys.filter("NOT large"), keys.filter("large")
     with Scratch(scratch.spark) as own:
-        pairs = scratch.stored(close_sets(sets(members), percent, own).join(tried, ["a", "b"], "left_anti"))
+        bitmaps = own.stored(with_bitmaps(sets(members(few))))
+        pairs = bucket_pairs(left, few, bitmaps, percent)
+        if not many.isEmpty():
+            pairs = pairs.union(close_sets(sets(members(many)), percent, own)).distinct()
+        pairs = scratch.stored(pairs.join(tried, ["a", "b"], "left_anti"))
+    scratch.forget(left, keys)
     more = scratch.stored(confirm(pairs))
-    scratch.forget(tried, pairs, members)
+    scratch.forget(tried, pairs)
     if more.isEmpty():
         return parts
     return scratch.stored(components(links.union(more), scratch))

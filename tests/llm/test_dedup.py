@@ -91,6 +91,50 @@ def test_linked_components_of_a_cloud_take_few_pairs(spark):
     assert len(asked) == len(set(asked)) < 4 * len(sets)
 
 
+@pytest.mark.parametrize("block, most", [(4096, 1 << 32), (4, 1 << 32), (4, 100)])
+def test_open_buckets_are_compared_in_cells(spark, monkeypatch, block, most):
+    """Every similar pair that shares an open bucket is proposed once, without a row for each element of small buckets' sets."""
+    monkeypatch.setattr(graph, "BLOCK", block)
+    monkeypatch.setattr(graph, "MOST_PAIRS", most)
+    if most > 100:
+        monkeypatch.setattr(graph, "prefixes", lambda *_: pytest.fail("elements became rows"))
+    rng = random.Random(5)
+    sets, slots = {}, set()
+    for k in range(6):
+        base = rng.sample(range(1000 * k, 1000 * k + 300), 40 + 30 * k)
+        for _ in range(14):
+            i = len(sets)
+            sets[i] = frozenset(x if rng.random() < 0.93 else rng.randrange(10**6) for x in base)
+            slots |= {(i, rng.randrange(4)), (i, 10 + k), (i, 20 + rng.randrange(3))}
+    similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    linked = [(a, b) for a in sets for b in sets if a > b and similar(a, b) and {k for i, k in slots if i == a} & {k for i, k in slots if i == b}]
+    asked = []
+
+    def confirm(pairs):
+        own = [tuple(r) for r in pairs.collect()]
+        asked.extend(own)
+        return spark.createDataFrame([p for p in own if similar(*p)], "a long, b long")
+
+    lists = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, set array<long>").repartition(3)
+    with Scratch(spark) as scratch:
+        met = scratch.stored(spark.createDataFrame(sorted(slots), "node long, key long"))
+        parts = graph.linked_components(met, confirm, lambda members: members.join(lists, "node").select("node", "part", "set"), scratch)
+        got = {r.node: r.component for r in parts.collect()}
+    assert len(linked) > 40 and {i: got.get(i, i) for i in sets} == groups(sets, linked)
+    assert len(asked) == len(set(asked)) < len(sets) ** 2 / 4
+
+
+def test_pairs_inside_equal_all_pairs():
+    rng = np.random.default_rng(4)
+    cell, part, n = rng.integers(0, 5, 300), rng.integers(0, 40, 300), rng.integers(150, 400, 300)
+    bits = rng.integers(-(1 << 63), 1 << 63, (12, 8))[rng.integers(0, 12, 300)] ^ (1 << rng.integers(0, 64, (300, 8)))
+    got = [tuple(sorted(x)) for x in zip(*(y.tolist() for y in graph.pairs_inside(cell, part, n, bits, 80)), strict=True)]
+    differ = lambda i, j: sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(bits[i], bits[j], strict=True))
+    close = lambda i, j: 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and 180 * differ(i, j) <= 20 * (n[i] + n[j])
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if cell[i] == cell[j] and part[i] != part[j] and close(i, j)}
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
 def test_close_pairs_of_large_sets_that_meet_by_chance(spark):
     """Large sets that share a few elements aren't proposed, though their bitmaps tell nothing; similar ones are."""
     rng = random.Random(11)
