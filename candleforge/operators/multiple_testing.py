@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from candleforge.operators.walkforward import placed
 from candleforge.sources.shared import Tables
 
-#: Level of the test, share of false discoveries, highest k, steps of a procedure.
-ALPHA, GAMMA, MOST_K, MOST_STEPS = 0.10, 0.10, 8192, 500
+#: Level of the test, share of false discoveries.
+ALPHA, GAMMA = 0.10, 0.10
 
 #: Of a step: its columns' first and last place less one, and the sorted critical values of the replicas.
 Step = tuple[int, int, np.ndarray]
@@ -77,14 +77,10 @@ class StepDown:
                 raise ValueError(f"columns have no {self.replicas} deviations each")
             self.grow(max(2 * self.m, first + k))
 
-    def steps(self, k: int, stop_at: int | None = None) -> list[Step] | None:
-        """The steps at level k; None once ``stop_at`` columns or more are rejected."""
+    def steps(self, k: int) -> list[Step]:
+        """The steps at level k; each but the last rejects columns, so they end."""
         done, out = 0, []
-        for _ in range(MOST_STEPS):
-            if done >= self.n:
-                return out
-            if stop_at is not None and done >= stop_at:
-                return None
+        while done < self.n:
             first = done - min(done, k - 1)
             values = self.critical(first, min(k, self.n - first))
             spare = int(self.alpha * self.replicas + 1e-9)
@@ -93,9 +89,9 @@ class StepDown:
             rejected = self.columns.filter(F.col("z") > float(cut)).count()
             out.append((done, rejected if rejected > done else self.n, values))
             if rejected <= done:
-                return out
+                break
             done = rejected
-        raise ValueError(f"no end after {MOST_STEPS} steps")
+        return out
 
     def rejected(self, steps: list[Step]) -> int:
         """Columns rejected: all of the steps before the last, which rejects none unless it ends the columns."""
@@ -126,34 +122,22 @@ class StepDown:
         rows = self.columns.select(self.key, "z", "place")
         return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", p double")
 
-    def by_false_discoveries(self, gamma: float = GAMMA, most_k: int = MOST_K) -> tuple[int, list[Step] | None]:
-        """The k whose procedure rejects fewer than k / gamma - 1 columns, by doubling and then bisection, and its steps.
+    def by_false_discoveries(self, gamma: float = GAMMA) -> tuple[int, list[Step]]:
+        """The least k whose procedure rejects fewer than k / gamma - 1 columns, and its steps.
 
-        Where none does up to ``most_k``, it is the last k tried; its steps are worked out in full.
+        A higher k never rejects fewer columns, so no k is passed over that could do where the last one rejected as many
+        as its share allows or more: the next one tried is the least that allows more than the last one rejected. There
+        are n columns at most to reject, so a k always does.
         """
-
-        def tried(k: int) -> tuple[list[Step] | None, bool]:
-            steps = self.steps(k, math.ceil(k / gamma - 1.0) + 1)
-            return steps, steps is not None and self.rejected(steps) < k / gamma - 1.0
-
-        k, failed = 1, 0
+        k = 1
         while True:
-            steps, good = tried(k)
-            if good:
-                break
-            failed = k
-            if 2 * k > most_k:
-                return k, self.steps(k)
-            k *= 2
-        low, high, best = failed, k, steps
-        while high - low > 1:
-            middle = (low + high) // 2
-            steps, good = tried(middle)
-            if good:
-                high, best = middle, steps
-            else:
-                low = middle
-        return high, best
+            steps = self.steps(k)
+            rejected = self.rejected(steps)
+            if rejected < k / gamma - 1.0:
+                return k, steps
+            k = max(k + 1, math.floor(gamma * (rejected + 1.0)))
+            while rejected >= k / gamma - 1.0:
+                k += 1
 
 
 def step_down_pvalues(columns: DataFrame, key: str, k: int = 1, alpha: float = ALPHA, m: int = 1000) -> DataFrame:
@@ -163,11 +147,11 @@ def step_down_pvalues(columns: DataFrame, key: str, k: int = 1, alpha: float = A
         return tables.kept(test.pvalues(test.steps(k)))
 
 
-def false_discovery_pvalues(columns: DataFrame, key: str, gamma: float = GAMMA, alpha: float = ALPHA, most_k: int = MOST_K, m: int = 1000) -> DataFrame:
+def false_discovery_pvalues(columns: DataFrame, key: str, gamma: float = GAMMA, alpha: float = ALPHA, m: int = 1000) -> DataFrame:
     """key, z, place, p and k: adjusted p at the k that keeps the share of false discoveries under ``gamma``."""
     with Tables(columns.sparkSession) as tables:
         test = StepDown(columns, key, tables, alpha, m)
-        k, steps = test.by_false_discoveries(gamma, most_k)
+        k, steps = test.by_false_discoveries(gamma)
         return tables.kept(test.pvalues(steps).withColumn("k", F.lit(k)))
 
 

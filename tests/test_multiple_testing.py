@@ -53,6 +53,26 @@ def test_search_equals_all_k(spark, matrix):
         assert {r.col: round(r.p, 9) for r in got} == {i: round(x, 9) for i, x in sequential(z, dev, k, 0.1)[0].items()}
 
 
+def test_search_has_no_highest_level():
+    """Where no level below 9,000 does, the first that does is found, and no level that could do is passed over."""
+
+    class Counted(multiple_testing.StepDown):
+        def __init__(self, rejects):
+            self.rejects, self.tried = rejects, []
+
+        def steps(self, k, *_):
+            self.tried.append(k)
+            return [k]
+
+        def rejected(self, steps):
+            return self.rejects(steps[0])
+
+    for rejects in (lambda k: 100_000, lambda k: 90_000 + k, lambda k: 40 if k < 6 else 300 if k < 8 else 1000, lambda k: 0, lambda k: 25 * min(k, 20)):
+        test = Counted(rejects)
+        want = next(k for k in range(1, 200_000) if rejects(k) < k / 0.1 - 1)
+        assert test.by_false_discoveries(0.1)[0] == want and len(test.tried) < 25
+
+
 def test_one_column_and_best_of_each(spark, matrix):
     z, dev = matrix
     one = multiple_testing.step_down_pvalues(columns_of(spark, z[:1], dev[:1]), "col", 1, 0.1).collect()
